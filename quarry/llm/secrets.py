@@ -1,0 +1,152 @@
+"""Secret scans: fixed base patterns, and a battery of randomness tests on long tokens.
+
+A token's encoding is inferred from its characters (decimal, hexadecimal, base 32 or base 64). Three tests
+ask whether it looks drawn evenly from that alphabet: chi-squared on its characters' counts, runs above
+and below the alphabet's middle, and serial correlation. A token that fails one is not a secret. For the
+rest the evidence against ordinary text is the likelihood ratio of an even draw to a draw from the letter
+frequencies of text; exp(-ratio) bounds the p-value, and it falls with length. Benjamini and Hochberg's
+step-up over all tested tokens of the corpus, by a histogram, holds the share of false discoveries.
+
+All of it is native expressions. Null texts count as empty. Each text is scanned whole; offsets are code
+points; one row per input row.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from quarry.llm.common import bind, checkpointed, text_of
+
+KINDS = ("assign", "access", "hex", "random")
+ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]+"
+#: A token: a longest run of these characters, of at least LEAST.
+LEAST = 20
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
+FALSE_DISCOVERIES = 0.01
+#: Each test's two-sided limit, in standard deviations: a probability of 0.001.
+LIMIT = 3.29
+#: Bins of the histogram of -ln p: width and number.
+BIN, BINS = 0.25, 400
+
+# Alphabets in order, and letter frequencies of text in per mille, a to z.
+ALPHABETS = {
+    "decimal": "0123456789",
+    "hex": "0123456789abcdef",
+    "HEX": "0123456789ABCDEF",
+    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
+}
+LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+#: Shares of lower-case letters, upper-case letters, digits and signs in tokens of text.
+SHARES = {"lower": 0.90, "upper": 0.05, "digit": 0.03, "sign": 0.02}
+
+
+def _spans(text: Column, pattern: str) -> Column:
+    """(start, end, found) of each leftmost non-overlapping match: what lies between matches is split out, and lengths are summed."""
+
+    def placed(found: Column, between: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
+
+        def step(acc: Column, i: Column) -> Column:
+            low = acc["at"] + F.length(F.get(between, i))
+            high = low + F.length(F.get(found, i))
+            return F.struct(high.alias("at"), F.concat(acc["out"], F.array(F.struct(low.alias("start"), high.alias("end"), F.get(found, i).alias("found")))).alias("out"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["out"])
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
+    return F.when(~text.rlike(pattern), none).otherwise(bind(found, lambda f: bind(F.split(text, pattern, -1), lambda g: placed(f, g))))
+
+
+def base_spans(text: Column) -> dict[str, Column]:
+    """Spans of each base kind."""
+    value = lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 1)) >= 8
+    return {
+        "assign": F.filter(_spans(text, ASSIGN), value),
+        "access": F.filter(_spans(text, ACCESS), lambda s: F.length(s["found"]) >= 16),
+        # runs of hexadecimal digits that are too short would be dropped, and are not looked at
+        "hex": _spans(text, r"(?<![0-9a-f])[0-9a-f]{32,}+"),
+    }
+
+
+def encoding_of(token: Column) -> Column:
+    return F.when(token.rlike("^[0-9]+$"), "decimal").when(token.rlike("^[0-9a-f]+$"), "hex").when(token.rlike("^[0-9A-F]+$"), "HEX").when(token.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
+
+
+def battery(token: Column) -> Column:
+    """struct(encoding, chi, runs, serial, evidence): the three tests in standard deviations, and -ln p against text."""
+
+    def measured(encoding: Column) -> Column:
+        alphabet = F.lit(None).cast("string")
+        for name, letters in ALPHABETS.items():
+            alphabet = F.when(encoding == name, F.lit(letters)).otherwise(alphabet)
+        return bind(alphabet, lambda a: bind(F.transform(F.split(token, ""), lambda c: F.instr(a, c) - 1), lambda x: tests(encoding, a, x)))
+
+    def tests(encoding: Column, a: Column, x: Column) -> Column:
+        n, m = F.size(x).cast("double"), F.length(a).cast("double")
+        squares = F.aggregate(F.split(a, ""), F.lit(0.0), lambda acc, c: acc + F.pow((F.length(token) - F.length(F.replace(token, c, F.lit("")))).cast("double"), F.lit(2.0)))
+        df = m - 1
+        chi = (F.pow((squares * m / n - n) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+        upper = lambda i: F.get(x, i) >= (m / 2)
+        inner = F.sequence(F.lit(1), F.size(x) - 1)
+        runs = F.aggregate(inner, F.lit(1.0), lambda acc, i: acc + F.when(upper(i) != upper(i - 1), 1.0).otherwise(0.0))
+        centred = lambda i: (F.get(x, i).cast("double") - (m - 1) / 2)
+        product = F.aggregate(inner, F.lit(0.0), lambda acc, i: acc + centred(i) * centred(i - 1))
+        serial = product / ((m * m - 1) / 12) / F.sqrt(n - 1)
+        return F.struct(encoding.alias("encoding"), chi.alias("chi"), ((runs - (n + 1) / 2) / F.sqrt((n - 1) / 4)).alias("runs"), serial.alias("serial"), (evidence(token) - n * F.ln(m)).alias("evidence"))
+
+    return bind(encoding_of(token), measured)
+
+
+def evidence(token: Column) -> Column:
+    """-ln of the token's likelihood under letter frequencies of text."""
+    total = F.lit(0.0)
+    counted = lambda chars: (F.length(token) - F.length(F.translate(token, chars, ""))).cast("double")
+    for i, per in enumerate(LETTERS):
+        share = per / sum(LETTERS)
+        low, up = chr(97 + i), chr(65 + i)
+        total = total - counted(low) * math.log(SHARES["lower"] * share) - counted(up) * math.log(SHARES["upper"] * share)
+    return total - counted("0123456789") * math.log(SHARES["digit"] / 10) - counted("+/-_") * math.log(SHARES["sign"] / 4)
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, base (kind, start, end by start, then kind), tested (start, end, chi, runs, serial, evidence): one row per input row."""
+    text = text_of(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    found = rows.select("doc_id", *[s.alias(k) for k, s in base_spans(F.col("text")).items()], _spans(F.col("text"), TOKEN).alias("tokens"))
+
+    def marked(number: int, kind: str) -> Column:
+        return F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), F.lit(number).alias("order"), F.lit(kind).alias("kind"), s["end"].alias("end")))
+
+    tested = F.transform("tokens", lambda s: bind(battery(s["found"]), lambda t: F.struct(s["start"].alias("start"), s["end"].alias("end"), t["chi"].alias("chi"), t["runs"].alias("runs"), t["serial"].alias("serial"), t["evidence"].alias("evidence"))))
+    return found.select("doc_id", F.array_sort(F.concat(*[marked(n, k) for n, k in enumerate(KINDS[:3])])).alias("base"), tested.alias("tested"))
+
+
+def passes(t: Column) -> Column:
+    """No test of the battery speaks against an even draw."""
+    return (t["chi"].between(-LIMIT, LIMIT)) & (F.abs(t["runs"]) <= LIMIT) & (F.abs(t["serial"]) <= LIMIT)
+
+
+def threshold(scanned: DataFrame, rate: float = FALSE_DISCOVERIES) -> float:
+    """The least evidence of a discovery: step-up over all tested tokens, on a histogram of BINS + 1 rows."""
+    tokens = scanned.select(F.explode("tested").alias("t")).select(F.when(passes(F.col("t")), F.greatest(F.col("t.evidence"), F.lit(0.0))).otherwise(0.0).alias("e"))
+    bins = tokens.groupBy(F.least(F.floor(F.col("e") / BIN), F.lit(BINS)).alias("bin")).agg(F.count("*").alias("n"))
+    above = F.sum("n").over(Window.orderBy(F.desc("bin")))
+    ranked = bins.select("bin", above.alias("found"), F.sum("n").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("m"))
+    ok = ranked.filter((F.col("bin") > 0) & (F.exp(-F.col("bin") * BIN) * F.col("m") <= rate * F.col("found"))).agg(F.min("bin")).first()[0]
+    return math.inf if ok is None else ok * BIN
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = FALSE_DISCOVERIES) -> DataFrame:
+    """doc_id, base, spans (start, order, kind, end; by start, then kind as listed): one row per input row."""
+    scanned = checkpointed(scan(docs, id_col, text_col))
+    least = threshold(scanned, rate)
+    free = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+    new = F.filter("tested", lambda t: passes(t) & (t["evidence"] >= F.lit(least)) & free(t))
+    new = F.transform(new, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("order"), F.lit(KINDS[3]).alias("kind"), t["end"].alias("end")))
+    return scanned.select("doc_id", "base", F.array_sort(F.concat("base", new)).alias("spans"))
