@@ -6,13 +6,15 @@ explains it. Phrases are normalised by letters and by the logarithm of the sampl
 
 The automaton is stored as one table that gives, for a state and a character, the next state and the
 number of phrases ended. Texts are cut into blocks that are walked side by side in numpy, so a long
-text is only more blocks. A block's end ends a phrase, alike for every language.
+text is only more blocks. A block's end ends a phrase, alike for every language. Digits
+and signs below U+0100 are left out.
 
 Null texts and texts without a letter get `und` with score 0, as do all when nothing is labelled.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,6 +45,9 @@ def sample(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "tex
     return sorted((r["lang"], r["text"]) for r in found if (r["lang"], r["h"]) in wanted)
 
 
+SIGNS = re.compile(r"[^\w\s]|[\d_]")
+
+
 def plain(text: str) -> str:
     return " ".join(text.lower().split())
 
@@ -52,7 +57,7 @@ def automata(labelled: tuple[tuple[str, str], ...]) -> tuple[list[str], dict[str
     """(languages, class of each character, [(table, log2 of the sample's length)]). Built once in each worker."""
     joined: dict[str, str] = {}
     for lang, text in labelled:
-        joined[lang] = joined.get(lang, "") + plain(text) + "\n"  # no text has \n now, so no phrase spans two
+        joined[lang] = joined.get(lang, "") + plain(SIGNS.sub("", text)) + "\n"  # no text has \n now, so no phrase spans two
     counts: dict[str, int] = {}
     for text in joined.values():
         for c in set(text) - {"\n"}:
@@ -105,13 +110,15 @@ def _table(text: str, classes: dict[str, int]) -> np.ndarray:
 
 def _codes(text: str, classes: np.ndarray) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
-    return classes[np.minimum(points, len(classes) - 1)]
+    codes = classes[np.minimum(points, len(classes) - 1)]
+    return codes[codes >= 0]
 
 
 def phrases(texts: list[str], classes: dict[str, int], tables: list[np.ndarray]) -> np.ndarray:
     """Phrases by text and language."""
     width = max([ord(c) for c in classes], default=0) + 2
-    known = np.zeros(width, dtype=np.int16)
+    known = np.zeros(max(width, 257), dtype=np.int16)
+    known[[c for c in range(256) if not chr(c).isalpha() and c != 32]] = -1  # digits and signs tell nothing
     for c, k in classes.items():
         known[ord(c)] = k
     pieces, owner = [], []

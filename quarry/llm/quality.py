@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from quarry.llm.common import bind, text_of, words_of
 
 WINDOW = 5
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
 
 # Common function words of the four languages of the corpus.
 STOP_WORDS = (
@@ -38,8 +36,8 @@ class Rule(NamedTuple):
 RULES = (
     Rule("mean_word_length", 2.0, 16.0),
     Rule("symbol_ratio", None, 0.15),
-    Rule("stop_word_ratio", 0.02, None),
-    Rule("dup_line_ratio", None, 0.3),
+    Rule("stop_word_ratio", 0.01, None),
+    Rule("dup_line_ratio", None, 0.5),
 )
 
 
@@ -67,9 +65,9 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(words) < window, zero).otherwise(bind(words, lambda w: bind(hashed(w), twice)))
 
 
-def _removed(text: Column, characters: str) -> Column:
-    """Code points of the text that are among these characters."""
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+def _kept(text: Column, others: str) -> Column:
+    """Code points of the text outside runs of these characters."""
+    return F.length(F.regexp_replace(text, others, "")).cast("long")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -81,8 +79,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     counted = split.select(
         id_col,
         F.size(words).cast("long").alias("n_words"),
-        (F.length(text) - _removed(text, SPACES)).cast("long").alias("word_chars"),
-        _removed(text, SYMBOLS).cast("long").alias("n_symbols"),
+        _kept(text, r"[\x20\x09-\x0D]+").alias("word_chars"),
+        _kept(text, r"[^#*$%&|<>]+").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         repeated_words(words).cast("long").alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, chat, langid, mixing, pii, quality, secrets, simhash, spiece, urls
+from quarry.llm import ann, chat, langid, mixing, pii, quality, secretscan, simhash, spiece, urls
 from quarry.llm.common import table
 
 
@@ -66,8 +66,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets."""
-    found = secrets.find(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *[_count("base", k) for k in secrets.KINDS[:3]], F.sha2(_digest("base"), 256).alias("base_sha256"), _digest("spans").alias("spans"))
+    found = secretscan.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[_count("base", k) for k in secretscan.KINDS[:3]], F.sha2(_digest("base"), 256).alias("base_sha256"), _digest("spans").alias("spans"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
