@@ -23,7 +23,7 @@ WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 PASSES = 2
 #: Rows of a source that one bin of its shuffled order holds, about; bins of the finish time up to 1.
-BIN_ROWS, TIME_BINS = 20_000, 4096
+BIN_ROWS, TIME_BINS = 2_000, 4096
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: int = PASSES) -> DataFrame:
