@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: A word is a longest run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-ARROW_ROWS = 1000
+ARROW_ROWS = 250
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

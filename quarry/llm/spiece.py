@@ -30,7 +30,9 @@ from quarry.llm.common import checkpointed, small_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Code points of a chunk, and of a document that is cut into chunks.
 CHUNK, GIANT = 16_384, 32_768
-CACHED = 200_000
+CACHED = 100_000
+#: Characters whose pieces a worker holds at once, about.
+HELD = 500_000
 MINUS = float("-inf")
 SEGMENT = re.compile(r" *[^ ]+| +")
 
@@ -231,6 +233,14 @@ def read_model(path: str = MODEL) -> bytes:
         return f.read()
 
 
+def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches in runs of rows with HELD characters or little more."""
+    for b in batches:
+        run = np.cumsum([len(t) if isinstance(t, str) else 0 for t in b["text"]]) // HELD
+        for _, part in b.groupby(run, sort=False):
+            yield part.reset_index(drop=True)
+
+
 def clean(text: str) -> str:
     return " " + text.replace("\u2581", " ")
 
@@ -254,7 +264,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = loaded(sent.value)
-        for b in batches:
+        for b in slices(batches):
             texts = [clean(t) if isinstance(t, str) and t else "" for t in b["text"]]
             ids = [pieces.words(t) for t in texts]
             yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [np.array(i, dtype=np.int32) for i in ids], "round_trip": [pieces.decode(i) == t for i, t in zip(ids, texts, strict=True)]})
@@ -279,7 +289,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = loaded(sent.value)
-        for b in batches:
+        for b in slices(batches):
             got = [backtrace(pieces, r.text, r.a, r.b, r.k == 0, r.k == r.n - 1, r.entry, r.leave) for r in b.itertuples()]
             yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "k": b["k"], "part": [np.array(i, dtype=np.int32) for i, _ in got], "ok": [pieces.decode(i) == t for i, t in got]})
 
