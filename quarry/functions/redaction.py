@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -75,18 +76,25 @@ def _apply(text: Column, rule: Pattern) -> Column:
 
 def redacted(df: DataFrame, text_col: str = "text", masked_col: str = "masked", hits_col: str = "hits", rules: tuple[Pattern | Words, ...] = DEFAULT_RULES, replace_with: str = "****") -> DataFrame:
     """df with the masked text and the sorted names of the rules that hit. Each rule sees what those before it left."""
-    out = df.withColumn(masked_col, F.col(text_col)).withColumn(hits_col, F.array().cast("array<string>"))
-    for rule in rules:
-        now = F.col(masked_col)
+    def step(rule: Pattern | Words, state: Column) -> Column:
+        now = state["text"]
         if isinstance(rule, Words):
             hit, new = F.lit(False), now
             for word in rule.words:
                 hit, new = hit | new.contains(word), F.replace(new, F.lit(word), F.lit(replace_with))
         else:
             hit, new = now.rlike(rule.pattern), _apply(now, rule)
-        hits = F.when(hit, F.array_append(F.col(hits_col), F.lit(rule.name))).otherwise(F.col(hits_col))
-        out = out.withColumns({masked_col: new, hits_col: hits})
-    return out.withColumn(hits_col, F.array_sort(F.array_distinct(hits_col)))
+        return F.struct(new.alias("text"), F.when(hit, F.array_append(state["hits"], F.lit(rule.name))).otherwise(state["hits"]).alias("hits"))
+
+    state = F.struct(F.col(text_col).alias("text"), F.array().cast("array<string>").alias("hits"))
+    for rule in rules:  # each state is bound to a variable, so it is worked out once a row
+        state = _bound(state, rule, step)
+    out = df.withColumn("__state", state)
+    return out.withColumns({masked_col: F.col("__state.text"), hits_col: F.array_sort(F.array_distinct("__state.hits"))}).drop("__state")
+
+
+def _bound(state: Column, rule: Pattern | Words, step: Callable[[Pattern | Words, Column], Column]) -> Column:
+    return F.transform(F.array(state), lambda s: step(rule, s))[0]
 
 
 def audit(masked: DataFrame, id_col: str = "doc_id", hits_col: str = "hits") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -92,18 +91,21 @@ class _Blocks(HTMLParser):
             self.held.append(data)
 
 
-@F.pandas_udf(f"array<{BLOCK}>")
-def html_blocks(pages: pd.Series) -> pd.Series:
+def _page_blocks(html: str | None) -> list[dict]:
+    parser = _Blocks()
+    parser.feed(html or "")
+    parser.close()
+    parser.close_block()
+    return parser.out
+
+
+def html_blocks(html: Column) -> Column:
     """Blocks of HTML pages: headings with levels 1 to 6, each table as one block, white space squeezed."""
 
-    def one(html: str | None) -> list[dict]:
-        parser = _Blocks()
-        parser.feed(html or "")
-        parser.close()
-        parser.close_block()
-        return parser.out
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(_page_blocks)
 
-    return pages.map(one)
+    return F.pandas_udf(run, f"array<{BLOCK}>", F.PandasUDFType.SCALAR)(html)
 
 
 def suffix(path: Column) -> Column:
@@ -125,7 +127,3 @@ def exploded(df: DataFrame, blocks_col: str = "blocks") -> DataFrame:
     kept = [c for c in df.columns if c != blocks_col]
     return df.select(*kept, F.posexplode(blocks_col).alias("pos", "b")).select(*kept, "pos", "b.*")
 
-
-def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    for b in batches:
-        yield from b.itertuples(index=False)
