@@ -52,7 +52,7 @@ def plain(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def automata(labelled: tuple[tuple[str, str], ...]) -> tuple[list[str], dict[str, int], list[tuple[np.ndarray, float]]]:
     """(languages, class of each character, [(table, log2 of the sample's length)]). Built once in each worker."""
     joined: dict[str, str] = {}
