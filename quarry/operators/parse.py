@@ -105,7 +105,7 @@ def html_blocks(html: Column) -> Column:
     def run(pages: pd.Series) -> pd.Series:
         return pages.map(_page_blocks)
 
-    return F.pandas_udf(run, f"array<{BLOCK}>", F.PandasUDFType.SCALAR)(html)
+    return F.pandas_udf(run, f"array<{BLOCK}>")(html)
 
 
 def suffix(path: Column) -> Column:

@@ -1,0 +1,217 @@
+"""Parsing, chunking, cleaning, masking and sources: literal inputs and their results."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.functions import redaction, text
+from quarry.operators import chunk, clean, connector, parse
+from quarry.sources import files
+
+
+def one(spark, expression, **values):
+    rows = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values))
+    return rows.select(expression.alias("x")).first().x
+
+
+@pytest.mark.parametrize(
+    ("content", "reason"),
+    [
+        ("abc", "too_short"), ("", "too_short"), ("  \n ", "too_short"), ("1. 2. 3. 4.", "no_language"), ("第 3 页 共 12 页", "header_footer"), ("Page 5 of 20", "header_footer"), ("  7  ", "header_footer"),
+        ("1.1 简介 …… 3", "toc"), ("3.2 技术选型 .... 15", "toc"), ("这是一段正常的正文内容。\n第 3 页 共 12 页", None), ("第 1 页 共 2 页\nPage 1 of 2", "header_footer"), ("A normal line of body text", None), ("Это русский текст длинный", "no_language"),
+    ],
+)
+def test_noise_reason(spark, content, reason):
+    assert one(spark, text.noise_reason(F.col("c")), c=content) == reason
+
+
+def test_quality_report(spark):
+    rows = [("d", 0, "Page 1 of 9", 1), ("d", 1, "1.1 简介 …… 3", 1), ("d", 2, "第一段正常的正文内容在这里。", 2), ("d", 3, "第二段正常的正文内容在这里。", 2), ("d", 4, "第三段正常的正文内容在这里。", 2), ("e", 0, "the same long text here", None), ("e", 1, " the same long text here", None)]
+    report = {r.doc_id: r for r in clean.reports(clean.marked(spark.createDataFrame(rows, "doc_id string, chunk_index int, content string, page int"))).collect()}
+    d, e = report["d"], report["e"]
+    assert (d.total_blocks, d.filtered_blocks, d.kept_blocks, d.empty_pages, json.loads(d.noise_reasons)) == (5, 2, 3, 1, {"header_footer": 1, "toc": 1})
+    assert (e.dedup_skipped, e.kept_blocks, e.empty_pages, e.noise_reasons) == (1, 1, 0, "{}")
+
+
+@pytest.mark.parametrize(
+    ("value", "masked", "hits"),
+    [
+        ("13812345678", "138****5678", ["phone"]), ("110101199003074512", "1101**********4512", ["id_card"]), ("a.zhang@company.com", "a****@company.com", ["email"]), ("6222020200112233445", "6222***********3445", ["bank_card"]),
+        ("sk-abcdefghijklmnopqrstuvwxyz123", "sk-a" + "*" * 24 + "z123", ["api_key"]), ("版本 1.2.3，共 100 元，编号 20260817", "版本 1.2.3，共 100 元，编号 20260817", []), ("ip 10.0.0.12 x", "ip ********* x", ["ipv4"]), (None, None, []), ("", "", []),
+    ],
+)
+def test_masking(spark, value, masked, hits):
+    row = redaction.redacted(spark.createDataFrame([(value,)], "text string")).first()
+    assert (row.masked, row.hits) == (masked, hits)
+
+
+def test_masking_rules_of_a_config(spark):
+    rules, mark = redaction.compile_rules({"replace_with": "##", "rules": [{"type": "word", "name": "w", "words": ["秘密"]}, {"type": "pattern", "name": "bad", "pattern": "("}, {"type": "pattern", "name": "n", "pattern": r"N\d+"}]})
+    row = redaction.redacted(spark.createDataFrame([("秘密 N123 13812345678",)], "text string"), rules=rules, replace_with=mark).first()
+    assert (row.masked, row.hits) == ("## **** 138****5678", ["n", "phone", "w"])
+    assert redaction.compile_rules({"enabled": False})[0] == ()
+    many = redaction.redacted(spark.createDataFrame([("13812345678 and 13912345678, 1.2.3.4",)], "text string"))
+    assert redaction.audit(many.withColumn("doc_id", F.lit(1))).first().rules == "ipv4,phone"
+
+
+def blocks(*rows):
+    return [dict(zip(("text", "level", "kind", "page"), r, strict=True)) for r in rows]
+
+
+def head(t, level, page=None):
+    return (t, level, "heading", page)
+
+
+def para(t, page=None):
+    return (t, 0, "text", page)
+
+
+def test_chunker_paths_and_overlap():
+    out = chunk.chunks_of(blocks(head("产品概述", 1), para("正文"), head("功能特性", 2), para("x"), head("部署要求", 2), para("y")), 800, 0)
+    assert [c[3] for c in out] == ["产品概述", "产品概述 > 功能特性", "产品概述 > 部署要求"]
+    out = chunk.chunks_of(blocks(para("甲" * 700), para("乙" * 700), para("丙" * 700)), 800, 100)
+    assert len(out) == 3
+    assert out[1][1].startswith("甲" * 100 + "\n乙") and out[2][1].startswith("乙" * 100 + "\n丙")
+    out = chunk.chunks_of(blocks(head("A", 1), head("B", 2), head("C", 3), head("D", 2), para("z")), 800, 100)
+    assert out[-1][3] == "A > D"
+    out = chunk.chunks_of(blocks(head("H", 1), ("| a | b |\n" * 20, 0, "table", None)), 500, 10)
+    assert len(out) == 1 and "| a | b |" in out[0][1]
+    assert chunk.chunks_of([], 800, 100) == []
+    with pytest.raises(ValueError, match="overlap"):
+        chunk.chunks_of([], 100, 100)
+
+
+def test_chunker_long_paragraphs_and_pages():
+    out = chunk.chunks_of(blocks(para("a" * 300, 1), para("b" * 2000, 2)), 800, 100)
+    assert [c[0] for c in out] == list(range(len(out)))
+    # the tail left by a flush is a chunk of its own before the windows
+    assert [len(c[1]) for c in out] == [300, 100, 800, 800, 600]
+    assert out[0][2] == 2  # the page is set before the overflow flush
+    rng = random.Random(4)
+    for _ in range(200):
+        parts = [head("h" * rng.randint(1, 9), rng.randint(1, 6)) if rng.random() < 0.2 else para("".join(rng.choice("ab c") for _ in range(rng.randint(0, 90))), rng.choice([None, 1, 2])) for _ in range(rng.randint(0, 12))]
+        size, overlap = rng.randint(20, 60), rng.randint(0, 15)
+        got = chunk.chunks_of(blocks(*parts), size, overlap)
+        joined = "\n".join(c[1] for c in got)
+        assert all(len(c[1]) <= overlap + 1 + size for c in got)
+        assert all(p[0].strip()[:15] in joined for p in parts)
+
+
+def test_chunks_and_windows_in_spark(spark):
+    rows = [(1, blocks(head("T", 1), para("正文 body"))), (2, []), (3, None)]
+    df = spark.createDataFrame(rows, f"doc_id long, blocks array<{parse.BLOCK}>")
+    assert [tuple(r) for r in chunk.chunk_documents(df).collect()] == [(1, 0, "T\n正文 body", None, "T")]
+    parts = one(spark, chunk.window_split(F.col("t"), 10, 3), t="abcdefghijklmnopqrstuvwxyz")
+    assert parts == ["abcdefghij", "hijklmnopq", "opqrstuvwx", "vwxyz"]
+    assert one(spark, chunk.window_split(F.col("t"), 10, 3), t="abcdefghij") == ["abcdefghij"]
+
+
+def test_section_paths_match_the_chunker(spark):
+    seq = [head("A", 1), para("p"), head("B", 3), para("q"), head("C", 2), head("D", 2), para("r"), head("E", 1), para("s")]
+    df = spark.createDataFrame([(1, blocks(*seq))], f"doc_id long, blocks array<{parse.BLOCK}>")
+    got = [r.section_path for r in chunk.section_paths(parse.exploded(df)).orderBy("pos").collect()]
+    assert got == ["A", "A", "A > B", "A > B", "A > C", "A > D", "A > D", "E", "E"]
+
+
+def test_parsers(spark):
+    got = one(spark, parse.markdown_blocks(F.col("t")), t="# 一级\n## 二级\n正文。\n### 三级\n| a | b |\n\n|x")
+    assert [(b.level, b.kind) for b in got] == [(1, "heading"), (2, "heading"), (0, "text"), (3, "heading"), (0, "table"), (0, "text")]
+    assert [b.text for b in one(spark, parse.text_blocks(F.col("t")), t="第一段。\n\n第二段。\n第三行。\n \n")] == ["第一段。", "第二段。\n第三行。"]
+    page = "<html><head><title>x</title></head><body><h1>T &amp; x</h1><p>a <b>b</b>\n c</p><script>no()</script><h6>S</h6><table><tr><td>1</td><td>2</td></tr></table>tail</body>"
+    got = one(spark, parse.html_blocks(F.col("t")), t=page)
+    assert [(b.text, b.level, b.kind) for b in got] == [("T & x", 1, "heading"), ("a b c", 0, "text"), ("S", 6, "heading"), ("1 2", 0, "table"), ("tail", 0, "text")]
+    assert one(spark, parse.html_blocks(F.col("t")), t=None) == []
+
+
+def test_sources(spark, tmp_path):
+    folder = tmp_path / "docs"
+    (folder / "sub").mkdir(parents=True)
+    (folder / "a.md").write_bytes("# 标题\n正文".encode() + b"\xff")
+    (folder / "sub/b.TXT").write_text("one\n\ntwo")
+    (folder / "c.exe").write_text("no")
+    (folder / ".hidden.md").write_text("no")
+    docs = {r.doc_id: r.text for r in files.load_documents(spark, str(folder)).collect() if not r.doc_id.startswith(".")}
+    assert set(docs) == {"a", "b"} and docs["a"].endswith("�")
+    assert {r.doc_id for r in files.load_documents(spark, str(folder), recursive=False).collect()} <= {"a", ".hidden"}
+    parsed, rejected = parse.route(files.load_documents(spark, str(folder)))
+    assert rejected.count() == 0 and {r.parser for r in parsed.collect()} == {"markdown", "text"}
+
+    config = tmp_path / "dirs.json"
+    config.write_text('[{"path": "/x", "department": "d"}, {"path": ""}, {"other": 1}]')
+    assert [tuple(r) for r in files.watched_dirs(spark, str(config)).collect()] == [("/x", "d")]
+    assert files.watched_dirs(spark, str(tmp_path / "none.json")).count() == 0
+
+    cases = tmp_path / "cases.json"
+    cases.write_text('[{"question": "q", "doc_id": "d"}, {"question": "r", "intent": "chat", "source": "golden"}]')
+    rows = files.load_cases(spark, str(cases))
+    assert [(r.question, r.intent, r.source, r.section_prefix) for r in rows.collect()] == [("q", "qa", "feedback", ""), ("r", "chat", "golden", "")]
+    assert [files.append_cases(rows, str(tmp_path / "out")) for _ in range(2)] == [2, 4]
+
+
+def test_store_replaces_documents(spark, tmp_path):
+    schema, store = "doc_id string, chunk_index int, content string", str(tmp_path / "store")
+    assert files.read_store(spark, store) is None
+    files.replace_in_store(spark, store, spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z")], schema))
+    files.replace_in_store(spark, store, spark.createDataFrame([("a", 0, "new")], schema))
+    assert sorted(tuple(r) for r in files.read_store(spark, store).collect()) == [("a", 0, "new"), ("b", 0, "z")]
+
+
+def test_upload_gate(spark):
+    rows = [("a.md", b"x", 1, "dept", "d"), ("a.exe", b"x", 1, "dept", "d"), ("a.pdf", b"%PDF-1", 1, "dept", "d"), ("a.pdf", b"nope", 1, "dept", "d"), ("a.md", b"x", 60 << 20, "dept", "d"), ("a.md", b"x", 1, "a/b", "d"), ("a.md", b"x", 1, "研发部", "a b"), ("a.docx", b"PK\x03", 1, "研发部", "文档_1")]
+    df = spark.createDataFrame(rows, "path string, content binary, size long, department string, doc_id string")
+    got = [r.x for r in df.select(files.upload_rejection(*[F.col(c) for c in df.columns]).alias("x")).collect()]
+    assert got == [None, "unsupported_type", None, "wrong_content", "too_large", "bad_department", "bad_doc_id", None]
+
+
+def test_connector(spark):
+    listing = spark.createDataFrame([("/d/a.md", 1, 1), ("/d/b.md", 2, 2), ("/d/c.md", 3, 3), ("/d/.h.md", 1, 1), ("/d/~$x.md", 1, 1), ("/d/x.exe", 1, 1)], "path string, size long, modified long")
+    state = listing.filter("path like '%a.md' or path like '%b.md'").select(text.path_key(F.col("path")).alias("path_key"), "path", text.fingerprint(F.col("size") - F.when(F.col("path").like("%b.md"), 1).otherwise(0), F.col("modified")).alias("fingerprint"), F.lit("old").alias("department"), F.lit("x").alias("doc_id"))
+    got = connector.scan_changes(listing, state)
+    assert {r.path: r.status for r in got.collect()} == {"/d/a.md": "skipped", "/d/b.md": "updated", "/d/c.md": "new"}
+    assert {r.doc_id for r in got.collect()} == {"d-a", "d-b", "d-c"}
+    done = got.filter("status != 'skipped'").withColumns({"ok": F.col("path") != "/d/b.md", "department": F.lit("")})
+    after = {r.path: r for r in connector.next_state(state, done).collect()}
+    before = {r.path: r for r in state.collect()}
+    assert after["/d/b.md"].fingerprint == before["/d/b.md"].fingerprint  # failed: tried again
+    assert after["/d/a.md"].department == "old" and "/d/c.md" in after
+
+
+def test_scalar_functions(spark):
+    long = "/p/" + "n" * 80 + "/" + "m" * 10 + ".md"
+    base = "n" * 80 + "-" + "m" * 10
+    assert one(spark, text.doc_id_from_path(F.col("p")), p=long) == base[:52] + "-" + hashlib.sha1(base.encode()).hexdigest()[:11]
+    assert one(spark, text.doc_id_from_path(F.col("p")), p="/x/我的 文档/--.md") == "我的-文档-doc"
+    assert one(spark, text.slug(F.col("p")), p="a b_c-1!.pdf") == "ab_c-1"
+    assert one(spark, text.json_body(F.col("p")), p='x ```{"a": [1]}``` y') == '{"a": [1]}'
+    assert one(spark, text.json_body(F.col("p")), p="x [1, 2] y") == "[1, 2]"
+    assert one(spark, text.intent(F.col("p")), p='{"intent": "summary"}') == "summary"
+    assert one(spark, text.intent(F.col("p")), p="broken") == "qa"
+    assert one(spark, text.parse_refs(F.col("p")), p="nope") == []
+    terms = {"发版": "发布", "上线": "发布"}
+    assert one(spark, text.expand_terms(F.col("p"), terms), p="系统今天发版了吗") == ["系统今天发布了吗"]
+    assert one(spark, text.expand_terms(F.col("p"), terms), p="明天发版并上线") == ["明天发布并发布"]
+    assert one(spark, text.expand_terms(F.col("p"), terms), p="没有") == []
+    digest = hashlib.sha256(b"abc").digest()
+    assert one(spark, text.hash_embedding(F.col("p"), 40), p="abc") == pytest.approx([digest[i % 32] / 255 for i in range(40)])
+    import zlib
+
+    assert one(spark, text.chunk_id(F.col("p"), F.lit(3)), p="doc") == zlib.crc32(b"doc:3") & 0x7FFFFFFF
+
+
+def test_model_cleaning(spark):
+    chunks = spark.createDataFrame([("d", i, "原文内容足够长的一段文字") for i in range(4)], "doc_id string, chunk_index int, content string")
+    results = spark.createDataFrame([("d", 0, "短", 0.9), ("d", 1, "原文内容足够长的一段", 0.5), ("d", 2, "原文内容足够长的一段", 0.9)], "doc_id string, chunk_index int, cleaned_text string, confidence double")
+    got = {r.chunk_index: (r.llm_status, r.content) for r in clean.apply_model_cleaning(chunks, results).collect()}
+    whole = "原文内容足够长的一段文字"
+    assert got == {0: ("fallback", whole), 1: ("fallback", whole), 2: ("cleaned", "原文内容足够长的一段"), 3: (None, whole)}
+
+
+def test_document_dedup_ignores_itself(spark):
+    hashes = spark.createDataFrame([(1, "h"), (2, "h"), (3, "k")], "doc_id long, content_hash string")
+    known = spark.createDataFrame([(3, "k"), (9, "h")], "doc_id long, content_hash string")
+    assert {r.doc_id: r.duplicate_of for r in clean.dedup_documents(hashes, known).collect()} == {1: 9, 2: 9, 3: None}
