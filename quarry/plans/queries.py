@@ -377,10 +377,10 @@ def a4(spark, sf):
     return stats.documents_by_department(load(spark, sf, t.DOCS).withColumn("department", F.when(F.col("department") == "dept0", "").otherwise(F.col("department"))))
 
 
-@query("a5_question_trend", f"""SELECT day, strftime(day, '%m-%d') AS label, (SELECT count(*) FROM {MESSAGES} WHERE role = 'user' AND CAST(TIMESTAMP '2024-01-01' + to_seconds(said_at) AS DATE) = day) AS questions
+@query("a5_question_trend", f"""SELECT CAST(day AS VARCHAR) AS day, strftime(day, '%m-%d') AS label, (SELECT count(*) FROM {MESSAGES} WHERE role = 'user' AND CAST(TIMESTAMP '2024-01-01' + to_seconds(said_at) AS DATE) = day) AS questions
 FROM (SELECT CAST(unnest(generate_series(DATE '2023-12-30', DATE '2024-01-05', INTERVAL 1 DAY)) AS DATE) AS day)""")
 def a5(spark, sf):
-    return stats.question_trend(messages(spark, sf), dt.date(2024, 1, 5))
+    return stats.question_trend(messages(spark, sf), dt.date(2024, 1, 5)).withColumn("day", F.col("day").cast("string"))
 
 
 @query("a6_by_status", f"SELECT status, count(*) AS n FROM {DOCS} GROUP BY status")
