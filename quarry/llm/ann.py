@@ -6,7 +6,8 @@ leaf. A query keeps a priority queue of tree nodes by distance and takes leaves
 calibrated: sampled queries are compared with brute force over all rows, and leaf visits widen until
 their mean recall reaches the target.
 
-Leaves with many rows are dealt into blocks by a hash, and a leaf's queries likewise, so no group grows
+Neighbouring leaves with few rows share a block, where a query meets the rows of the leaves it visits only.
+Leaves with many rows are dealt into blocks by a hash, and a block's queries likewise, so no group grows
 with the data or with copies of one vector. Scores are exact, in double precision.
 
 Vectors that are null, empty, zero, hold null or non-finite components, or differ in length from most
@@ -29,8 +30,8 @@ from quarry.llm.common import checkpointed
 SAMPLE, BRANCH, LEAF, ROUNDS = 20_000, 8, 64, 8
 #: Queries that calibrate, and the mean recall they must reach.
 CALIBRATION, RECALL = 100, 0.97
-#: Rows of a block of a leaf, queries that meet it at once.
-BLOCK, QUERIES = 4096, 1024
+#: Rows of a block, queries that meet it at once, pairs scored exactly at once.
+BLOCK, QUERIES, PAIRS = 4096, 1024, 50_000
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -113,18 +114,28 @@ def matrix(vectors: pd.Series) -> np.ndarray:
     return np.array(vectors.tolist(), dtype=np.float64) if len(vectors) else np.zeros((0, 0))
 
 
-def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k best (all that tie with the last included): query id, ids, exact scores."""
+def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, meets: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query, among those that it meets: number of the query, number of the row, exact score."""
     rough = q @ x.T
-    for i in range(len(q)):
-        row = np.where(ids == q_ids[i], -np.inf, rough[i])
-        near = np.flatnonzero(row > -np.inf)
-        if len(near) > k:
-            last = np.partition(row[near], len(near) - k)[len(near) - k]
-            near = near[row[near] >= last - 1e-9 * max(1.0, abs(last))]
-        score = (q[i] * x[near]).sum(axis=1)  # the same order of additions wherever a vector stands
-        order = np.lexsort((ids[near], -score))[:k]
-        yield q_ids[i], ids[near][order], score[order]
+    out = q_ids[:, None] == ids[None, :]
+    if meets is not None:
+        out |= ~meets
+    rough[out] = -np.inf
+    last = np.partition(rough, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(q), -np.inf)
+    near = (rough >= (last - 1e-9 * np.maximum(1.0, np.abs(last)))[:, None]) & ~out  # all that may tie with the last
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    turn = np.cumsum(near.sum(axis=1)) // PAIRS
+    for t in np.unique(turn):
+        mine = np.flatnonzero(turn == t)
+        i, j = np.nonzero(near[mine])
+        i = mine[i]
+        score = (q[i] * x[j]).sum(axis=1)  # the same order of additions wherever a vector stands
+        order = np.lexsort((ids[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        first = np.searchsorted(i, i, side="left")
+        keep = np.arange(len(i)) - first < k
+        found.append((i[keep], j[keep], score[keep]))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
 def valid_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -157,34 +168,59 @@ def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col
     counts = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}  # a row per leaf of the tree
     queries = indexed.filter(is_query(F.col("vec_id"))).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("q"))
     width = calibrate(indexed, queries, tree, k, recall)
+    pack_of = packed(counts)
+    packs = spark.sparkContext.broadcast(pack_of)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            leaves = [sent.value.visit(np.asarray(v, dtype=np.float64), width) for v in b["q"]]
-            yield b.assign(leaves=leaves)
-
-    routed = queries.mapInPandas(route, "query_id long, q array<double>, leaves array<long>").select("query_id", "q", F.explode("leaves").alias("leaf"))
-    routed = checkpointed(routed)
-    asked = {r["leaf"]: r["count"] for r in routed.groupBy("leaf").count().collect()}
-    shape = spark.createDataFrame([(leaf, -(-n // BLOCK), -(-asked[leaf] // QUERIES)) for leaf, n in counts.items() if leaf in asked], "leaf long, blocks int, turns int")
-    shape = F.broadcast(shape)  # a row per leaf
+            out: dict[tuple[int, int], list[int]] = {}
+            for n, v in enumerate(b["q"]):
+                for leaf in sent.value.visit(np.asarray(v, dtype=np.float64), width):
+                    if leaf in packs.value:
+                        out.setdefault((n, packs.value[leaf]), []).append(leaf)
+            part = b.iloc[[n for n, _ in out]].reset_index(drop=True)
+            yield part.assign(pack=pd.Series([p for _, p in out], dtype="int64"), leaves=pd.Series(list(out.values()), dtype=object))
+
+    routed = checkpointed(queries.mapInPandas(route, "query_id long, q array<double>, pack long, leaves array<long>"))
+    asked = {r["pack"]: r["count"] for r in routed.groupBy("pack").count().collect()}  # at most a row per leaf
+    rows_of: dict[int, int] = {}
+    for leaf, pack in pack_of.items():
+        rows_of[pack] = rows_of.get(pack, 0) + counts[leaf]
+    shape = [(leaf, pack, -(-rows_of[pack] // BLOCK), -(-asked[pack] // QUERIES)) for leaf, pack in pack_of.items() if pack in asked]
+    shape = F.broadcast(spark.createDataFrame(shape, "leaf long, pack long, blocks int, turns int"))  # a row per leaf
+    packed_shape = F.broadcast(shape.select("pack", "blocks", "turns").distinct())
     dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n).cast("long"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
-    left = routed.join(shape, "leaf").withColumn("turn", dealt("query_id", "turns")).withColumn("block", every("blocks")).select("leaf", "block", "turn", "query_id", "q")
-    right = indexed.join(shape, "leaf").withColumn("block", dealt("vec_id", "blocks")).withColumn("turn", every("turns")).select("leaf", "block", "turn", "vec_id", "vec")
+    left = routed.join(packed_shape, "pack").withColumn("turn", dealt("query_id", "turns")).withColumn("block", every("blocks")).select("pack", "block", "turn", "query_id", "q", "leaves")
+    right = indexed.join(shape, "leaf").withColumn("block", dealt("vec_id", "blocks")).withColumn("turn", every("turns")).select("pack", "block", "turn", "vec_id", "vec", "leaf")
 
     def meet(asking: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        out = list(best(matrix(asking["q"]), asking["query_id"].to_numpy(), matrix(there["vec"]), there["vec_id"].to_numpy(), k)) if len(asking) and len(there) else []
-        if not out:
+        if not len(asking) or not len(there):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        return pd.DataFrame({"query_id": np.repeat([q for q, _, _ in out], [len(i) for _, i, _ in out]), "vec_id": np.concatenate([i for _, i, _ in out]), "score": np.concatenate([s for _, _, s in out])})
+        leaves, code = np.unique(there["leaf"].to_numpy(), return_inverse=True)
+        visits = np.array([np.isin(leaves, mine) for mine in asking["leaves"]])
+        q_ids, ids = asking["query_id"].to_numpy(), there["vec_id"].to_numpy()
+        i, j, score = best(matrix(asking["q"]), q_ids, matrix(there["vec"]), ids, k, visits[:, code])
+        return pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[j], "score": score})
 
-    keys = ["leaf", "block", "turn"]
+    keys = ["pack", "block", "turn"]
     local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return local.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def packed(counts: dict[int, int]) -> dict[int, int]:
+    """The pack of each leaf with rows: neighbours in the tree share one while they hold BLOCK rows or fewer."""
+    out: dict[int, int] = {}
+    pack, held = 0, 0
+    for leaf in sorted(counts):
+        if held and held + counts[leaf] > BLOCK:
+            pack, held = pack + 1, 0
+        out[leaf] = pack
+        held += counts[leaf]
+    return out
+
+
 def exact(indexed: DataFrame, asked: list[tuple[int, list[float]]], k: int) -> DataFrame:
     """query_id, vec_id, leaf, score: brute force over all rows for a bounded list of queries."""
     sent = indexed.sparkSession.sparkContext.broadcast((np.array([i for i, _ in asked]), np.array([v for _, v in asked], dtype=np.float64)))
@@ -192,10 +228,9 @@ def exact(indexed: DataFrame, asked: list[tuple[int, list[float]]], k: int) -> D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q_ids, q = sent.value
         for b in batches:
-            ids, leaf = b["vec_id"].to_numpy(), b["leaf"].to_numpy()
-            where = {v: i for i, v in enumerate(ids)}
-            for query, near, score in best(q, q_ids, matrix(b["vec"]), ids, k):
-                yield pd.DataFrame({"query_id": query, "vec_id": near, "leaf": leaf[[where[v] for v in near]], "score": score})
+            if len(b):
+                i, j, score = best(q, q_ids, matrix(b["vec"]), b["vec_id"].to_numpy(), k)
+                yield b[["vec_id", "leaf"]].iloc[j].assign(query_id=q_ids[i], score=score)[["query_id", "vec_id", "leaf", "score"]]
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return indexed.mapInPandas(run, "query_id long, vec_id long, leaf long, score double").withColumn("rank", rank).filter(F.col("rank") <= k)
