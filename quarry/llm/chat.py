@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ from quarry.llm.common import small_batches
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 TRAINED_ROLE = "assistant"
+#: Characters whose tokens a worker holds at once, about.
+HELD = 200_000
 ESCAPED = re.compile(r"[\\<\[|]")
 TURN = re.compile(r"<\|((?:[^\\|]|\\.)*)\|>\n((?:[^\\<]|\\.)*)\n<\|end\|>\n", re.DOTALL)
 Span = tuple[int, int]
@@ -50,10 +53,15 @@ def render(roles: list[str], texts: list[str]) -> tuple[str, list[Span]]:
     return "".join(out), spans
 
 
-def align(spans: list[Span], offsets: np.ndarray) -> tuple[np.ndarray, list[Span]]:
+def offsets(pairs: list[Span]) -> np.ndarray:
+    """A row for each token: its start and end."""
+    return np.fromiter(chain.from_iterable(pairs), dtype=np.int64, count=2 * len(pairs)).reshape(-1, 2)
+
+
+def align(spans: list[Span], places: np.ndarray) -> tuple[np.ndarray, list[Span]]:
     """Which tokens meet a span, and the stretches of the spans that tokens cover, joined where they touch."""
-    mask, covered = np.zeros(len(offsets), dtype=bool), []
-    starts, ends = (offsets[:, 0], offsets[:, 1]) if len(offsets) else (np.zeros(0, int), np.zeros(0, int))
+    mask, covered = np.zeros(len(places), dtype=bool), []
+    starts, ends = (places[:, 0], places[:, 1]) if len(places) else (np.zeros(0, int), np.zeros(0, int))
     for low, high in spans:
         i, j = np.searchsorted(ends, low, side="right"), np.searchsorted(starts, high, side="left")
         mask[i:j] = True
@@ -82,11 +90,13 @@ def format_conversations(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFra
 
         t = Tokenizer.from_str(sent.value)
         t.encode_special_tokens = True
-        for b in batches:
-            rendered = [render(list(r), list(x)) for r, x in zip(b["roles"], b["texts"], strict=True)]
-            encoded = t.encode_batch([text for text, _ in rendered], add_special_tokens=False)
-            met = [align(spans, np.array(e.offsets, dtype=np.int64).reshape(-1, 2)) for (_, spans), e in zip(rendered, encoded, strict=True)]
-            yield pd.DataFrame({"conv_id": b["conv_id"], "formatted": [x for x, _ in rendered], "ids": [np.array(e.ids, dtype=np.int32) for e in encoded], "loss_mask": [m for m, _ in met], "loss_spans": [[{"start": s, "end": e} for s, e in c] for _, c in met]})
+        for whole_batch in batches:
+            size = np.cumsum([sum(map(len, x)) for x in whole_batch["texts"]]) // HELD
+            for _, b in whole_batch.groupby(size, sort=False):
+                rendered = [render(list(r), list(x)) for r, x in zip(b["roles"], b["texts"], strict=True)]
+                encoded = t.encode_batch([text for text, _ in rendered], add_special_tokens=False)
+                met = [align(spans, offsets(e.offsets)) for (_, spans), e in zip(rendered, encoded, strict=True)]
+                yield pd.DataFrame({"conv_id": b["conv_id"].to_numpy(), "formatted": [x for x, _ in rendered], "ids": [np.array(e.ids, dtype=np.int32) for e in encoded], "loss_mask": [m for m, _ in met], "loss_spans": [[{"start": s, "end": e} for s, e in c] for _, c in met]})
 
     id_type = rows.schema["conv_id"].dataType.simpleString()
     return whole.mapInPandas(run, f"conv_id {id_type}, formatted string, ids array<int>, loss_mask array<boolean>, loss_spans array<struct<start:int,end:int>>")
