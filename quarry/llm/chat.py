@@ -76,6 +76,21 @@ def align(spans: list[Span], places: np.ndarray) -> tuple[np.ndarray, list[Span]
     return mask, covered
 
 
+_LOADED: dict[int, object] = {}
+
+
+def loaded(config: str):
+    """The tokenizer, once in each worker."""
+    from tokenizers import Tokenizer
+
+    key = hash(config)
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = Tokenizer.from_str(config)
+        _LOADED[key].encode_special_tokens = True
+    return _LOADED[key]
+
+
 def format_conversations(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """conv_id, formatted, ids, loss_mask (by token), loss_spans (by code point): one row per conversation."""
     small_batches(rows.sparkSession)
@@ -86,10 +101,7 @@ def format_conversations(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFra
     whole = rows.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.transform("turns", lambda x: x["role"]).alias("roles"), F.transform("turns", lambda x: x["text"]).alias("texts"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_str(sent.value)
-        t.encode_special_tokens = True
+        t = loaded(sent.value)
         for whole_batch in batches:
             size = np.cumsum([sum(map(len, x)) for x in whole_batch["texts"]]) // HELD
             for _, b in whole_batch.groupby(size, sort=False):
