@@ -45,6 +45,33 @@ def test_search_of_little(spark):
     assert [(r.query_id, r["rank"], r.vec_id) for r in ann.search(few, lambda v: v % 20 == 0).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
 
 
+@pytest.mark.parametrize("pairs", [1, 50, 50_000])
+def test_best_of_a_block_matches_brute_force(monkeypatch, pairs):
+    monkeypatch.setattr(ann, "PAIRS", pairs)
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, size=(90, 4)).astype(float)  # many ties
+    q, q_ids, ids = x[:12], np.arange(12), rng.permutation(90)
+    for meets in (None, rng.random((12, 90)) < 0.3, np.zeros((12, 90), dtype=bool)):
+        got = list(zip(*(a.tolist() for a in ann.best(q, q_ids, x, ids, 7, meets)), strict=True))
+        wanted = []
+        for i in range(12):
+            rows = [j for j in range(90) if ids[j] != i and (meets is None or meets[i, j])]
+            rows.sort(key=lambda j: (-(q[i] @ x[j]), ids[j]))
+            wanted += [(i, j, float(q[i] @ x[j])) for j in rows[:7]]
+        assert got == wanted
+
+
+def test_leaves_are_packed_up_to_a_block():
+    rng = random.Random(6)
+    counts = {leaf: rng.choice([1, 60, 3000, 4096, 4097, 90_000]) for leaf in rng.sample(range(900), 300)}
+    packs = ann.packed(counts)
+    assert set(packs) == set(counts) and ann.packed({}) == {}
+    held = {}
+    for leaf, pack in packs.items():
+        held.setdefault(pack, []).append(counts[leaf])
+    assert all(len(rows) == 1 or sum(rows) <= ann.BLOCK for rows in held.values())
+
+
 CHAT = "conv_id long, turn long, role string, text string, formatted string"
 
 
