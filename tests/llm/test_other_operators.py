@@ -183,6 +183,19 @@ def test_pii_keeps_base_and_leaves_clean_texts(spark):
     assert pii.find(empty, pii.train(empty)).count() == 0
 
 
+def test_pii_learns_nothing_false_from_loose_forms_in_the_corpus(spark):
+    rng = random.Random(4)
+    base = [f"write to a{i}.b@mail{i % 9}.example.com or +1 (5{10 + i % 90}) 555-{1000 + i} please" for i in range(100)]
+    loose = [f"call {rng.randint(200, 989)}.555.{1000 + i} soon, or write to jane{i} at example dot com for more" for i in range(400)]
+    wrong = [f"on {1990 + i % 30}-0{1 + i % 9}-1{i % 9} the order 411111111111{1000 + i} version 12.345.{1000 + i} came; the point at the dot on the map, token 7c{i:03}{74656391396 + i}d" for i in range(200)]
+    for t in loose:
+        assert not [y for _, y in pii.labelled(t)]
+    df = spark.createDataFrame(list(enumerate(base + loose + wrong)), "doc_id long, text string")
+    got = {r.doc_id: [s.kind for s in r.spans] for r in pii.find(df, pii.train(df)).collect()}
+    assert all(got[i] == ["email", "phone"] for i in range(500))
+    assert all(set(got[i]) <= {"card"} for i in range(500, 700))  # a card only where it is a base span
+
+
 def test_boosting_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 3))
