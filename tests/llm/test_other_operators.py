@@ -196,6 +196,35 @@ def test_pii_learns_nothing_false_from_loose_forms_in_the_corpus(spark):
     assert all(set(got[i]) <= {"card"} for i in range(500, 700))  # a card only where it is a base span
 
 
+def luhn_card(rng):
+    digits = "".join(str(rng.randint(0, 9)) for _ in range(15))
+    return digits + next(str(d) for d in range(10) if pii.luhn(digits + str(d)))
+
+
+def test_pii_sample_keeps_every_kind_beside_many_copies(spark):
+    rng = random.Random(12)
+    hot = spark.range(3000).selectExpr("id as doc_id", "'mail me at one@mail.example.com now' as text")
+    rare = [f"see 10.{i}.{i % 7}.{i * 3} or {luhn_card(rng)} or +1 (5{10 + i}) 555-{1000 + i * 17}" for i in range(60)]
+    df = hot.union(spark.createDataFrame([(9000 + i, t) for i, t in enumerate(rare)], "doc_id long, text string"))
+    cases = pii.sampled(df, most=400)
+    assert len(cases) <= 400
+    assert {(int(x[0]), y) for x, y, _, _ in cases} >= {(k, y) for k in (1, 2, 3) for y in (0, 1)} | {(0, 1)}
+    assert max(n for _, _, n, _ in cases) == 3000
+    whole = pii.sampled(df)
+    for group in {(x[0], y) for x, y, _, _ in whole}:  # what isn't taken is weighed in
+        assert sum(n * w for x, y, n, w in cases if (x[0], y) == group) == pytest.approx(sum(n for x, y, n, _ in whole if (x[0], y) == group))
+    found = pii.find(spark.createDataFrame([(1, "tel (564) 555-4526 please")], df.schema), pii.train(df, most=400)).first()
+    assert [s.kind for s in found.spans] == ["phone"]
+
+
+def test_boosting_weighs_rows():
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 6, (300, 3)).astype(float), rng.integers(0, 2, 300).astype(float)
+    n = rng.integers(1, 5, 300)
+    weighed, every = boost.Boosted().fit(x, y, n.astype(float)), boost.Boosted().fit(np.repeat(x, n, axis=0), np.repeat(y, n))
+    assert np.allclose(weighed.predict(x), every.predict(x))
+
+
 def test_boosting_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 3))
