@@ -5,7 +5,8 @@ to right into longest phrases that occur in the sample; the fewer phrases, the b
 explains it. Phrases are normalised by letters and by the logarithm of the sample's length.
 
 The automaton is stored as one table that gives, for a state and a character, the next state and the
-number of phrases ended. Texts are cut into blocks that are walked side by side in numpy, so a long
+number of phrases ended. It has full columns for the commonest characters of the language's own sample; the ways on
+of its other characters are kept in a sorted list, so every character of a sample counts, in any script. Texts are cut into blocks that are walked side by side in numpy, so a long
 text is only more blocks. A block's end ends a phrase, alike for every language. Digits
 and signs below U+0100 are left out.
 
@@ -14,9 +15,11 @@ Null texts and texts without a letter get `und` with score 0, as do all when not
 
 from __future__ import annotations
 
-import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,7 +31,7 @@ from quarry.llm.common import small_batches
 UNKNOWN = "und"
 #: The bound of the labelled sample: texts a language, and the characters that a sampled text may have.
 SAMPLE_TEXTS, SAMPLE_LEAST, SAMPLE_MOST = 40, 100, 1500
-#: Characters told apart; others never match. Block length.
+#: Columns of a language's table: its commonest characters, and one for those that its sample lacks. Block length.
 ALPHABET, BLOCK = 48, 256
 
 
@@ -45,7 +48,19 @@ def sample(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "tex
     return sorted((r["lang"], r["text"]) for r in found if (r["lang"], r["h"]) in wanted)
 
 
-SIGNS = re.compile(r"[^\w\s]|[\d_]")
+class Table(NamedTuple):
+    """dense[state * ALPHABET + column], and values by sorted keys (state * width + column) of the other columns, each 4 * next state + phrases ended."""
+
+    column: np.ndarray  # of each class; 0 for those the sample lacks, which match nothing
+    dense: np.ndarray
+    keys: np.ndarray
+    values: np.ndarray
+    first: np.ndarray  # of each column: the value in the first state
+
+
+def letters(text: str) -> str:
+    """Without signs and digits; marks are parts of letters."""
+    return "".join(c for c in text if c.isspace() or (c.isalnum() and not c.isdecimal()) or unicodedata.category(c)[0] == "M")
 
 
 def plain(text: str) -> str:
@@ -53,25 +68,26 @@ def plain(text: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def automata(labelled: tuple[tuple[str, str], ...]) -> tuple[list[str], dict[str, int], list[tuple[np.ndarray, float]]]:
+def automata(labelled: tuple[tuple[str, str], ...]) -> tuple[list[str], dict[str, int], list[tuple[Table, float]]]:
     """(languages, class of each character, [(table, log2 of the sample's length)]). Built once in each worker."""
     joined: dict[str, str] = {}
     for lang, text in labelled:
-        joined[lang] = joined.get(lang, "") + plain(SIGNS.sub("", text)) + "\n"  # no text has \n now, so no phrase spans two
-    counts: dict[str, int] = {}
-    for text in joined.values():
-        for c in set(text) - {"\n"}:
-            counts[c] = counts.get(c, 0) + text.count(c)
-    classes = {c: k + 1 for k, c in enumerate(sorted(counts, key=lambda c: (-counts[c], c))[: ALPHABET - 1])}
+        joined[lang] = joined.get(lang, "") + plain(letters(text)) + "\n"  # no text has \n now, so no phrase spans two
+    classes = {c: k + 1 for k, c in enumerate(sorted(set().union(*joined.values()) - {"\n"}))}
     return sorted(joined), classes, [(_table(joined[x], classes), float(np.log2(max(2, len(joined[x]))))) for x in sorted(joined)]
 
 
-def _table(text: str, classes: dict[str, int]) -> np.ndarray:
-    """table[state * ALPHABET + class] = 4 * next state + phrases ended. Class 0 matches nothing."""
+def _table(text: str, classes: dict[str, int]) -> Table:
+    counts = Counter(text)
+    del counts["\n"]
+    columns = {c: k + 1 for k, c in enumerate(sorted(counts, key=lambda c: (-counts[c], c)))}
+    column = np.zeros(len(classes) + 1, dtype=np.int32)
+    for c, k in columns.items():
+        column[classes[c]] = k
     step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text:
-        k = classes.get(c, 0)  # 0 also parts the texts; it is left out of the table
+        k = columns.get(c, 0)  # 0 parts the texts; it is left out of the table
         new = len(step)
         step.append({})
         length.append(length[last] + 1)
@@ -94,18 +110,34 @@ def _table(text: str, classes: dict[str, int]) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    table = np.zeros((len(step), ALPHABET), dtype=np.int32)
-    start = np.full(ALPHABET, 1, dtype=np.int32)  # an unknown character is a phrase of its own
+    width = max(ALPHABET, len(columns) + 1)
+    first = np.full(width, 1, dtype=np.int32)  # an unknown character is a phrase of its own
     for k, s in step[0].items():
         if k:
-            start[k] = 4 * s
-    table[:] = start + 1  # else the phrase ends, and the next begins here
-    table[0] = start
+            first[k] = 4 * s
+    dense = np.zeros((len(step), ALPHABET), dtype=np.int32)
+    dense[:] = first[:ALPHABET] + 1  # else the phrase ends, and the next begins here
+    dense[0] = first[:ALPHABET]
+    others: dict[int, int] = {}
     for s, outs in enumerate(step):
         for k, t in outs.items():
-            if k:
-                table[s, k] = 4 * t
-    return table.ravel()
+            if k >= ALPHABET:
+                others[s * width + k] = 4 * t
+            elif k:
+                dense[s, k] = 4 * t
+    keys = np.array(sorted(others), dtype=np.int64)
+    return Table(column, dense.ravel(), keys, np.array([others[k] for k in keys.tolist()], dtype=np.int32), first)
+
+
+def _next(table: Table, state: np.ndarray, column: np.ndarray, others: bool) -> np.ndarray:
+    if not others:
+        return table.dense[state * ALPHABET + column]
+    rare = column >= ALPHABET
+    got = table.dense[state * ALPHABET + np.where(rare, 0, column)]
+    keys = state[rare].astype(np.int64) * len(table.first) + column[rare]
+    at = np.minimum(np.searchsorted(table.keys, keys), len(table.keys) - 1)
+    got[rare] = np.where(table.keys[at] == keys, table.values[at], table.first[column[rare]] + 1)  # the first state knows all
+    return got
 
 
 def _codes(text: str, classes: np.ndarray) -> np.ndarray:
@@ -114,10 +146,10 @@ def _codes(text: str, classes: np.ndarray) -> np.ndarray:
     return codes[codes >= 0]
 
 
-def phrases(texts: list[str], classes: dict[str, int], tables: list[np.ndarray]) -> np.ndarray:
+def phrases(texts: list[str], classes: dict[str, int], tables: list[Table]) -> np.ndarray:
     """Phrases by text and language."""
     width = max([ord(c) for c in classes], default=0) + 2
-    known = np.zeros(max(width, 257), dtype=np.int16)
+    known = np.zeros(max(width, 257), dtype=np.int32)
     known[[c for c in range(256) if not chr(c).isalpha() and c != 32]] = -1  # digits and signs tell nothing
     for c, k in classes.items():
         known[ord(c)] = k
@@ -136,14 +168,17 @@ def phrases(texts: list[str], classes: dict[str, int], tables: list[np.ndarray])
     order = np.argsort(-sizes, kind="stable")
     blocks, owners, sizes = np.ascontiguousarray(blocks[order].T), owners[order], sizes[order]
     live = np.searchsorted(-sizes, -np.arange(BLOCK), side="left")  # blocks longer than each offset
+    np.maximum(blocks, 0, out=blocks)
     for column, table in enumerate(tables):
+        mine = table.column[blocks]
+        others = (mine >= ALPHABET).any(axis=1) if len(table.keys) else np.zeros(BLOCK, dtype=bool)
         state = np.zeros(len(owners), dtype=np.int32)
         count = np.zeros(len(owners), dtype=np.int32)
         for at in range(BLOCK):
             m = live[at]
             if not m:
                 break
-            got = table[state[:m] * ALPHABET + blocks[at, :m]]
+            got = _next(table, state[:m], mine[at, :m], others[at])
             count[:m] += got & 3
             state[:m] = got >> 2
         count += state > 0  # the phrase that the block's end ends

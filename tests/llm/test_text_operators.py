@@ -209,6 +209,24 @@ def test_cross_parsing_counts_longest_phrases():
             assert counts[i, k] == brute_phrases(t, SAMPLES[lang].strip())
 
 
+def test_language_of_many_scripts(spark):
+    rng = random.Random(11)
+    signs = {"en": (97, 26), "fr": (0xE0, 40), "ru": (0x430, 32), "el": (0x3B1, 25), "hi": (0x905, 0x40), "zh": (0x4E00, 1500)}
+    words = {k: ["".join(chr(at + rng.randrange(n)) for _ in range(rng.randint(2, 4))) for _ in range(600 if k == "zh" else 150)] for k, (at, n) in signs.items()}
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    labelled = tuple((k, text(k, 120)) for k in words for _ in range(10))
+    languages, classes, models = langid.automata(labelled)
+    samples = {k: "\n".join(langid.plain(langid.letters(t)) for x, t in labelled if x == k) for k in words}
+    assert set(classes) == {c for t in samples.values() for c in t} - {"\n"}
+    texts = [langid.plain(langid.letters(text(k, 90) + " " + text(other, 20))) for k in words for other in words]
+    counts = langid.phrases(texts, classes, [t for t, _ in models])
+    assert counts.tolist() == [[brute_phrases(t, samples[k]) for k in languages] for t in texts]
+    df = docs(spark, [text(k, n) for k in words for n in (5, 40)])
+    got = {r.doc_id: r for r in langid.identify(df, list(labelled)).collect()}
+    assert [got[i].lang_pred for i in range(len(got))] == [k for k in words for _ in range(2)]
+    assert min(r.score for r in got.values()) > 0.1
+
+
 def test_language(spark):
     labelled = [(k, v) for k, v in SAMPLES.items()]
     df = docs(spark, ["the other house and the world", "die andere welt und das haus", None, "", "123 ### ..", "the " * 50_000])
