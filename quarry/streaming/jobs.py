@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -80,11 +80,37 @@ def _run(state: State, rows: pd.DataFrame) -> tuple[State, pd.DataFrame]:
     return state, pd.DataFrame({"username": rows["username"], "ts": rows["ts"].astype(float), "outcome": out})
 
 
+def attempt_pieces(rows: DataFrame) -> DataFrame:
+    """rows with the piece of their user's attempts that they are in. Before each piece lie LOCK_SECONDS or more
+    without an attempt, so counts and locks have run out, and pieces don't depend on each other."""
+    # such a gap always parts two stretches of LOCK_SECONDS, so cuts are sought among stretches and not among attempts
+    rows = rows.withColumn("stretch", F.floor(F.nanvl("ts", F.lit(None).cast("double")) / LOCK_SECONDS))
+    held = rows.groupBy("username", "stretch").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    w = Window.partitionBy("username").orderBy("stretch")
+    cut = F.coalesce(F.col("first") >= F.lag("last").over(w) + F.lit(float(LOCK_SECONDS)), F.lit(True))
+    held = held.withColumn("cut", F.when(cut, F.col("stretch"))).select(F.col("username").alias("u"), F.col("stretch").alias("s"), F.max("cut").over(w).alias("piece"))
+    return rows.join(held, F.col("username").eqNullSafe(F.col("u")) & F.col("stretch").eqNullSafe(F.col("s"))).drop("u", "s", "stretch")
+
+
+def _in_turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Outcomes of rows that come by user and piece in order of time; a piece may go on in the next batch."""
+    state, of = (0, 0.0, 0.0), None
+    for b in batches:
+        out = []
+        for user, piece, ts, success in zip(b["username"], b["piece"], b["ts"], b["success"], strict=True):
+            if (user, piece) != of:
+                state, of = (0, 0.0, 0.0), (user, piece)
+            state, outcome = next_attempt(state, float(ts), bool(success))
+            out.append(outcome)
+        yield pd.DataFrame({"username": b["username"], "ts": b["ts"].astype(float), "outcome": out})
+
+
 def login_lockout(attempts: DataFrame) -> DataFrame:
     """username, ts, outcome of attempts (username, ts in seconds, success); a stream keeps each user's state."""
     rows = attempts.select("username", F.col("ts").cast("double").alias("ts"), "success")
     if not attempts.isStreaming:
-        return rows.groupBy("username").applyInPandas(lambda g: _run((0, 0.0, 0.0), g)[1], ATTEMPT)
+        dealt = attempt_pieces(rows).repartition("username", "piece").sortWithinPartitions("username", "piece", "ts", "success")
+        return dealt.mapInPandas(_in_turn, ATTEMPT)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +131,34 @@ def test_lockout_rules():
     assert state[0] == 1  # the window that began at 400 is over
 
 
+def test_batch_lockout_in_pieces(spark):
+    rng = random.Random(7)
+    rows = [("hot", float(t), rng.random() < 0.1) for start in range(0, 90_000, 3_000) for t in (start + rng.randint(0, 1500) for _ in range(60))]
+    rows += [("edge", float(t), False) for t in (0, 1, 2, 3, 303, 304, 305, 306, 307, 606, 607, 907)]
+    rows += [(u, rng.random() * 20_000, rng.random() < 0.3) for u in ("a", "b", None) for _ in range(150)] + [("a", None, False), ("b", float("nan"), True)]
+    df = spark.createDataFrame(rows, "username string, ts double, success boolean")
+    expected = []
+    for user in {u for u, _, _ in rows}:
+        state = (0, 0.0, 0.0)
+        for ts, ok in sorted((float("inf") if t is None or t != t else t, ok) for u, t, ok in rows if u == user):
+            state, outcome = jobs.next_attempt(state, ts, ok)
+            expected.append((str(user), ts, outcome))
+    got = [(str(r.username), float("inf") if r.ts is None or r.ts != r.ts else r.ts, r.outcome) for r in jobs.login_lockout(df).collect()]
+    assert sorted(got) == sorted(expected)
+    assert {"locked", "failed", "ok"} <= {o for u, _, o in got if u == "hot"}
+    sizes = [r["count"] for r in jobs.attempt_pieces(df).filter("username = 'hot'").groupBy("piece").count().collect()]
+    assert sum(sizes) == 1800 and len(sizes) >= 30 and max(sizes) <= 60
+
+
+def test_lockout_query_is_of_real_users(spark):
+    from quarry.plans.queries import QUERIES
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").filter("event_type in ('error', 'view')")
+    got = QUERIES["t3_login_lockout"](spark, "/root/testdata/sf0.001")
+    assert {r.username for r in got.select("username").distinct().collect()} == {str(r.user_id) for r in events.select("user_id").distinct().collect()}
+    assert got.count() == events.count()
+
+
 def write(spark, rows, schema, folder, n):
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
 
