@@ -138,6 +138,31 @@ def f1_tail(spark, sf):
     return masked.select("doc_id", F.col("masked").alias("tail"), "n")
 
 
+def masks_sql(text: str, pattern: str, mask: str) -> str:
+    """SQL for the text with each match m replaced by mask."""
+    return f"array_to_string(list_transform(list_zip(string_split_regex({text}, '{pattern}'), regexp_extract_all({text}, '{pattern}')), lambda z: z[1] || coalesce(list_transform([z[2]], lambda m: {mask})[1], '')), '')"
+
+
+ENDS = "left({0}, 4) || repeat('*', length({0}) - 8) || right({0}, 4)"
+#: The built-in rules one after another. Runs of digits are met whole, as this engine can't look at a match's neighbours.
+TEXT_MASKS = (
+    ("[0-9]+", "CASE WHEN length(m) = 11 AND regexp_matches(m, '^1[3-9]') THEN left(m, 3) || '****' || right(m, 4) ELSE m END"),
+    ("[0-9]+[Xx]?", f"CASE WHEN regexp_matches(m, '^([0-9]{{17}}[0-9Xx]|[0-9]{{15}})$') THEN {ENDS.format('m')} WHEN regexp_matches(m, '^([0-9]{{18}}|[0-9]{{15}})[Xx]$') THEN {ENDS.format('left(m, -1)')} || right(m, 1) ELSE m END"),
+    ("[0-9]+", f"CASE WHEN length(m) BETWEEN 16 AND 19 THEN {ENDS.format('m')} ELSE m END"),
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "left(m, 1) || '****@' || split_part(m, '@', 2)"),
+    (r"\b(?:sk|pk|ak)-[A-Za-z0-9_-]{8,}\b", ENDS.format("m")),
+    (r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "repeat('*', length(m))"),
+)
+TEXT_SQL = f"SELECT doc_id, text FROM {named(SENSITIVE)}"
+for pattern, mask in TEXT_MASKS:
+    TEXT_SQL = f"SELECT doc_id, {masks_sql('text', pattern, mask)} AS text FROM ({TEXT_SQL})"
+
+
+@query("f1_redacted_text", f"SELECT doc_id, length(text) AS n, md5(text) AS digest FROM ({TEXT_SQL})")
+def f1_text(spark, sf):
+    return redaction.redacted(load(spark, sf, SENSITIVE)).select("doc_id", F.length("masked").alias("n"), F.md5("masked").alias("digest"))
+
+
 @query("f2_configured_rules", f"SELECT doc_id, replace(text, 'the', '##') AS masked FROM (SELECT doc_id, regexp_replace(text, '[0-9@-]', '', 'g') AS text FROM documents)")
 def f2(spark, sf):
     rules, mark = redaction.compile_rules({"replace_with": "##", "rules": [{"type": "word", "name": "w", "words": ["the"]}, {"type": "pattern", "name": "bad", "pattern": "("}]})
@@ -691,3 +716,11 @@ def t7(spark, sf):
     tail = load(spark, sf, SENSITIVE).select("doc_id", F.element_at(F.split("text", " "), -1).alias("tail"))
     deltas = tail.select(F.col("doc_id").alias("answer_id"), F.posexplode(F.split("tail", "")).alias("seq", "delta"))
     return jobs.redact_stream(deltas).select("answer_id", "masked")
+
+
+@query("t7_redact_stream_text", f"SELECT doc_id AS answer_id, length(text) AS n, md5(text) AS digest FROM ({TEXT_SQL}) WHERE text IS NOT NULL")
+def t7_text(spark, sf):
+    """Whole texts in frames of 40 characters, which cut matches."""
+    frames = F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,40}"), F.lit(0))).alias("seq", "delta")
+    masked = jobs.redact_stream(load(spark, sf, SENSITIVE).select(F.col("doc_id").alias("answer_id"), frames))
+    return masked.select("answer_id", F.length("masked").alias("n"), F.md5("masked").alias("digest"))

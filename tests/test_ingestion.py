@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -215,3 +216,30 @@ def test_document_dedup_ignores_itself(spark):
     hashes = spark.createDataFrame([(1, "h"), (2, "h"), (3, "k")], "doc_id long, content_hash string")
     known = spark.createDataFrame([(3, "k"), (9, "h")], "doc_id long, content_hash string")
     assert {r.doc_id: r.duplicate_of for r in clean.dedup_documents(hashes, known).collect()} == {1: 9, 2: 9, 3: None}
+
+
+def brute_mask(text):
+    for rule in redaction.DEFAULT_RULES:
+        def star(m, rule=rule):
+            v, right = m[0], rule.keep_right
+            if rule.keep_domain:
+                return v[0] + "****@" + v.split("@")[-1]
+            return v[: rule.keep_left] + "*" * (len(v) - rule.keep_left - right) + v[len(v) - right :]
+
+        text = re.sub(rule.pattern, star, text, flags=re.ASCII)
+    return text
+
+
+def test_whole_texts_are_masked(spark, tmp_path):
+    from quarry.plans.queries import ORACLES, QUERIES, SENSITIVE, load
+
+    parts = ["a.b@mail.example.com", "13812345678", "11010119900307123X", "4111111111111111", "123456789012345", "10.20.30.40", "sk-abcdefgh1234", "and more words,", "x\ny", "é"]
+    rows = [(i, " ".join(parts[(i + k * (1 + i % 3)) % len(parts)] for k in range(12 * (i % 4)))) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    whole = {r.doc_id: brute_mask(r.text) for r in load(spark, str(tmp_path), SENSITIVE).collect()}
+    expected = {(i, len(t), hashlib.md5(t.encode()).hexdigest()) for i, t in whole.items()}
+    assert {tuple(r) for r in QUERIES["f1_redacted_text"](spark, str(tmp_path)).collect()} == expected
+    assert {tuple(r) for r in QUERIES["t7_redact_stream_text"](spark, str(tmp_path)).collect()} == expected
+    db = pytest.importorskip("duckdb").connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert set(db.execute(ORACLES["f1_redacted_text"]).fetchall()) == set(db.execute(ORACLES["t7_redact_stream_text"]).fetchall()) == expected
