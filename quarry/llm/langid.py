@@ -6,11 +6,13 @@ explains it. Phrases are normalised by letters and by the logarithm of the sampl
 
 The automaton is stored as one table that gives, for a state and a character, the next state and the
 number of phrases ended. It has full columns for the commonest characters of the language's own sample; the ways on
-of its other characters are kept in a sorted list, so every character of a sample counts, in any script. Texts are cut into blocks that are walked side by side in numpy, so a long
-text is only more blocks. A block's end ends a phrase, alike for every language. Digits
-and signs below U+0100 are left out.
+of its other characters are kept in a sorted list, so every character of a sample counts, in any script. Texts are cut
+into blocks that are walked side by side in numpy, each as if a phrase began there. Blocks whose forerunner then ends
+elsewhere are walked again from its state, until they meet their first way; so phrases run on over blocks, and the
+result is that of one walk from the text's first to its last character. Digits and signs below U+0100 are left out.
 
-Null texts and texts without a letter get `und` with score 0, as do all when nothing is labelled.
+Null texts and texts without a letter get `und` with score 0, as do all when nothing is labelled. Ties go to the first
+language by name. Repeated rows are judged each; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -23,29 +25,42 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import small_batches
+from quarry.llm.common import HELD
 
 UNKNOWN = "und"
-#: The bound of the labelled sample: texts a language, and the characters that a sampled text may have.
+#: The bound of the labelled sample: texts a language, and characters of a text. Longer texts give a stretch of so many,
+#: texts shorter than the least come last.
 SAMPLE_TEXTS, SAMPLE_LEAST, SAMPLE_MOST = 40, 100, 1500
+#: Rounds in which all blocks that began wrong are walked again at once; after these, one block of each text a round.
+ROUNDS = 8
 #: Columns of a language's table: its commonest characters, and one for those that its sample lacks. Block length.
 ALPHABET, BLOCK = 48, 256
 
 
-def sample(docs: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS) -> list[tuple[str, str]]:
-    """(language, text) of at most `texts` labelled rows a language, taken in the order of a hash."""
-    rows = docs.filter(usable & F.col(lang_col).isNotNull() & F.length(text_col).between(SAMPLE_LEAST, SAMPLE_MOST)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
-    picked = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("k") <= texts)
-    keys = [(r["lang"], r["h"]) for r in picked.collect()]  # languages * texts rows
-    if not keys:
-        return []
-    hashed = docs.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    found = hashed.filter(F.col("h").isin([h for _, h in keys])).dropDuplicates(["lang", "h"]).collect()
-    wanted = set(keys)
-    return sorted((r["lang"], r["text"]) for r in found if (r["lang"], r["h"]) in wanted)
+def sample(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS) -> list[tuple[str, str]]:
+    """(language, text) of at most `texts` labelled texts a language, in the order of a hash; copies of a row are one.
+
+    Labelled rows are counted first. Then only hashes below a bound are gathered, some four times as many as needed.
+    """
+    text, h = F.col(text_col), F.xxhash64(F.col(id_col), F.col(text_col)).bitwiseAND(F.lit((1 << 62) - 1))
+    start = F.pmod(h, F.greatest(F.length(text) - SAMPLE_MOST, F.lit(0)) + 1).cast("int") + 1  # a stretch from anywhere
+    rows = docs.filter(usable & F.col(lang_col).isNotNull() & (F.length(text) > 0))
+    rows = rows.select(F.col(lang_col).alias("lang"), (F.length(text) < SAMPLE_LEAST).alias("short"), h.alias("h"), F.substring(text, start, F.lit(SAMPLE_MOST)).alias("text"))
+    counts = {(r["lang"], r["short"]): r["count"] for r in rows.groupBy("lang", "short").count().collect()}  # two rows a language
+    below = F.lit(False)
+    for (lang, short), n in counts.items():
+        if not short or counts.get((lang, False), 0) < 4 * texts:
+            bound = (1 << 62) if n <= 4 * texts else int((1 << 62) * (4 * texts / n))
+            below |= (F.col("lang") == lang) & (F.col("short") == short) & (F.col("h") < bound)
+    found = rows.filter(below).groupBy("lang", "short", "h").agg(F.min("text").alias("text")).collect()
+    taken: dict[str, list[str]] = {}
+    for r in sorted(found, key=lambda r: (r["lang"], r["short"], r["h"])):
+        if len(mine := taken.setdefault(r["lang"], [])) < texts:
+            mine.append(r["text"])
+    return sorted((lang, t) for lang, mine in taken.items() for t in mine)
 
 
 class Table(NamedTuple):
@@ -153,39 +168,72 @@ def phrases(texts: list[str], classes: dict[str, int], tables: list[Table]) -> n
     known[[c for c in range(256) if not chr(c).isalpha() and c != 32]] = -1  # digits and signs tell nothing
     for c, k in classes.items():
         known[ord(c)] = k
-    pieces, owner = [], []
+    pieces, owner, number = [], [], []
     for i, t in enumerate(texts):
         codes = _codes(t, known)
         n = -(-len(codes) // BLOCK)
         if n:
             pieces.append(np.pad(codes, (0, n * BLOCK - len(codes)), constant_values=-1).reshape(n, BLOCK))
             owner += [i] * n
+            number += range(n)
     total = np.zeros((len(texts), len(tables)), dtype=np.int64)
     if not pieces:
         return total
-    blocks, owners = np.concatenate(pieces), np.array(owner)
+    blocks, owners, numbers = np.concatenate(pieces), np.array(owner), np.array(number)
     sizes = (blocks >= 0).sum(axis=1)
     order = np.argsort(-sizes, kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    before = np.where(numbers > 0, place[np.maximum(np.arange(len(order)) - 1, 0)], -1)[order]  # the block that a block goes on from
     blocks, owners, sizes = np.ascontiguousarray(blocks[order].T), owners[order], sizes[order]
+    ends = np.ones(len(order), dtype=bool)
+    ends[before[before >= 0]] = False
     live = np.searchsorted(-sizes, -np.arange(BLOCK), side="left")  # blocks longer than each offset
     np.maximum(blocks, 0, out=blocks)
     for column, table in enumerate(tables):
         mine = table.column[blocks]
         others = (mine >= ALPHABET).any(axis=1) if len(table.keys) else np.zeros(BLOCK, dtype=bool)
+        way = np.zeros_like(blocks)  # by offset and block: 4 * state + phrases ended
         state = np.zeros(len(owners), dtype=np.int32)
-        count = np.zeros(len(owners), dtype=np.int32)
         for at in range(BLOCK):
             m = live[at]
             if not m:
                 break
-            got = _next(table, state[:m], mine[at, :m], others[at])
-            count[:m] += got & 3
-            state[:m] = got >> 2
-        count += state > 0  # the phrase that the block's end ends
+            way[at, :m] = _next(table, state[:m], mine[at, :m], others[at])
+            state[:m] = way[at, :m] >> 2
+        _mend(table, way, mine, others, sizes, before, owners)
+        count = (way & 3).sum(axis=0)
+        count += ends & (way[sizes - 1, np.arange(len(sizes))] >> 2 > 0)  # the phrase that the text's end ends
         np.add.at(total[:, column], owners, count)
     return total
 
 
+def _mend(table: Table, way: np.ndarray, mine: np.ndarray, others: np.ndarray, sizes: np.ndarray, before: np.ndarray, owners: np.ndarray) -> None:
+    """Walk blocks again whose forerunner ends in another state than they began in, up to where they meet their old way."""
+    began, lane = np.zeros(len(sizes), dtype=np.int32), np.arange(len(sizes))
+    turn = 0
+    while True:
+        ended = way[sizes - 1, lane] >> 2
+        state = np.where(before >= 0, ended[before], 0)
+        todo = np.flatnonzero(state != began)
+        if not len(todo):
+            return
+        if turn >= ROUNDS:  # ways that don't meet for long: only the first wrong block of each text, whose forerunner is right
+            todo = todo[np.unique(owners[todo], return_index=True)[1]]  # blocks of a text stand in order here
+        turn += 1
+        state = state[todo].astype(np.int32)
+        began[todo] = state
+        for at in range(len(way)):
+            inside = sizes[todo] > at
+            todo, state = todo[inside], state[inside]
+            if not len(todo):
+                break
+            got = _next(table, state, mine[at, todo], others[at])
+            apart = got >> 2 != way[at, todo] >> 2
+            way[at, todo] = got
+            todo, state = todo[apart], got[apart] >> 2
+
+
 def predict(texts: list[str | None], labelled: tuple[tuple[str, str], ...]) -> tuple[list[str], np.ndarray]:
     """Languages and scores: how much shorter the best parse is than the second, from 0 to 1."""
     languages, classes, models = automata(labelled)
@@ -208,21 +256,28 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, labelled: list[tuple[str, str]], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of keep, lang_pred and score for each row. Predictions see the text alone."""
-    small_batches(docs.sparkSession)
+def prediction(text: Column, labelled: list[tuple[str, str]]) -> Column:
+    """struct(lang_pred, score) of a text."""
     known = tuple(labelled)
-    fields = docs.select(*keep).schema.fields
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            languages, scores = predict([t if isinstance(t, str) else None for t in b["__text"]], known)
-            yield b[list(keep)].assign(lang_pred=languages, score=scores)
+            texts = [t if isinstance(t, str) else None for t in b]
+            turn = np.cumsum([len(t or "") for t in texts]) // HELD
+            cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(texts)]
+            done = [predict(texts[i:j], known) for i, j in zip(cuts, cuts[1:], strict=False)]
+            yield pd.DataFrame({"lang_pred": [x for languages, _ in done for x in languages], "score": np.concatenate([s for _, s in done])})
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInPandas(run, schema)
+    return run(text)
+
+
+def identify(docs: DataFrame, labelled: list[tuple[str, str]], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of keep, lang_pred and score for each row. Predictions see the text alone."""
+    found = docs.select(*[docs[c] for c in keep], prediction(docs[text_col], labelled).alias("__found"))
+    return found.select(*keep, F.col("__found.lang_pred").alias("lang_pred"), F.col("__found.score").alias("score"))
 
 
-def accepted(docs: DataFrame, labelled: list[tuple[str, str]]) -> DataFrame:
+def accepted(docs: DataFrame, labelled: list[tuple[str, str]], text_col: str = "text") -> DataFrame:
     """The documents whose language is told, with the columns of docs."""
-    return identify(docs, labelled, keep=tuple(docs.columns)).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    return docs.filter(prediction(docs[text_col], labelled)["lang_pred"] != UNKNOWN)
