@@ -1,10 +1,12 @@
 """URL filters: rules for hosts and paths, and for all other URLs logistic regression on hashed n-grams.
 
-The model is trained on a small labelled table of URLs, given or the one below, by Spark's own
-LogisticRegression over HashingTF of the character n-grams of host and path. Each row is judged alone.
+The model is trained by Spark's own LogisticRegression over HashingTF of the character n-grams of host and path, on a
+small labelled table of URLs: the caller's (url, label), or the one that labelled_urls makes by a rule from general
+words of site categories, as public block lists have them, and from made-up names, which are allowed. Each row is judged
+alone.
 
 Null URLs and those without `://` have empty host and path; no rule fits them and the method judges the
-empty string. Repeated rows are judged each.
+empty string. Repeated rows are judged each. A probability of just 0.5 blocks. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import bind
 
-FEATURES, SIZES, ROUNDS = 1 << 14, (3, 4), 40
+FEATURES, SIZES, ROUNDS, SHRINK = 1 << 16, (3, 4), 60, 0.001
 
 
 class Rule(NamedTuple):
@@ -31,17 +33,45 @@ class Rule(NamedTuple):
 #: Production rules.
 RULES = (Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"))
 
-# The labelled table, as hosts and paths of invented sites; every host stands with two paths. 1 is to be blocked.
-BAD = (
-    "casino-win.test", "best-casino.test", "www.casino-royal.test", "m.free-bets.test", "free-bets-today.test", "bets-online.test", "ads-track.test", "www.track-ads.test", "blog.popup-ads.test", "adult-x.test", "xxx-adult.test", "m.hot-xxx.test",
-    "cheap-pills.test", "www.pills-direct.test", "spam-farm.test", "blog.link-farm.test", "win-prize.test", "lottery-win.test", "payday-loans.test", "replica-watches.test", "free-spins.test", "cheap-meds.test",
-)
-GOOD = (
-    "news.test", "blog.library.test", "www.university.test", "docs.python-users.test", "weather.test", "m.recipes.test", "www.museum.test", "garden.test", "school.test", "maps.test", "history.test", "blog.travel.test", "www.theatre.test",
-    "river.test", "other.test", "thething.test", "www.station.test", "m.thread.test", "nation.test", "blog.thorn.test", "www.city.test", "music.test", "open-data.test", "ocean.test", "weather-map.test", "the.test", "tion.test", "ther.test",
-)
-PATHS = ("/en/519", "/de/456.html", "/fr/92", "/es/978/", "/en/777", "/notes/2020", "/fr/612.html", "/de/811")
-LABELLED = tuple((f"https://{h}{PATHS[(i + k) % len(PATHS)]}", label) for hosts, label in ((BAD, 1), (GOOD, 0)) for i, h in enumerate(hosts) for k in (0, 3)) + (("", 0),)
+# Words of site categories, those to be blocked and others.
+BLOCKED = {
+    "gambling": "casino poker betting roulette blackjack jackpot slots bingo sportsbook gambling wager lotto",
+    "adult": "porn sex xxx nude erotic escorts hentai fetish webcams adult",
+    "drugs": "viagra cialis pharmacy pills steroids tramadol xanax weightloss",
+    "advertising": "ads adserver banners popups tracker clicktrack adclick affiliate",
+    "fraud": "spam phishing malware warez keygen cracks scam paydayloans replica botnet",
+}
+ALLOWED = {
+    "learning": "university college school library museum archive history science mathematics physics grammar dictionary encyclopedia lecture",
+    "society": "government parliament council city village church charity hospital doctor health police court library station post",
+    "culture": "music theatre cinema literature poetry painting photography dance orchestra festival gallery novel",
+    "living": "garden kitchen recipes cooking family weather travel hotel railway cycling hiking football tennis fashion furniture pets",
+    "work": "developer documentation software network research engineering business finance bank insurance market news journal magazine radio",
+}
+#: What hosts are made of beside a word; either label has all of them alike.
+BEFORE, AFTER = ("", "my", "the-", "best-", "online-", "www.", "m.", "blog."), ("", "24", "-online", "-world", "-club", "zone", "hub", "-service")
+ENDINGS, PLACES = (".com", ".net", ".org", ".info"), ("/", "/index.html", "/en/12", "/2020/05/page", "/fr/88/", "/view?id=7")
+#: Hosts of each word, and made-up names for each word of the tables.
+HOSTS, NAMES = 6, 2
+
+
+def labelled_hosts() -> list[tuple[str, str, int]]:
+    """(word, host, label): 1 is to be blocked. Hosts go round the lists, so that only the words tell labels apart."""
+    out, made = [], 0
+    for words, label in ((BLOCKED, 1), (ALLOWED, 0)):
+        for i, w in enumerate(" ".join(words.values()).split()):
+            for k in range(HOSTS):
+                out.append((w, f"{BEFORE[(i + 3 * k) % len(BEFORE)]}{w}{AFTER[(5 * i + k) % len(AFTER)]}{ENDINGS[(i + k) % len(ENDINGS)]}", label))
+            for _ in range(NAMES):  # names of two to four syllables
+                made += 1
+                parts = ["bcdfghjklmnprstvwz"[(made * (7 + 4 * s) + s) % 18] + "aeiou"[(made * (3 + s) + 2 * s) % 5] + "nrslt "[(made + s) % 6].strip() for s in range(2 + made % 3)]
+                out.append(("", f"{BEFORE[made % len(BEFORE)]}{''.join(parts)}{ENDINGS[made % len(ENDINGS)]}", 0))
+    return out
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """The labelled table: every host with one of the places; and the empty URL, which is allowed."""
+    return [(f"https://{h}{PLACES[i % len(PLACES)]}", label) for i, (_, h, label) in enumerate(labelled_hosts())] + [("", 0)]
 
 
 def host_of(url: Column) -> Column:
@@ -82,15 +112,22 @@ def _featured(rows: DataFrame) -> DataFrame:
     return HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features").transform(rows.withColumn("grams", grams))
 
 
-def train(spark: SparkSession, labelled: tuple[tuple[str, int], ...] = LABELLED) -> LogisticRegressionModel:
-    rows = spark.createDataFrame(list(labelled), "url string, label int").coalesce(1)
-    rows = _featured(rows.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("label").cast("double")))
-    return LogisticRegression(maxIter=ROUNDS, regParam=0.01, standardization=False).fit(rows.select("features", "label"))
+def train(spark: SparkSession, labelled: DataFrame | list[tuple[str, int]] | None = None) -> LogisticRegressionModel:
+    """A model of a small labelled table (url, label), by default labelled_urls."""
+    if not isinstance(labelled, DataFrame):
+        labelled = spark.createDataFrame(labelled_urls() if labelled is None else list(labelled), "url string, label int").coalesce(1)
+    rows = _featured(labelled.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("label").cast("double").alias("label")))
+    return LogisticRegression(maxIter=ROUNDS, regParam=SHRINK, standardization=False).fit(rows.select("features", "label"))
+
+
+def ruled(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """page_id, host, path, rule, ruling: what the rules alone say; null where none fits."""
+    rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    return rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("ruling"))
 
 
 def judge(pages: DataFrame, model: LogisticRegressionModel, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, probability (of a URL to be blocked, by the method): one row per input row."""
-    rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    scored = model.transform(_featured(rows)).withColumn("p", vector_to_array("probability")[1]).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("p") >= 0.5, "block").otherwise("allow"))
-    return scored.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), F.col("p").alias("probability"))
+    scored = model.transform(_featured(ruled(pages, id_col, url_col, rules))).withColumn("p", vector_to_array("probability")[1])
+    verdict = F.coalesce(F.col("ruling"), F.when(F.col("p") >= 0.5, "block").otherwise("allow"))
+    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col("p").alias("probability"))
