@@ -2,18 +2,28 @@
 
 A token's encoding is inferred from its characters (decimal, hexadecimal, base 32 or base 64). Three tests
 ask whether it looks drawn evenly from that alphabet: chi-squared on its characters' counts, runs above
-and below the alphabet's middle, and serial correlation. A token that fails one is not a secret. For the
-rest the evidence against ordinary text is the likelihood ratio of an even draw to a draw from the letter
-frequencies of text; exp(-ratio) bounds the p-value, and it falls with length. Benjamini and Hochberg's
-step-up over all tested tokens of the corpus, by a histogram, holds the share of false discoveries.
-
-All of it is native expressions. Null texts count as empty. Each text is scanned whole; offsets are code
-points; one row per input row.
+and below the alphabet's middle, and serial correlation. A token that fails one is not a secret.
+
+For the others each test says how much likelier its result is for an even draw than for an ordinary token of that
+encoding and length, whose characters come with the shares that they have in the corpus's own long words. Of chi-squared
+there are two such ratios, of the counts themselves and of the statistic; they and the two of order (runs and serial
+correlation) depend on each other, so they are averaged, and the two averages multiplied. One over the product bounds
+the p-value. The means and variances of ordinary tokens depend on the length, and so does the bound: a short token can't
+look as unlike text as a long one. Benjamini and Hochberg's step-up over all tested tokens of the corpus, by a
+histogram, holds the share of false discoveries; with bounds of this kind it holds under any dependence.
+
+Tokens have LEAST characters or more. Those below PLAIN characters that are all letters of one case (the first apart)
+have the form of words and are not tested. Purely decimal tokens are never discovered unless their order is odd, as an
+even draw of digits is what ordinary numbers look like.
+
+All of it is native expressions. Null texts count as empty. Each text is scanned whole, repeated rows each; offsets are
+code points; one row per input row. Other columns don't matter.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,16 +33,19 @@ from quarry.llm.common import bind, checkpointed, text_of
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
-#: A token: a longest run of these characters, of at least LEAST.
-LEAST = 20
-TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
+#: Characters of a token, and of one that is tested even if it has the form of a word.
+LEAST, PLAIN = 12, 20
+TOKEN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}+"
+WORDLIKE = "^(?:[A-Za-z][a-z]*|[A-Z]+)$"
+#: Words that letter shares are counted in.
+COUNTED = r"(?<![A-Za-z])[a-z]{8,}+(?![A-Za-z])"
 FALSE_DISCOVERIES = 0.01
 #: Each test's two-sided limit, in standard deviations: a probability of 0.001.
 LIMIT = 3.29
 #: Bins of the histogram of -ln p: width and number.
 BIN, BINS = 0.25, 400
 
-# Alphabets in order, and letter frequencies of text in per mille, a to z.
+# Alphabets in order, and letter frequencies of text in per mille, a to z, which count as so many letters of the corpus.
 ALPHABETS = {
     "decimal": "0123456789",
     "hex": "0123456789abcdef",
@@ -41,8 +54,41 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
 LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
-#: Shares of lower-case letters, upper-case letters, digits and signs in tokens of text.
-SHARES = {"lower": 0.90, "upper": 0.05, "digit": 0.03, "sign": 0.02}
+#: Base 64 without a lower-case letter: what is ordinary there is written in capitals.
+ALPHABETS["BASE64"] = ALPHABETS["base64"]
+#: Shares of lower-case letters, upper-case letters, digits and signs in ordinary tokens (names, paths, identifiers).
+SHARES = {"lower": 0.75, "upper": 0.10, "digit": 0.08, "sign": 0.07}
+
+
+class Ordinary(NamedTuple):
+    """What an ordinary token's characters are like, by place in the alphabet; m of them."""
+
+    logs: list[float]  # ln of each one's share over 1 / m
+    second: float  # sums of the shares' squares and cubes
+    third: float
+    upper: float  # the share of the upper half
+    mean: float  # of the centred place, and of its square
+    square: float
+
+
+def ordinary(name: str, letters: list[float]) -> Ordinary:
+    alphabet, small = ALPHABETS[name], str.isupper if name == "BASE64" else str.islower
+    total, m = sum(letters), len(alphabet)
+
+    def weight(c: str) -> float:
+        if c.isdigit():
+            return SHARES["digit"] / 10
+        if not c.isalpha():
+            return SHARES["sign"] / 4
+        return SHARES["lower" if small(c) else "upper"] * letters[ord(c.lower()) - 97] / total
+
+    weights = [weight(c) for c in alphabet]
+    q = [w / sum(weights) for w in weights]
+    y = [i - (m - 1) / 2 for i in range(m)]
+    return Ordinary(
+        [math.log(x * m) for x in q], sum(x**2 for x in q), sum(x**3 for x in q), sum(x for x, at in zip(q, y, strict=True) if at > 0),
+        sum(x * at for x, at in zip(q, y, strict=True)), sum(x * at * at for x, at in zip(q, y, strict=True)),
+    )
 
 
 def _spans(text: Column, pattern: str) -> Column:
@@ -75,55 +121,87 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def encoding_of(token: Column) -> Column:
-    return F.when(token.rlike("^[0-9]+$"), "decimal").when(token.rlike("^[0-9a-f]+$"), "hex").when(token.rlike("^[0-9A-F]+$"), "HEX").when(token.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
+    return F.when(token.rlike("^[0-9]+$"), "decimal").when(token.rlike("^[0-9a-f]+$"), "hex").when(token.rlike("^[0-9A-F]+$"), "HEX").when(token.rlike("^[A-Z2-7]+$"), "base32").when(token.rlike("[a-z]"), "base64").otherwise("BASE64")
+
 
+def letter_counts(docs: DataFrame, text_col: str = "text") -> list[float]:
+    """Letters a to z of the corpus's long words, with LETTERS as so many more."""
+    words = F.array_join(F.regexp_extract_all(text_of(text_col), F.lit(COUNTED), F.lit(0)), "")
+    joined = docs.select(words.alias("w"))
+    counts = joined.agg(*[F.sum(F.length("w") - F.length(F.replace("w", F.lit(chr(97 + i)), F.lit("")))).alias(f"n{i}") for i in range(26)]).first()
+    return [float(n + (found or 0)) for n, found in zip(LETTERS, counts, strict=True)]
 
-def battery(token: Column) -> Column:
-    """struct(encoding, chi, runs, serial, evidence): the three tests in standard deviations, and -ln p against text."""
+
+def battery(token: Column, letters: list[float]) -> Column:
+    """struct(encoding, chi, runs, serial, evidence): the three tests in standard deviations, and -ln of the bound of p."""
+    of = {name: ordinary(name, letters) for name in ALPHABETS}
 
     def measured(encoding: Column) -> Column:
-        alphabet = F.lit(None).cast("string")
-        for name, letters in ALPHABETS.items():
-            alphabet = F.when(encoding == name, F.lit(letters)).otherwise(alphabet)
-        return bind(alphabet, lambda a: bind(F.transform(F.split(token, ""), lambda c: F.instr(a, c) - 1), lambda x: tests(encoding, a, x)))
-
-    def tests(encoding: Column, a: Column, x: Column) -> Column:
-        n, m = F.size(x).cast("double"), F.length(a).cast("double")
-        squares = F.aggregate(F.split(a, ""), F.lit(0.0), lambda acc, c: acc + F.pow((F.length(token) - F.length(F.replace(token, c, F.lit("")))).cast("double"), F.lit(2.0)))
-        df = m - 1
-        chi = (F.pow((squares * m / n - n) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-        upper = lambda i: F.get(x, i) >= (m / 2)
+        def pick(value) -> Column:
+            out = F.lit(None)
+            for name in ALPHABETS:
+                v = value(name)
+                out = F.when(encoding == name, F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)).otherwise(out)
+            return out
+
+        known = F.struct(pick(ALPHABETS.get).alias("a"), *[pick(lambda n, k=k: getattr(of[n], k)).alias(k) for k in Ordinary._fields])
+        return bind(known, lambda o: bind(F.transform(F.split(token, ""), lambda c: F.instr(o["a"], c) - 1), lambda x: tests(encoding, o, x)))
+
+    def tests(encoding: Column, o: Column, x: Column) -> Column:
+        n, m = F.size(x).cast("double"), F.length(o["a"]).cast("double")
+        squares = F.aggregate(F.array_distinct(x), F.lit(0.0), lambda acc, i: acc + F.pow((F.size(x) - F.size(F.array_remove(x, i))).cast("double"), F.lit(2.0)))
         inner = F.sequence(F.lit(1), F.size(x) - 1)
+        upper = lambda i: F.get(x, i) >= (m / 2)
         runs = F.aggregate(inner, F.lit(1.0), lambda acc, i: acc + F.when(upper(i) != upper(i - 1), 1.0).otherwise(0.0))
         centred = lambda i: (F.get(x, i).cast("double") - (m - 1) / 2)
         product = F.aggregate(inner, F.lit(0.0), lambda acc, i: acc + centred(i) * centred(i - 1))
-        serial = product / ((m * m - 1) / 12) / F.sqrt(n - 1)
-        return F.struct(encoding.alias("encoding"), chi.alias("chi"), ((runs - (n + 1) / 2) / F.sqrt((n - 1) / 4)).alias("runs"), serial.alias("serial"), (evidence(token) - n * F.ln(m)).alias("evidence"))
+        logs = F.aggregate(x, F.lit(0.0), lambda acc, i: acc - F.get(o["logs"], i))
+        return bind(F.struct(squares.alias("squares"), runs.alias("runs"), product.alias("product"), logs.alias("counts")), lambda t: judged(encoding, o, n, m, t))
+
+    def judged(encoding: Column, o: Column, n: Column, m: Column, t: Column) -> Column:
+        df = m - 1
+        chi = (F.pow((t["squares"] * m / n - n) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+        runs = (t["runs"] - (n + 1) / 2) / F.sqrt((n - 1) / 4)
+        serial = t["product"] / ((m * m - 1) / 12) / F.sqrt(n - 1)
+        # the same statistics of ordinary tokens: mean and variance
+        s2, s3, p, mean, v = o["second"], o["third"], o["upper"], o["mean"], o["square"]
+        pairs = 2 * n * (n - 1) * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2 * s2)
+        r = 2 * p * (1 - p)
+        turns = (n - 1) * r * (1 - r) + 2 * (n - 2) * (p * (1 - p) - r * r)
+        products = (n - 1) * (v * v - F.pow(mean, F.lit(4.0))) + 2 * (n - 2) * (mean * mean * v - F.pow(mean, F.lit(4.0)))
+        collisions = likelier(t["squares"], n + n * (n - 1) / m, 2 * n * (n - 1) * (1 / m) * (1 - 1 / m), n + n * (n - 1) * s2, pairs)
+        order = _mean(
+            likelier(t["runs"], (n + 1) / 2, (n - 1) / 4, 1 + (n - 1) * r, turns),
+            likelier(t["product"], F.lit(0.0), (n - 1) * F.pow((m * m - 1) / 12, F.lit(2.0)), (n - 1) * mean * mean, products),
+        )
+        evidence = _mean(t["counts"], collisions) + order
+        return F.struct(encoding.alias("encoding"), chi.alias("chi"), runs.alias("runs"), serial.alias("serial"), evidence.alias("evidence"))
 
     return bind(encoding_of(token), measured)
 
 
-def evidence(token: Column) -> Column:
-    """-ln of the token's likelihood under letter frequencies of text."""
-    total = F.lit(0.0)
-    counted = lambda chars: (F.length(token) - F.length(F.translate(token, chars, ""))).cast("double")
-    for i, per in enumerate(LETTERS):
-        share = per / sum(LETTERS)
-        low, up = chr(97 + i), chr(65 + i)
-        total = total - counted(low) * math.log(SHARES["lower"] * share) - counted(up) * math.log(SHARES["upper"] * share)
-    return total - counted("0123456789") * math.log(SHARES["digit"] / 10) - counted("+/-_") * math.log(SHARES["sign"] / 4)
+def likelier(value: Column, mean: Column, variance: Column, text_mean: Column, text_variance: Column) -> Column:
+    """ln of the ratio of two normal densities: of an even draw, and of ordinary text."""
+    text_variance = F.greatest(text_variance, F.lit(1e-3))
+    return (F.ln(text_variance / variance) + F.pow(value - text_mean, F.lit(2.0)) / text_variance - F.pow(value - mean, F.lit(2.0)) / variance) / 2
+
+
+def _mean(a: Column, b: Column) -> Column:
+    """ln of the mean of two ratios, given their logarithms."""
+    return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b))) - math.log(2)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, letters: list[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base (kind, start, end by start, then kind), tested (start, end, chi, runs, serial, evidence): one row per input row."""
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    found = rows.select("doc_id", *[s.alias(k) for k, s in base_spans(F.col("text")).items()], _spans(F.col("text"), TOKEN).alias("tokens"))
+    tried = lambda s: (F.length(s["found"]) >= PLAIN) | ~s["found"].rlike(WORDLIKE)
+    found = rows.select("doc_id", *[s.alias(k) for k, s in base_spans(F.col("text")).items()], F.filter(_spans(F.col("text"), TOKEN), tried).alias("tokens"))
 
     def marked(number: int, kind: str) -> Column:
         return F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), F.lit(number).alias("order"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
-    tested = F.transform("tokens", lambda s: bind(battery(s["found"]), lambda t: F.struct(s["start"].alias("start"), s["end"].alias("end"), t["chi"].alias("chi"), t["runs"].alias("runs"), t["serial"].alias("serial"), t["evidence"].alias("evidence"))))
+    tested = F.transform("tokens", lambda s: bind(battery(s["found"], letters), lambda t: F.struct(s["start"].alias("start"), s["end"].alias("end"), t["chi"].alias("chi"), t["runs"].alias("runs"), t["serial"].alias("serial"), t["evidence"].alias("evidence"))))
     return found.select("doc_id", F.array_sort(F.concat(*[marked(n, k) for n, k in enumerate(KINDS[:3])])).alias("base"), tested.alias("tested"))
 
 
@@ -144,7 +222,7 @@ def threshold(scanned: DataFrame, rate: float = FALSE_DISCOVERIES) -> float:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = FALSE_DISCOVERIES) -> DataFrame:
     """doc_id, base, spans (start, order, kind, end; by start, then kind as listed): one row per input row."""
-    scanned = checkpointed(scan(docs, id_col, text_col))
+    scanned = checkpointed(scan(docs, letter_counts(docs, text_col), id_col, text_col))
     least = threshold(scanned, rate)
     free = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
     new = F.filter("tested", lambda t: passes(t) & (t["evidence"] >= F.lit(least)) & free(t))
