@@ -11,7 +11,8 @@ than 3 flips together is linked through the one with the fewest flips, so links
 not with pairs. Both ways are exact.
 
 Null and empty texts have fingerprint zero and link like any other. Equal fingerprints are one node.
-Rows with null doc_id are fingerprinted and connect others, but never name a component.
+Rows with null doc_id are fingerprinted and connect others, but never name a component. Rows that share a doc_id are
+judged each by its own text. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpointed, hex64, small_batches
+from quarry.llm.common import checkpointed, hex64
 
 RADIUS = 3
 SHINGLE = 3
@@ -35,6 +36,8 @@ THIRDS = ((0, 22), (22, 43), (43, 64))
 CROWD = 32
 #: Hashes held at a time while a text is counted.
 STEP = 1 << 15
+#: Rows of one fingerprint, and the share of all rows, from which its component is broadcast: at most 1 / HOT_SHARE fingerprints.
+HOT, HOT_SHARE = 50_000, 1e-4
 
 
 def _signed(x: int) -> int:
@@ -55,15 +58,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp: one row per input row."""
-    small_batches(docs.sparkSession)
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
+    """doc_id, fp and, if given, a key (long) of the row: one row per input row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([fingerprint(t) for t in b["text"]], dtype=np.int64)})
+            yield b.drop(columns="text").assign(fp=np.array([fingerprint(t) for t in b["text"]], dtype=np.int64))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    more = [] if key is None else [key.alias("key")]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *more, F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, "doc_id long, key long, fp long" if more else "doc_id long, fp long")
 
 
 def _mask(bits: range | list[int]) -> int:
@@ -125,20 +129,36 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def component_of(marked: DataFrame) -> DataFrame:
+    """marked (doc_id, fp, ...) with root, the smallest fingerprint of its component, and component_id.
+
+    Fingerprints of very many rows are few, and are joined by a broadcast of a proven bound; all others by a shuffle.
+    """
+    nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    roots = components(links(nodes.select("fp")))
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = checkpointed(rooted.join(names, "root").select("fp", "root", "component_id", "n"))
+    hot = F.broadcast(named.filter(F.col("n") >= max(HOT, int(HOT_SHARE * (nodes.agg(F.sum("n")).first()[0] or 0)))).drop("n"))
+    cold = marked.join(hot.select("fp"), "fp", "left_anti").join(named.drop("n"), "fp")
+    return marked.join(hot, "fp").unionByName(cold)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id: one row per input row."""
-    marked = checkpointed(fingerprints(docs, id_col, text_col))
-    nodes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(nodes.select("fp")))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.filter(F.col("fp") != F.col("root")).select("fp", "root").union(rooted.select("root", "root").distinct()).join(named, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each group; rows without doc_id stay. Repeated ids stay once."""
-    found = near_duplicates(docs)
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    marked = component_of(checkpointed(fingerprints(docs, id_col, text_col)))
+    return marked.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with the columns of docs: of its smallest doc_id, null last; of rows that share it, by a hash of the row."""
+    key = F.xxhash64(*[docs[c] for c in docs.columns])
+    marked = component_of(checkpointed(fingerprints(docs, id_col, text_col, key)))
+    rows = marked.groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
+    chosen = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n"))
+    picked = rows.groupBy("root").agg(chosen.alias("c")).select(F.col("c.doc_id").alias("__id"), F.col("c.key").alias("__key"), F.col("c.n").alias("__n"))
+    same = F.col("__row").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__key"))
+    keyed = docs.withColumns({"__row": docs[id_col].cast("long"), "__hash": key})
+    kept = keyed.join(picked.filter("__n = 1"), same, "left_semi")
+    kept = kept.unionByName(keyed.join(picked.filter("__n > 1"), same, "left_semi").dropDuplicates(["__row", "__hash"]))  # equal rows
+    return kept.select(*docs.columns)
