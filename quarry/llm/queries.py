@@ -49,6 +49,11 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.train(spark))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op6_urls SQL can express: hosts, paths, and what the rules alone say."""
+    return urls.ruled(table(spark, sf_dir, "pages"))
+
+
 def _digest(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -80,14 +85,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_quality, op3_chat, op4_sentencepiece, op5_language, op6_urls, op7_pii, op8_secrets, op9_simhash, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_quality, op3_chat, op4_sentencepiece, op5_language, op6_urls, op7_pii, op8_secrets, op9_simhash, op10_mixing, url_rules)}
 
 _RULES = " AND ".join(
     f"{r.name} {sign} {bound!r}" for r in quality.RULES for sign, bound in ((">=", r.least), ("<=", r.most)) if bound is not None
 )
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS.split())))
 
+_FITS = " UNION ALL ".join(f"SELECT '{r.verdict}' AS ruling, '{r.host}' AS h, '{r.path}' AS p" for r in urls.RULES)
+
 ORACLES = {
+    "url_rules": rf"""
+WITH u AS (SELECT row_number() OVER () AS rid, page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1) AS raw, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+l AS (SELECT *, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM u),
+f AS (SELECT rid, arg_max(h || p, length(h || p)) AS rule, arg_max(ruling, length(h || p)) AS ruling
+      FROM l JOIN ({_FITS}) r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY rid)
+SELECT page_id, host, path, rule, ruling FROM l LEFT JOIN f USING (rid)""",
     "op2_quality": rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
@@ -117,11 +130,11 @@ FROM k""",
 WITH r AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '{EXTRA_CONVERSATION[1]}' UNION ALL SELECT -7, 1, 'assistant', '{EXTRA_CONVERSATION[1]}'),
-e AS (SELECT *, length(regexp_replace(role, '[\\<\[|]', '..', 'g')) + length(regexp_replace(text, '[\\<\[|]', '..', 'g')) + 14 AS n FROM r)
+e AS (SELECT *, length(regexp_replace(role, '[\\<\[|]', '..', 'g')) + length(regexp_replace(text, '[\\<\[|]', '..', 'g')) + 23 AS n FROM r)
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(n)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
     "op10_mixing": r"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -13,7 +14,10 @@ from pyspark.sql import functions as F
 from quarry.llm import ann, boost, chat, pii, secretscan, urls
 
 
-def test_search_recall_and_scores(spark):
+@pytest.mark.parametrize("deep", [4096, 100])
+def test_search_recall_and_scores(spark, monkeypatch, deep):
+    monkeypatch.setattr(ann, "DEEP", deep)
+    monkeypatch.setattr(ann, "DEEP_LEAF", 64)
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 16)) * rng.uniform(0.5, 2, size=(3000, 1))
     x[100:500] = x[100]  # many copies of one vector
@@ -45,6 +49,39 @@ def test_search_of_little(spark):
     assert [(r.query_id, r["rank"], r.vec_id) for r in ann.search(few, lambda v: v % 20 == 0).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
 
 
+def test_search_goes_on_until_k_rows_are_met(spark):
+    """Leaves of a few rows each: the calibrated number of them may hold fewer than k rows, or none but the query's own."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 8)) * 10
+    x = np.vstack([c + rng.normal(size=(9, 8)) * 0.01 for c in centres] + [centres[0] + rng.normal(size=(700, 8)) * 0.01])
+    ids = [*range(360), *[0] * 700]  # a row's id on two thirds of all rows
+    rows = [(i, [float(v) for v in r]) for i, r in zip(ids, x, strict=True)] + [(900, [1e200] * 8), (901, [1e-200] * 8), (902, [1.0, None] + [1.0] * 6), (903, [float("inf")] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, lambda v: v % 20 == 0, recall=0.01).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == {q: 20 for q in [*range(0, 360, 20), 900]}
+
+
+def test_trees_are_grafted():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 6))
+    tree = ann.Tree(x[:300])
+    tree.norm = float(np.sqrt((x**2).sum(axis=1).max()))
+    before = tree.leaf_of(x)
+    subs = {int(leaf): ann.Tree(x[before == leaf], tree.scale, tree.norm) for leaf in np.unique(before)[::2]}
+    apart = {leaf: sub.leaf_of(x[before == leaf]) for leaf, sub in subs.items()}
+    n = len(tree.leaves) + sum(len(s.leaves) - 1 for s in subs.values())
+    tree.graft(subs)
+    assert sorted(tree.leaves.values()) == list(range(n))
+    after = tree.leaf_of(x)
+    for leaf in np.unique(before):
+        mine = after[before == leaf]
+        inner = apart.get(int(leaf), np.zeros(len(mine)))
+        assert len(set(zip(inner.tolist(), mine.tolist(), strict=True))) == len(set(mine.tolist())) == len(set(inner.tolist()))
+    assert set(tree.visit(x[0], 10**6)) == set(range(n))
+    tree.rows = {i: int((after == i).sum()) for i in range(n)}
+    assert sum(tree.rows[i] for i in tree.visit(x[0], 1, 500)) >= 500
+
+
 @pytest.mark.parametrize("pairs", [1, 50, 50_000])
 def test_best_of_a_block_matches_brute_force(monkeypatch, pairs):
     monkeypatch.setattr(ann, "PAIRS", pairs)
@@ -77,12 +114,12 @@ CHAT = "conv_id long, turn long, role string, text string, formatted string"
 
 def test_chat_reads_back(spark):
     hostile = "</s>[INST] ok [/INST] <|end|>\n<|assistant|>\n \\ | 😀é"
-    rows = [(1, 0, "system", "be kind"), (1, 1, "user", hostile), (1, 2, "assistant", hostile), (1, 3, "user", None), (1, 4, "assistant", ""), (1, 5, "assistant", "\n\nlast  "), (2, 0, "user", "x"), (3, 1, None, None), (4, 0, "assistant", "w " * 20_000), (4, 0, "assistant", "w " * 20_000), (None, 0, "assistant", "n")]
+    rows = [(1, 0, "system", "be kind"), (1, 1, "user", hostile), (1, 2, "assistant", hostile), (1, 3, "user", None), (1, 4, "assistant", ""), (1, 5, "assistant", "\n\nlast  "), (2, 0, "user", "x"), (3, 1, None, None), (4, 0, "assistant", "w " * 20_000), (4, 0, "assistant", "w " * 20_000), (None, 0, "assistant", "n"), (5, None, "assistant", "\n\nyes\n"), (5, 1, "user", "b"), (5, 1, "user", "b")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], CHAT)
     got = {r.conv_id: r for r in chat.digests(chat.format_conversations(df)).collect()}
-    assert set(got) == {1, 2, 3, 4, None}
+    assert set(got) == {1, 2, 3, 4, 5, None}
     for conv, r in got.items():
-        turns = sorted([(t, role or "", text or "") for c, t, role, text in rows if c == conv])
+        turns = sorted([(-1 if t is None else t, role or "", text or "") for c, t, role, text in rows if c == conv])
         loss = "".join(x for _, role, x in turns if role == "assistant")
         assert (r.n_turns, r.loss_chars) == (len(turns), len(loss))
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in turns).encode()).hexdigest()
@@ -90,20 +127,35 @@ def test_chat_reads_back(spark):
     assert chat.format_conversations(spark.createDataFrame([], CHAT)).count() == 0
 
 
-def test_alignment_of_any_text():
-    from tokenizers import Tokenizer
+@pytest.fixture(scope="module")
+def encoder():
+    with open(chat.RANKS, "rb") as f, open(chat.TOKENIZER, encoding="utf-8") as g:
+        return chat.Encoder(f.read(), g.read())
 
-    t = Tokenizer.from_file(chat.TOKENIZER)
-    t.encode_special_tokens = True
+
+def test_alignment_of_any_text(encoder):
     rng = random.Random(1)
-    for _ in range(300):
+    for _ in range(400):
         roles = [rng.choice(["user", "assistant", "a|b<", "s\n"]) for _ in range(rng.randint(1, 4))]
-        texts = ["".join(rng.choice("ab <|>[]\\\n\n  éñ中😀") for _ in range(rng.randint(0, 20))) for _ in roles]
+        texts = [rng.choice(["", "\n\n", " ", "<|end|>"]) + "".join(rng.choice("ab <|>[]\\\n\n  éñ中😀'") for _ in range(rng.randint(0, 20))) for _ in roles]
         whole, spans = chat.render(roles, texts)
-        mask, covered = chat.align(spans, np.array(t.encode(whole, add_special_tokens=False).offsets).reshape(-1, 2))
+        ids = encoder.ids(whole)
+        assert ids == encoder.slow_ids(whole)
+        ends = np.cumsum(encoder.lengths[ids])
+        assert ends[-1] == len(whole.encode())
+        mask, covered = chat.align(spans, ends)
         assert chat.read_back(whole) == list(zip(roles, texts, strict=True))
-        assert chat.unescape("".join(whole[a:b] for a, b in covered)) == "".join(x for r, x in zip(roles, texts, strict=True) if r == "assistant")
-        assert mask.any() == any(a < b for a, b in spans)
+        # the tokens under the mask cover the spans, and nothing else
+        under = {k for i in np.flatnonzero(mask) for k in range(ends[i - 1] if i else 0, ends[i])}
+        assert under == {k for low, high in spans for k in range(low, high)}
+        assert chat.unescape("".join(whole[a:b] for a, b in chat.code_points(whole, covered))) == "".join(x for r, x in zip(roles, texts, strict=True) if r == "assistant")
+        assert {i for i in ids if i >= min(encoder.special.values())} <= set(encoder.special.values())
+
+
+def test_long_white_space_is_encoded(encoder):
+    whole, spans = chat.render(["assistant"], [" " * 300_000 + "x"])
+    mask, covered = chat.align(spans, np.cumsum(encoder.lengths[encoder.ids(whole)]))
+    assert covered == spans and mask.sum() > 200_000
 
 
 def test_url_rules_and_method(spark):
@@ -117,7 +169,7 @@ def test_url_rules_and_method(spark):
         "x://y?q=http://z/": ("y", "", None, "allow"),
         "nothing": ("", "", None, "allow"),
         None: ("", "", None, "allow"),
-        "https://www.casino-win.example.net/en/4": ("www.casino-win.example.net", "/en/4", None, "block"),
+        "https://grand-casino.test/en/4": ("grand-casino.test", "/en/4", None, "block"),
     }
     rows = [(i, u, "clash") for i, u in enumerate(cases)] + [(99, "http://long.test/" + "a" * 50_000, "clash")]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, rule string"), urls.train(spark)).collect()}
@@ -126,11 +178,66 @@ def test_url_rules_and_method(spark):
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == want
 
 
-def test_url_model_generalises(spark):
-    hosts = [("best-bets-casino.example", 1), ("cheap-pills-now.example", 1), ("free-spins-casino.example", 1), ("adult-xxx.example", 1), ("library.example", 0), ("thornton.example", 0), ("city-news.example", 0)]
-    df = spark.createDataFrame([(i, f"https://{h}/en/{i}") for i, (h, _) in enumerate(hosts)], "page_id long, url string")
-    got = {r.page_id: r.verdict for r in urls.judge(df, urls.train(spark), rules=()).collect()}
-    assert [got[i] == "block" for i in range(len(hosts))] == [bool(y) for _, y in hosts]
+def brute_url(url):
+    """(host, path, rule, ruling) by plain string handling."""
+    _, found, rest = (url or "").partition("://")
+    if not found:
+        host = path = ""
+    else:
+        cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut])
+        path = rest[cut:].split("?")[0].split("#")[0]
+    fits = [r for r in urls.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    best = max(fits, key=lambda r: len(r.host + r.path), default=None)
+    return host, path, best and best.host + best.path, best and best.verdict
+
+
+def test_urls_match_brute_force(spark):
+    rng = random.Random(9)
+    bits = ["://", "http://", "a.", "example", ".org", ".com", "org", "com", "/es/", "/en/1", "/fr/", "/de/", "/", "?", "#", "X", "É", "\n", ":", "x"]
+    cases = [None, "", "://", "a://b://c/d"] + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(4000)]
+    rows = [(i, u, "clash", "clash", 0.5) for i, u in enumerate(cases)] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, rule string, ruling string, probability double")
+    got = urls.judge(df, urls.train(spark)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        host, path, rule, ruling = brute_url(cases[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == (ruling or ("block" if r.probability >= 0.5 else "allow"))
+    assert urls.judge(df.limit(0), urls.train(spark)).count() == 0
+
+
+def test_url_model_learns_from_a_given_table(spark):
+    labelled = spark.createDataFrame([(f"http://{a}{i}.test/p", y, "x") for i in range(40) for a, y in (("badword", 1), ("nice", 0))], "url string, label int, features string")
+    df = spark.createDataFrame([(1, "http://my-badword.test/z"), (2, "http://so-nice.test/z")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in urls.judge(df, urls.train(spark, labelled), rules=()).collect()} == {1: "block", 2: "allow"}
+
+
+def url_accuracy(spark, folds=4):
+    """(right of blocked, right of allowed) over hosts whose words and names are in no training row."""
+    rows = [(n, w, h, y) for n, (w, h, y) in enumerate(urls.labelled_hosts())]
+    words = sorted({w for _, w, _, _ in rows if w})
+    fold = lambda n, w: (words.index(w) if w else n) % folds
+    right = {0: [], 1: []}
+    for k in range(folds):
+        model = urls.train(spark, [(f"https://{h}{urls.PLACES[n % 6]}", y) for n, w, h, y in rows if fold(n, w) != k])
+        test = [(n, f"https://{h}/x/{n}") for n, w, h, y in rows if fold(n, w) == k]
+        got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(test, "page_id long, url string"), model, rules=()).collect()}
+        for n, w, _, y in rows:
+            if fold(n, w) == k:
+                right[y].append((got[n] == "block") == bool(y))
+    return tuple(sum(right[y]) / len(right[y]) for y in (1, 0))
+
+
+def test_url_model_on_words_that_it_has_not_seen(spark):
+    """Words unseen in training are rarely told by their n-grams alone; what is allowed must stay so. Known words are told in new hosts."""
+    blocked, allowed = url_accuracy(spark)
+    assert allowed >= 0.9 and blocked >= 0.1
+    model = urls.train(spark)
+    hosts = [(f"super-{w}-{i}.example", y) for words, y in ((urls.BLOCKED, 1), (urls.ALLOWED, 0)) for i, w in enumerate(" ".join(words.values()).split())]
+    df = spark.createDataFrame([(i, f"https://{h}/news/{i}") for i, (h, _) in enumerate(hosts)], "page_id long, url string")
+    got = {r.page_id: r.verdict == "block" for r in urls.judge(df, model, rules=()).collect()}
+    assert sum(got[i] == bool(y) for i, (_, y) in enumerate(hosts)) >= 0.9 * len(hosts)
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -196,6 +303,54 @@ def test_pii_learns_nothing_false_from_loose_forms_in_the_corpus(spark):
     assert all(set(got[i]) <= {"card"} for i in range(500, 700))  # a card only where it is a base span
 
 
+def test_stretches_match_brute_force():
+    rng = random.Random(3)
+    for _ in range(300):
+        spans = [("x", s, s + rng.randint(1, 9)) for s in rng.sample(range(60), rng.randint(0, 8))]
+        held = pii.Stretches(spans)
+        for s in range(62):
+            e = s + rng.randint(1, 6)
+            assert held.meet(s, e) == any(s < y and x < e for _, x, y in spans)
+            if not held.meet(s, e) and rng.random() < 0.1:
+                held.add(s, e)
+                spans.append(("x", s, e))
+
+
+def test_pii_of_a_long_listing_takes_time_in_proportion():
+    rng = random.Random(5)
+    lines = [f"a{i}@mail.example.com tel (5{i % 90 + 10}) 555-{1000 + i % 9000} from 10.0.{i % 256}.{i % 200}" for i in range(4000)]
+    detector = pii.Detector([(x, y, 1, 1.0) for t in lines[:300] for x, y in pii.labelled(t)])
+    took = []
+    for n in (1000, 4000):
+        text = "\n".join(lines[:n])
+        began = time.process_time()
+        base = pii.base_spans(text)
+        assert len(base) == 2 * n
+        detector.added(text, base)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0]
+
+
+def test_pii_recall_of_loose_forms_and_clean_texts(spark):
+    """Forms that the base patterns miss are found, and values that aren't personal are left alone."""
+    rng = random.Random(21)
+    digits = lambda n: "".join(str(rng.randint(0, 9)) for _ in range(n))
+    train = [f"mail a{i}.b@host{i % 50}.example.com or call +{rng.randint(1, 99)} ({rng.randint(200, 989)}) {rng.randint(200, 989)}-{digits(4)} from {rng.randint(1, 255)}.{rng.randint(0, 255)}.{i % 256}.9, card {luhn_card(rng)}" for i in range(300)]
+    loose = [f"{rng.choice(['tel', 'phone', 'call'])} ({rng.randint(200, 989)}) {rng.randint(200, 989)}-{digits(4)} today" for _ in range(100)]
+    loose += [f"phone {rng.randint(200, 989)}.{rng.randint(200, 989)}.{digits(4)} today" for _ in range(100)]
+    loose += [f"write to name{i} at mail{i % 9} dot com soon" for i in range(100)]
+    loose += [f"server ip {rng.randint(1, 255)} . {rng.randint(0, 255)} . {rng.randint(0, 255)} . {rng.randint(0, 255)} is up" for _ in range(100)]
+    clean = [f"on {rng.randint(1900, 2024)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)} it was {digits(3)} km" for _ in range(100)]
+    clean += [f"release version 12.{rng.randint(300, 999)}.{digits(4)}.1 is out" for _ in range(100)]
+    clean += [f"between {rng.randint(1900, 1950)} - {rng.randint(1951, 2000)} at the point of the story" for _ in range(100)]
+    texts = train + loose + clean
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(df, pii.train(df)).collect()}
+    found = [bool(got[300 + i].spans) for i in range(400)]
+    assert sum(found) >= 0.9 * 400
+    assert not any(got[700 + i].spans for i in range(300))
+
+
 def luhn_card(rng):
     digits = "".join(str(rng.randint(0, 9)) for _ in range(15))
     return digits + next(str(d) for d in range(10) if pii.luhn(digits + str(d)))
@@ -255,17 +410,81 @@ def test_secret_base_spans(spark):
         assert set(got[i].base) <= set(got[i].spans)
 
 
-def test_secret_battery(spark):
-    rng = random.Random(11)
-    from string import ascii_letters, digits
+def brute_battery(token, letters):
+    """The battery, written out for one token."""
+    name = next(k for k, p in (("decimal", "[0-9]+"), ("hex", "[0-9a-f]+"), ("HEX", "[0-9A-F]+"), ("base32", "[A-Z2-7]+"), ("base64", ".*[a-z].*"), ("BASE64", ".+")) if re.fullmatch(p, token))
+    alphabet = secretscan.ALPHABETS[name]
+    n, m, x = len(token), len(alphabet), [alphabet.index(c) for c in token]
+    weigh = lambda c: secretscan.SHARES["digit"] / 10 if c.isdigit() else secretscan.SHARES["sign"] / 4 if not c.isalpha() else secretscan.SHARES["lower" if (c.isupper() if name == "BASE64" else c.islower()) else "upper"] * letters[ord(c.lower()) - 97] / sum(letters)
+    q = np.array([weigh(c) for c in alphabet])
+    q /= q.sum()
+    y = np.arange(m) - (m - 1) / 2
+    squares, df = sum(x.count(i) ** 2 for i in set(x)), m - 1
+    chi = (((squares * m / n - n) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / np.sqrt(2 / (9 * df))
+    up = [i >= m / 2 for i in x]
+    runs = 1 + sum(a != b for a, b in zip(up, up[1:], strict=False))
+    product = sum(y[a] * y[b] for a, b in zip(x, x[1:], strict=False))
+    p, mean, v = q[y > 0].sum(), (q * y).sum(), (q * y * y).sum()
+    r = 2 * p * (1 - p)
+
+    def ratio(value, even, text):
+        density = lambda mu, var: -np.log(var) / 2 - (value - mu) ** 2 / var / 2
+        return density(*even) - density(text[0], max(text[1], 1e-3))
+
+    counts = sum(np.log(1 / m / q[i]) for i in x)
+    collisions = ratio(squares, (n + n * (n - 1) / m, 2 * n * (n - 1) / m * (1 - 1 / m)), (n + n * (n - 1) * (q**2).sum(), 2 * n * (n - 1) * ((q**2).sum() + 2 * (n - 2) * (q**3).sum() - (2 * n - 3) * (q**2).sum() ** 2)))
+    by_runs = ratio(runs, ((n + 1) / 2, (n - 1) / 4), (1 + (n - 1) * r, (n - 1) * r * (1 - r) + 2 * (n - 2) * (p * (1 - p) - r * r)))
+    by_serial = ratio(product, (0, (n - 1) * ((m * m - 1) / 12) ** 2), ((n - 1) * mean**2, (n - 1) * (v * v - mean**4) + 2 * (n - 2) * (mean**2 * v - mean**4)))
+    evidence = np.logaddexp(counts, collisions) + np.logaddexp(by_runs, by_serial) - 2 * np.log(2)
+    return name, chi, (runs - (n + 1) / 2) / np.sqrt((n - 1) / 4), product / ((m * m - 1) / 12) / np.sqrt(n - 1), evidence
+
+
+def test_battery_matches_brute_force(spark):
+    rng = random.Random(2)
+    tokens = ["".join(rng.choice(a) for _ in range(rng.randint(12, 80))) for a in secretscan.ALPHABETS.values() for _ in range(12)]
+    tokens += ["internationalizationofthings", "aaaaaaaaaaaaaaaaaaaa", "0000000000000000000001", "Some-Path/with_parts/x9", "CONSTANT_VALUE-2/OF"]
+    letters = [float(n) for n in secretscan.LETTERS]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secretscan.battery(F.col("t"), letters).alias("b")).collect()
+    for r in got:
+        name, *values = brute_battery(r.t, letters)
+        assert r.b.encoding == name
+        assert [r.b.chi, r.b.runs, r.b.serial, r.b.evidence] == pytest.approx(values, rel=1e-6, abs=1e-6), r.t
+
+
+def test_step_up_matches_brute_force(spark):
+    rng = random.Random(7)
+    rows = [(i, [(0, 20, rng.choice([0.0, 0.0, 5.0]), 0.0, 0.0, rng.choice([rng.uniform(-9, 4), rng.uniform(3, 30)])) for _ in range(rng.randint(0, 4))]) for i in range(200)]
+    scanned = spark.createDataFrame(rows, "doc_id long, tested array<struct<start:int,end:int,chi:double,runs:double,serial:double,evidence:double>>")
+    tested = [max(0.0, t[5]) if abs(t[2]) <= secretscan.LIMIT else 0.0 for _, ts in rows for t in ts]
+    bins = sorted(int(e / secretscan.BIN) for e in tested)
+    ok = [b for b in set(bins) if b > 0 and np.exp(-b * secretscan.BIN) * len(bins) <= 0.01 * sum(x >= b for x in bins)]
+    assert secretscan.threshold(scanned) == min(ok) * secretscan.BIN
+
+
+def test_letter_counts(spark):
+    texts = ["The elephant eats vegetables, NOT Vegetables or camelCaseWords", None, "", "abcdefgh " * 3]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counted = "elephant" + "vegetables" + "abcdefgh" * 3
+    assert secretscan.letter_counts(df) == [float(n + counted.count(chr(97 + i))) for i, n in enumerate(secretscan.LETTERS)]
+
 
-    random_tokens = ["".join(rng.choice(ascii_letters + digits) for _ in range(44)) for _ in range(30)]
+def test_secret_discoveries(spark):
+    """Secrets of many encodings and lengths are found, in texts of two languages, and ordinary tokens are left alone."""
+    from string import ascii_letters, ascii_uppercase, digits
+
+    rng = random.Random(11)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    secrets = [draw(ascii_letters + digits, n) for n in (18, 19, 20, 24, 32, 44, 64) for _ in range(20)] + [draw(ascii_letters + digits + "+/", 40) for _ in range(30)]
+    secrets += [draw("0123456789abcdef", n) for n in (24, 28, 31) for _ in range(10)] + [draw(ascii_uppercase + "234567", 32) for _ in range(30)]
     plain = ["internationalization-of-the-thing", "averyveryverylongwordthatisnotrandom", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "01010101010101010101010101", "2024-01-01-2024-01-02-2024-01-03", "/usr/lib/python/site/packages/x"]
-    texts = [f"see {t} there" for t in random_tokens + plain]
+    plain += ["Donaudampfschifffahrtsgesellschaft", "Geschwindigkeitsbegrenzung", "getUserAccountByName", "snake_case_identifier_v2", "x86_64-unknown-linux-gnu", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "20240131235959", "CONSTANT_VALUE_OF_THINGS", "README-INSTALL-LICENSE", "Some/Path/To/A/File-name_2", "src/main/java/org/example/App"]
+    around = ["the elephant sees something wonderful between mountains", "die Verwaltung berichtet wochenlang darueber irgendwo"]
+    texts = [f"{around[i % 2]} {t} there" for i, t in enumerate(secrets + plain * 3)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r.doc_id for r in secretscan.find(df).collect() if any(s.kind == "random" for s in r.spans)}
-    assert len(found & set(range(30))) >= 27
-    assert not found - set(range(30))
+    n = len(secrets)
+    assert len(found & set(range(n))) >= 0.9 * n
+    assert not {texts[i] for i in found - set(range(n))}
     assert secretscan.find(df.limit(0)).count() == 0
 
 
@@ -292,7 +511,63 @@ def test_queries_and_pipeline(spark):
     assert docs.filter(~F.col("round_trip")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op2_quality", "op3_chat", "op10_mixing"])
+def test_pipeline_against_brute_force(spark, tmp_path, monkeypatch):
+    """Nulls, empty and repeated rows, repeated ids, extra columns with the operators' own names, and an empty table."""
+    from collections import Counter
+
+    import corpus_pipeline
+    from quarry.llm import spiece
+    from test_text_operators import brute_components, brute_fingerprint, brute_mix
+
+    rng = random.Random(17)
+    stock = {"en": "the house of this man was in that town with other things and people from here", "de": "das haus von dem mann war in der stadt mit anderen dingen und leuten von hier"}
+    prose = lambda lang, n: " ".join(rng.choice(stock[lang].split()) + rng.choice(["", "", "s", "en"]) for _ in range(n))
+    rows = [(i, prose(lang, rng.randint(30, 90)), lang, rng.choice(["a", "b", None])) for i in range(60) for lang in [rng.choice(["en", "de"])]]
+    rows += [(100 + i, rows[i][1] if i % 2 else rows[i][1].upper(), None, "a") for i in range(10)]  # copies
+    rows += [(5, prose("en", 40), "en", "b"), (None, prose("de", 40), "de", "b"), (None, prose("de", 40), "de", "b"), rows[7], rows[7]]
+    rows += [(200, None, "en", "a"), (201, "", "de", "a"), (202, "123 !!", None, None), (203, prose("en", 40) + " mail x.y@mail.example.org or +1 (555) 123-4567", "en", "a")]
+    schema = "doc_id long, text string, lang string, source string, score double, lang_pred string, fp long, key string, size int, target double, ids string"
+    docs = spark.createDataFrame([(*r, 0.5, "x", 1, "k", 2, 3.0, "z") for r in rows], schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    seen = {}
+    state = docs
+    for name, stage in corpus_pipeline.STAGES:
+        state = stage(spark, state, str(tmp_path))
+        if name != "pieces":
+            assert state.dtypes == docs.dtypes
+        seen[name] = [r.asDict() for r in state.collect()]
+        state = spark.createDataFrame([tuple(r.values()) for r in seen[name]], state.schema)
+    pick = lambda part: [(r["doc_id"], r["text"]) for r in part]
+    assert Counter(pick(seen["language"])) == Counter((i, t) for i, t, _, _ in rows if any(c.isalpha() for c in t or ""))
+    prints = [brute_fingerprint(t) for _, t in pick(seen["language"])]
+    roots = brute_components(sorted(set(prints)))
+    best = {}
+    for (i, _), f in zip(pick(seen["language"]), prints, strict=True):
+        best[roots[f]] = min(best.get(roots[f], 10**9), 10**9 if i is None else i)
+    kept = pick(seen["near_duplicates"])
+    assert len(kept) == len(best)
+    assert {roots[brute_fingerprint(t)]: 10**9 if i is None else i for i, t in kept} == best
+    masked = dict((r["doc_id"], r["text"]) for r in seen["personal_data"])
+    assert len(seen["personal_data"]) == len(kept) and masked[203].endswith("mail [EMAIL] or [PHONE]")
+    assert Counter(t for _, t in pick(seen["personal_data"]) if "[" not in t) == Counter(t for i, t in kept if i != 203)
+    clean = [(r["doc_id"], r["text"], r["source"]) for r in seen["personal_data"]]
+    _, _, taken = brute_mix([r for r in clean if r[0] is not None])
+    mixed = Counter(r["doc_id"] for r in seen["mixture"])
+    if all(r[0] is not None for r in clean):
+        assert mixed == Counter({i: taken[i, s] for i, _, s in clean if taken[i, s]})
+    model = spiece.Pieces(spiece.read_model()).model
+    by_id = {i: t for i, t, _ in clean if i is not None}
+    for r in seen["pieces"]:
+        assert r["round_trip"] and r["n_tokens"] == len(r["ids"])
+        if r["doc_id"] is not None and r["doc_id"] != 5:
+            assert list(r["ids"]) == model.encode(by_id[r["doc_id"]])
+    assert Counter(r["doc_id"] for r in seen["pieces"]) == mixed
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["pieces"])
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op2_quality", "op3_chat", "op10_mixing", "url_rules"])
 def test_queries_match_their_sql(spark, name):
     import duckdb
 
@@ -300,7 +575,7 @@ def test_queries_match_their_sql(spark, name):
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, sf).toPandas(), con.sql(queries.ORACLES[name]).df()
     columns = sorted(got.columns)

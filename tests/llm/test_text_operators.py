@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -45,6 +47,8 @@ def test_quality_matches_brute_force(spark):
         assert r.base_failed == (n < 10 or 100 * repeated > 20 * n)
         assert not (r.base_failed and r.kept)
     assert quality.judge(docs(spark, [])).count() == 0
+    twice = quality.judge(docs(spark, ["a b c"]).union(docs(spark, ["a b c"])).withColumns({"n_words": F.lit("x"), "__words": F.lit(1)}))
+    assert [(r.doc_id, r.n_words) for r in twice.collect()] == [(0, 3), (0, 3)]
 
 
 def test_quality_verdicts(spark):
@@ -107,6 +111,30 @@ def test_mixing_matches_brute_force(spark, monkeypatch, bins):
     assert emitted == Counter({i: taken[i, s] for i, _, s in rows if taken[i, s]})
 
 
+@pytest.mark.parametrize("sources", [1, 2, 7, 40])
+def test_targets_match_rounds_of_sharing(spark, sources):
+    rng = random.Random(sources)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 3, 200])), rng.choice([f"s{k:02}" for k in range(sources)] + [None])) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    _, target, _ = brute_mix(rows)
+    got = {r.source: r.target for r in mixing.source_targets(mixing.plan(df)[0]).collect()}
+    assert got == {k: pytest.approx(v) for k, v in target.items()}
+
+
+def test_bins_before(spark):
+    rng = random.Random(2)
+    rows = [(s, b, rng.randint(0, 9)) for s in ("a", None) for b in range(37) if rng.random() < 0.8]
+    got = {(r.source, r.bin): r.before for r in mixing.bins_before(spark.createDataFrame(rows, "source string, bin int, bin_size long"), 5).collect()}
+    assert got == {(s, b): sum(n for t, c, n in rows if t == s and c < b) for s, b, _ in rows}
+
+
+def test_mixing_tells_rows_without_id_apart(spark):
+    rows = [(None, " ".join(["w"] * n) + f" {n}", "a") for n in range(1, 60)] + [(1, "x y z", "b")] * 3
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 62
+    assert sum(r.taken for r in got if r.doc_id is None) == pytest.approx(got[0].target if got[0].doc_id is None else got[-1].target, rel=0.1)
+
+
 def test_mixing_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(df).count() == 0
@@ -181,20 +209,39 @@ def test_near_duplicates_end_to_end(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_one_row_of_each_component(spark):
+    far = [" ".join(f"{c}{i}" for i in range(200)) for c in "abcde"]
+    rows = [(1, far[0]), (1, far[1]), (2, far[1]), (None, far[2]), (None, far[2]), (4, far[3]), (4, far[3]), (4, far[3].upper()), (3, far[4]), (None, far[4]), (7, None), (None, ""), (6, " ")]
+    df = spark.createDataFrame([(i, t, "x", "y", None, "clash", "k") for i, t in rows], "doc_id long, text string, root string, key string, fp long, component_id string, __n string")
+    got = [(r.doc_id, r.text) for r in simhash.one_of_each(df).collect()]
+    ids = sorted(-1 if i is None else i for i, _ in got)
+    assert ids == [-1, 1, 1, 3, 4, 6]
+    assert {t for i, t in got if i == 1} == {far[0], far[1]}
+    named = simhash.near_duplicates(df)
+    assert named.count() == len(rows)
+    assert {r.component_id for r in named.filter("doc_id = 1").collect()} == {1}
+
+
+@pytest.mark.parametrize("hot", [1, 50_000])
+def test_hot_fingerprints_are_named_alike(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    texts = ["same words here now"] * 30 + [" ".join(f"w{i}{k}" for k in range(50)) for i in range(10)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(spark, texts)).collect()}
+    assert got == {i: 0 if i < 30 else i for i in range(40)}
+
+
 SAMPLES = {"en": "the cat and the dog are in the house with the other thing of this world ", "de": "der hund und die katze sind nicht in dem haus mit der anderen sache von dieser welt "}
 
 
 def brute_phrases(text, sample):
-    """Longest phrases from left to right, block by block."""
-    total = 0
-    for at in range(0, len(text), langid.BLOCK):
-        block, i = text[at : at + langid.BLOCK], 0
-        while i < len(block):
-            n = 0
-            while i + n < len(block) and block[i : i + n + 1] in sample:
-                n += 1
-            i += max(1, n)
-            total += 1
+    """Longest phrases from left to right, over the whole text."""
+    total, i = 0, 0
+    while i < len(text):
+        n = 0
+        while i + n < len(text) and text[i : i + n + 1] in sample:
+            n += 1
+        i += max(1, n)
+        total += 1
     return total
 
 
@@ -209,6 +256,45 @@ def test_cross_parsing_counts_longest_phrases():
             assert counts[i, k] == brute_phrases(t, SAMPLES[lang].strip())
 
 
+@pytest.mark.parametrize("rounds", [0, 8])
+@pytest.mark.parametrize("block", [2, 7, 64])
+def test_phrases_run_on_over_blocks(monkeypatch, block, rounds):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    monkeypatch.setattr(langid, "ROUNDS", rounds)
+    rng = random.Random(block)
+    labelled = (("a", "aaa"), ("b", "the cat sat on the mat abcabcab"), ("c", "".join(rng.choice("abc ") for _ in range(300)).strip()))
+    samples = {k: langid.plain(v) for k, v in labelled}
+    languages, classes, models = langid.automata(labelled)
+    texts = ["a" * 500, "a", "", "abc" * 100, "cab" * 33 + "aa"] + [langid.plain("".join(rng.choice("abcthe q") for _ in range(rng.randint(1, 400)))) for _ in range(40)]
+    counts = langid.phrases(texts, classes, [t for t, _ in models])
+    assert counts.tolist() == [[brute_phrases(t, samples[k]) for k in languages] for t in texts]
+    found, scores = langid.predict(texts, labelled)
+    for t, lang, score in zip(texts, found, scores, strict=True):
+        cost = {k: brute_phrases(t, samples[k]) * math.log2(len(samples[k]) + 1) for k in languages}  # a sample ends in a line feed
+        low, second = sorted(cost.values())[:2]
+        assert lang == (min(k for k in cost if cost[k] == low) if t else "und")
+        assert score == pytest.approx(1 - low / second if t else 0)
+
+
+def test_language_sample_takes_long_and_short_texts(spark):
+    rng = random.Random(1)
+    word = {"en": "the cat of this house ", "de": "der hund in dem haus ", "fr": "le chat de la maison "}
+    rows = [(i, word["en"] * 200, "en", 0.5, "x", "y") for i in range(40)]  # 4,400 characters each
+    rows += [(100 + i, word["de"], "de", 0.5, "x", "y") for i in range(40)]  # 21 each
+    rows += [(200, word["fr"] * 10, "fr", 0.5, "x", "y")] * 500 + [(300 + i, word["fr"] * rng.randint(6, 90), "fr", 0.5, "x", "y") for i in range(300)]
+    rows += [(900, None, "fr", 0.5, "x", "y"), (None, "la maison du chat", "fr", None, None, None), (901, "", None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string, __text string")
+    taken = langid.sample(df, F.lit(True))
+    assert {k: sum(x == k for x, _ in taken) for k in word} == dict.fromkeys(word, 40)
+    assert max(len(t) for _, t in taken) <= langid.SAMPLE_MOST
+    fr = [t for x, t in taken if x == "fr"]
+    assert sum(t == word["fr"] * 10 for t in fr) <= 2  # copies of one row are one
+    got = langid.accepted(df, taken)
+    assert got.columns == df.columns and got.count() == len(rows) - 2
+    found = langid.identify(df, taken, keep=("doc_id", "lang")).filter("doc_id < 900")
+    assert found.filter("lang_pred = lang").count() == found.count()
+
+
 def test_language_of_many_scripts(spark):
     rng = random.Random(11)
     signs = {"en": (97, 26), "fr": (0xE0, 40), "ru": (0x430, 32), "el": (0x3B1, 25), "hi": (0x905, 0x40), "zh": (0x4E00, 1500)}
@@ -267,8 +353,6 @@ def test_scan_equals_the_library(pieces):
 
 
 def test_products_are_associative():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     ms = [rng.normal(size=(3, 3)) for _ in range(7)]
     step, expected = ms[0], [ms[0]]
@@ -278,6 +362,50 @@ def test_products_are_associative():
     assert all(np.allclose(a, b) for a, b in zip(spiece.prefixes(ms), expected, strict=True))
 
 
+def test_scan_of_one_stretch_without_spaces(pieces):
+    """Entries that go on alike give what each gives alone."""
+    rng = random.Random(4)
+    for _ in range(20):
+        text = spiece.clean("".join(rng.choice("ethionabé中文") for _ in range(240)))
+        for k, n, s, a, b in spiece.cut(text, 80, pieces.longest):
+            got = spiece.transfer(pieces, s, a, b, k == 0, k == n - 1)
+            entries = [(None, 0)] if k == 0 else [(s[i:j], j) for i, j in pieces.states(s, a)]
+            exits = {x: m for m, x in enumerate(pieces.states(s, b))}
+            for row, (piece, at) in zip(got, entries, strict=True):
+                ends = pieces.reach(s, piece, at, b)[1]
+                wanted = {0} if k == n - 1 and any(q == b for _, q in ends) else {exits[x] for x in ends if x in exits} if k < n - 1 else set()
+                assert set(np.flatnonzero(row == 0)) == wanted or (k == n - 1 and at == b)
+
+
+@pytest.mark.parametrize("run", [2, 3, 64])
+def test_states_of_chunks_by_levels(spark, run):
+    rng = np.random.default_rng(run)
+    rows, wanted = [], {}
+    for doc, n in enumerate((1, 2, 5, 8, 23)):
+        widths = [1, *rng.integers(1, 5, n - 1).tolist(), 1]
+        path = [int(rng.integers(w)) for w in widths]
+        for k in range(n):
+            m = np.full((widths[k], widths[k + 1]), spiece.MINUS)
+            m[path[k], path[k + 1]] = 0.0
+            rows.append((doc, k, widths[k + 1], [float(v) for v in m.ravel()]))
+            wanted[doc, k] = (path[k], path[k + 1])
+    matrices = spark.createDataFrame(rows, spiece.MATRIX)
+    got = {(r["row"], r.k): (r.entry, r.leave) for r in spiece.chunk_states(matrices, 23, run).collect()}
+    assert got == wanted
+
+
+def test_encode_at_production_sizes(spark, pieces):
+    words = ["the", "internationalization", "中文", "é", "x", "brown", "fox", "\n"]
+    rng = random.Random(8)
+    long = " ".join(rng.choice(words) for _ in range(60_000))
+    dense = "".join(rng.choice("ethionab") for _ in range(40_000))
+    assert len(long) > 8 * spiece.CHUNK and len(dense) > spiece.GIANT
+    rows = {r.doc_id: r for r in spiece.encode(docs(spark, [long, dense, long + "\u2581", "a\u2581b"])).collect()}
+    for i, t in enumerate((long, dense, long + "\u2581", "a\u2581b")):
+        assert list(rows[i].ids) == pieces.model.encode(t)
+        assert rows[i].round_trip == (i < 2)
+
+
 def test_encode_and_decode(spark, pieces):
     texts = [None, "", " ", "  two  spaces ", "Hello world\nand 中文 😀", "thereisnospace" * 40, "the quick brown fox " * 60, "x" * 500]
     got = spiece.decode(spiece.encode(docs(spark, texts), chunk=100, giant=200))
