@@ -1,18 +1,20 @@
 """A corpus from raw documents: language, near duplicates, personal data, mixture, pieces.
 
 Each stage takes all that the stage before it kept, written as Parquet and read again. All stages but the
-last return the columns of documents. Stages without expressible SQL are tested against brute force.
+last return the columns of documents, whatever these are beside doc_id, text, lang and source. Null and empty texts and
+texts without a letter go in the first stage; rows that share a doc_id are documents of their own until the mixture,
+which takes or leaves them together. No rows give no rows. The stages are tested against brute force.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import langid, mixing, pii, simhash, spiece
+from quarry.llm.common import shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,14 +23,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates."""
+    """One row of each group of near duplicates: the one with the smallest doc_id."""
     return simhash.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by the name of its kind; n_chars follows the text."""
+    """All documents, with personal data replaced by the name of its kind; n_chars, where there is one, follows the text."""
     clean = pii.redacted(docs, pii.train(docs))
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +57,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, with their results in the shared checkpoint folder (a temporary one only where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-pipeline-")
-    folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """All stages, with their results in the shared checkpoint folder."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
