@@ -1,14 +1,20 @@
-"""Masking of personal data: ordered pattern rules, then word lists, compiled into native expressions."""
+"""Masking of personal data: pattern rules in their order, then word lists in theirs, compiled into native expressions.
+
+Patterns are Java's, with Unicode classes: digits of any script are digits.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from typing import NamedTuple
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MASK, MOST_KEPT_RIGHT = "*", 8
+MASK, MOST_KEPT_RIGHT, UNICODE = "*", 8, "(?U)"
 
 
 class Pattern(NamedTuple):
@@ -35,24 +41,28 @@ DEFAULT_RULES: tuple[Pattern | Words, ...] = (
 )
 
 
-def compile_rules(config: dict | None = None, enabled: bool = True) -> tuple[tuple[Pattern | Words, ...], str]:
-    """(rules, replacement for words): the built-in rules and those of a config; invalid patterns are left out."""
-    import re
+def _valid(pattern: str) -> bool:
+    """Whether the engine that runs the pattern takes it."""
+    try:
+        SparkContext.getOrCreate()._jvm.java.util.regex.Pattern.compile(UNICODE + pattern)
+    except (Py4JJavaError, IllegalArgumentException):
+        return False
+    return True
 
+
+def compile_rules(config: dict | None = None, enabled: bool = True) -> tuple[tuple[Pattern | Words, ...], str]:
+    """(rules, replacement for words): the built-in rules and those of a config, patterns first; invalid patterns are left out."""
     config = config or {}
     if not (enabled and config.get("enabled", True)):
         return (), "****"
-    extra: list[Pattern | Words] = []
+    patterns: list[Pattern] = []
+    words: list[Words] = []
     for rule in config.get("rules") or []:
         if rule.get("type") == "word":
-            extra.append(Words(rule.get("name", ""), tuple(w for w in rule.get("words") or [] if w)))
-        elif rule.get("pattern"):
-            try:
-                re.compile(rule["pattern"])
-            except re.error:
-                continue
-            extra.append(Pattern(rule.get("name", ""), rule["pattern"], rule.get("keep_left", 0), rule.get("keep_right", 0), rule.get("email_keep_domain", False)))
-    return DEFAULT_RULES + tuple(extra), config.get("replace_with") or "****"
+            words.append(Words(rule.get("name", ""), tuple(w for w in rule.get("words") or [] if w)))
+        elif rule.get("pattern") and _valid(rule["pattern"]):
+            patterns.append(Pattern(rule.get("name", ""), rule["pattern"], rule.get("keep_left", 0), rule.get("keep_right", 0), rule.get("email_keep_domain", False)))
+    return (*DEFAULT_RULES, *patterns, *words), config.get("replace_with") or "****"
 
 
 def _masked(found: Column, rule: Pattern) -> Column:
@@ -68,23 +78,23 @@ def _masked(found: Column, rule: Pattern) -> Column:
 
 
 def _apply(text: Column, rule: Pattern) -> Column:
-    """Matches masked between the stretches that lie between them."""
-    masks = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), lambda m: _masked(m, rule))
-    whole = F.zip_with(F.split(text, rule.pattern, -1), masks, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
-    return F.when(text.rlike(rule.pattern), F.array_join(whole, "")).otherwise(text)
+    """Matches masked between the stretches that lie between them, in a text that has some."""
+    pattern = UNICODE + rule.pattern
+    masks = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: _masked(m, rule))
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), masks, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
 
 
 def redacted(df: DataFrame, text_col: str = "text", masked_col: str = "masked", hits_col: str = "hits", rules: tuple[Pattern | Words, ...] = DEFAULT_RULES, replace_with: str = "****") -> DataFrame:
     """df with the masked text and the sorted names of the rules that hit. Each rule sees what those before it left."""
     def step(rule: Pattern | Words, state: Column) -> Column:
-        now = state["text"]
+        now, names = state["text"], F.array_append(state["hits"], F.lit(rule.name))
         if isinstance(rule, Words):
             hit, new = F.lit(False), now
             for word in rule.words:
                 hit, new = hit | new.contains(word), F.replace(new, F.lit(word), F.lit(replace_with))
         else:
-            hit, new = now.rlike(rule.pattern), _apply(now, rule)
-        return F.struct(new.alias("text"), F.when(hit, F.array_append(state["hits"], F.lit(rule.name))).otherwise(state["hits"]).alias("hits"))
+            hit, new = now.rlike(UNICODE + rule.pattern), _apply(now, rule)
+        return F.when(hit, F.struct(new.alias("text"), names.alias("hits"))).otherwise(state)
 
     state = F.struct(F.col(text_col).alias("text"), F.array().cast("array<string>").alias("hits"))
     for rule in rules:  # each state is bound to a variable, so it is worked out once a row

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,24 @@ def apply_model_cleaning(chunks: DataFrame, results: DataFrame, keys: tuple[str,
     return joined.withColumns({"llm_status": status, "content": F.when(taken, F.col("cleaned_text")).otherwise(F.col("content"))}).drop("cleaned_text", "confidence")
 
 
+def cleaned_by(chunks: DataFrame, fn: Callable[[list[str]], list[tuple[str, float]]], keys: tuple[str, ...] = ("doc_id", "chunk_index")) -> DataFrame:
+    """chunks with garbled contents cleaned by a caller's function of texts to (text, confidence), where its answer is taken.
+
+    The function sees garbled contents only. If a call fails, its contents stay as they are.
+    """
+
+    @F.pandas_udf("text string, confidence double")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        try:
+            got = [(str(t), float(c)) for t, c in fn(texts.tolist())]
+        except Exception:  # noqa: BLE001 - a model out of reach must not fail the ingest
+            got = []
+        return pd.DataFrame(got if len(got) == len(texts) else [("", 0.0)] * len(texts), columns=["text", "confidence"])
+
+    results = chunks.filter(is_garbled(F.col("content"))).select(*keys, run("content").alias("r"))
+    return apply_model_cleaning(chunks, results.select(*keys, F.col("r.text").alias("cleaned_text"), F.col("r.confidence").alias("confidence")), keys, only_garbled=True)
+
+
 def marked(chunks: DataFrame) -> DataFrame:
     """chunks with reason (of noise), hash and duplicate: a later chunk of the document with the content of an earlier kept one."""
     noted = chunks.withColumns({"reason": noise_reason(F.col("content")), "hash": content_hash(F.col("content"))})

@@ -26,9 +26,19 @@ CASES = "(SELECT b.item_id AS case_id, min(d.doc_id) AS doc_id, '' AS section_pr
 TABLES = ("documents", "conversations", "customer", "events", "benchmark", "embeddings", "labels", "pages")
 
 
+#: Tables of texts, whose rows take long.
+LARGE = ("documents", "pages", "conversations")
+
+
+def spread(df: DataFrame, large: bool = True) -> DataFrame:
+    """A small table of few splits dealt over all cores; one with as many splits as there are cores stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if large and df.rdd.getNumPartitions() < cores else df
+
+
 def load(spark: SparkSession, sf_dir: str, sql: str, **more: DataFrame) -> DataFrame:
     """The derived table as a DataFrame."""
-    named = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql}
+    named = {t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet"), t in LARGE) for t in TABLES if "{" + t + "}" in sql}
     return spark.sql(f"SELECT * FROM {sql}", **named, **more)
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import redaction, text
-from quarry.operators import access, answer, catalog, chunk, clean, connector, evaluate, feedback, parse, retrieve, stats
+from quarry.operators import access, answer, catalog, chunk, clean, connector, evaluate, feedback, ingest, parse, retrieve, stats
 from quarry.plans import inputs as t
 from quarry.plans.inputs import load, named
 from quarry.plans.registry import ORACLES, QUERIES
@@ -61,9 +62,9 @@ def p1(spark, sf):
     return t.chunks(spark, sf, noisy=True).select("doc_id", "chunk_index", text.noise_reason(F.col("content")).alias("reason"))
 
 
-@query("p2_filter_noise", f"SELECT doc_id, count(*) AS kept FROM {t.NOISY} WHERE {t.REASON} IS NULL GROUP BY doc_id")
+@query("p2_filter_noise", f"SELECT doc_id, chunk_index, md5(content) AS digest FROM {t.NOISY} WHERE {t.REASON} IS NULL")
 def p2(spark, sf):
-    return clean.filter_noise(t.chunks(spark, sf, noisy=True)).groupBy("doc_id").agg(F.count("*").alias("kept"))
+    return clean.filter_noise(t.chunks(spark, sf, noisy=True)).select("doc_id", "chunk_index", F.md5("content").alias("digest"))
 
 
 GARBLED = "(SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN concat(substr(text, 1, 30), chr(65533)) WHEN 1 THEN concat('x', chr(7)) ELSE text END AS content FROM {documents})"
@@ -181,10 +182,10 @@ def f3(spark, sf):
     return load(spark, sf, "{benchmark}").select("item_id", F.get(text.expand_terms(F.col("text"), TERMS), F.lit(0)).alias("variant"))
 
 
-@query("f4_hash_embedding", "SELECT doc_id, round(('0x' || substr(sha256(text), 1, 2))::INT / 255, 6) AS v0, round(('0x' || substr(sha256(text), 63, 2))::INT / 255, 6) AS v31, round(('0x' || substr(sha256(text), 1, 2))::INT / 255, 6) AS v992, 1024 AS dim FROM documents")
+@query("f4_hash_embedding", "SELECT doc_id, md5(array_to_string(list_transform(range(0, 1024), lambda i: ('0x' || substr(h, 2 * (i % 32) + 1, 2))::INT), ',')) AS digest, 1024 AS dim FROM (SELECT doc_id, sha256(text) AS h FROM documents)")
 def f4(spark, sf):
     v = load(spark, sf, "{documents}").select("doc_id", text.hash_embedding(F.col("text")).alias("v"))
-    return v.select("doc_id", *[F.round(F.get("v", F.lit(i)), 6).alias(f"v{i}") for i in (0, 31, 992)], F.size("v").alias("dim"))
+    return v.select("doc_id", F.md5(F.array_join(F.transform("v", lambda x: F.round(x * 255).cast("int").cast("string")), ",")).alias("digest"), F.size("v").alias("dim"))
 
 
 @query("f5_content_hash", r"SELECT doc_id, sha1(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS hash FROM documents")
@@ -192,7 +193,12 @@ def f5(spark, sf):
     return load(spark, sf, "{documents}").select("doc_id", text.content_hash(F.col("text")).alias("hash"))
 
 
-@query("f6_chunk_id")
+#: CRC-32 of an ASCII text k: its bytes are worked in one after another, each over a table of 256 remainders.
+CRC_TABLE = "(SELECT list(r ORDER BY b) AS crc FROM (SELECT b, list_reduce(list_prepend(b, range(0, 8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS r FROM range(0, 256) v(b)))"
+CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT)), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+@query("f6_chunk_id", f"SELECT doc_id, chunk_index, {CRC} & 2147483647 AS id FROM (SELECT doc_id, chunk_index, doc_id || ':' || chunk_index AS k FROM {t.PLAIN}), {CRC_TABLE}")
 def f6(spark, sf):
     return t.chunks(spark, sf).select("doc_id", "chunk_index", text.chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("id"))
 
@@ -335,7 +341,7 @@ SELECT trim(question) AS question, id AS answer_id FROM n WHERE n = 1""")
 def j5(spark, sf):
     m = messages(spark, sf)
     known = m.filter("role = 'user' and session_id % 5 = 0").select(text.strip(F.col("content")).alias("question"))
-    return feedback.new_cases(m, known, limit=40)
+    return feedback.new_cases(m, known, limit=40).select("question", "answer_id")
 
 
 SESSIONS = f"(SELECT session_id, session_id % 40 AS user_id, max(said_at) AS updated_at FROM {t.MESSAGES} GROUP BY session_id)"
@@ -428,7 +434,7 @@ def benchmark(spark, sf):
 
 @query("a12_term_stats", f"SELECT term, df, n_chunks, round(avg_length, 6) AS avg_length FROM {STATS}")
 def a12(spark, sf):
-    return retrieve.term_stats(retrieve.postings(t.chunks(spark, sf))).withColumn("avg_length", F.round("avg_length", 6))
+    return retrieve.term_stats(t.chunks(spark, sf)).withColumn("avg_length", F.round("avg_length", 6))
 
 
 @query("w7_bm25", f"SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM {BM25}")
@@ -441,24 +447,24 @@ VECTORS = "(SELECT vec_id, embedding AS vector, concat('dept', CAST(label % 5 AS
 
 def vectors(spark, sf):
     v = load(spark, sf, VECTORS)
-    return v.filter("vec_id % 50 <> 0").withColumnRenamed("vec_id", "chunk_id"), v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vector", F.col("department").alias("own"))
+    return v.withColumnRenamed("vec_id", "chunk_id"), v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vector", F.col("department").alias("own"))
 
 
 def cosine(where: str) -> str:
     return f"""(WITH v AS {named(VECTORS)}, g AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(CAST(q.vector AS DOUBLE[]), CAST(c.vector AS DOUBLE[])), 6) AS score
-FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id % 50 <> 0 AND {where}) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM g QUALIFY rank <= 10)"""
+FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND {where}) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM g QUALIFY rank <= 10)"""
 
 
 @query("w6_dense", f"SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM {cosine('TRUE')}")
 def w6(spark, sf):
-    return retrieve.dense_topk(*vectors(spark, sf)).withColumn("score", F.round("score", 4))
+    return retrieve.dense_topk(*vectors(spark, sf), itself=False).withColumn("score", F.round("score", 4))
 
 
 @query("j2_dense_in_scope", f"SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM {cosine('q.department = c.department')}")
 def j2_dense(spark, sf):
     chunks, queries = vectors(spark, sf)
     scope = queries.select("query_id", F.lit(False).alias("unrestricted"), F.col("own").alias("department"))
-    return retrieve.dense_topk(chunks, queries, scope=scope).withColumn("score", F.round("score", 4))
+    return retrieve.dense_topk(chunks, queries, scope=scope, itself=False).withColumn("score", F.round("score", 4))
 
 
 LISTS = "(SELECT c_custkey % 50 AS query_id, c_custkey AS chunk_id, row_number() OVER (PARTITION BY c_custkey % 50 ORDER BY {0}, c_custkey) AS rank FROM {{customer}})"
@@ -571,32 +577,128 @@ def g8(spark, sf):
     return answer.history(messages(spark, sf)).select("id", "history")
 
 
-@query("u1_merge_queries", "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 6 ELSE 8 END AS n FROM benchmark")
+@query("u1_merge_queries", "SELECT item_id, array_to_string(CASE WHEN item_id % 2 = 0 THEN [text || '0', text || '1', text || '2', text || '3', text || '4', 'v'] ELSE list_transform(range(1, 9), lambda i: text || (i // 2)) END, '|') AS merged FROM benchmark")
 def u1(spark, sf):
-    many = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.concat(F.col("text"), i.cast("string")))
-    variants = F.when(F.col("item_id") % 2 == 0, F.array(F.lit("v"))).otherwise(F.array().cast("array<string>"))
-    return load(spark, sf, "{benchmark}").select("item_id", F.size(text.merge_queries(many, variants)).alias("n"))
+    many = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.concat(F.col("text"), F.floor(i / 2).cast("string")))  # some twice
+    variants = F.when(F.col("item_id") % 2 == 0, F.array(F.lit("v"), F.lit("w"))).otherwise(F.array().cast("array<string>"))
+    return load(spark, sf, "{benchmark}").select("item_id", F.array_join(text.merge_queries(many, variants), "|").alias("merged"))
 
 
-@query("u2_bounded_expansion", "SELECT item_id, 1 + least(3, 4 - item_id % 5)::INT AS n FROM benchmark")
+@query("u2_bounded_expansion", "SELECT item_id, array_to_string(list_concat([text], list_transform(range(item_id % 5 + 1, least(item_id % 5 + 4, 5)), lambda i: 'v' || i)), '|') AS expanded FROM benchmark")
 def u2(spark, sf):
     variants = F.expr("transform(sequence(1, 4), i -> CASE WHEN i <= item_id % 5 THEN ' ' ELSE concat('v', i) END)")
-    return load(spark, sf, "{benchmark}").select("item_id", F.size(text.bounded_expansion(F.col("text"), variants)).alias("n"))
+    return load(spark, sf, "{benchmark}").select("item_id", F.array_join(text.bounded_expansion(F.col("text"), variants), "|").alias("expanded"))
 
 
 CASE_SQL = "(SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'chat' ELSE 'qa' END AS intent FROM {benchmark})"
 
 
-@query("u3_all_cases", f"SELECT intent, count(*) AS n FROM (SELECT * FROM {named(CASE_SQL)} WHERE intent <> 'chat' UNION ALL SELECT * FROM {named(CASE_SQL)}) GROUP BY intent")
+@query("u3_all_cases", f"SELECT item_id, intent FROM {named(CASE_SQL)} WHERE intent <> 'chat' UNION ALL SELECT item_id, intent FROM {named(CASE_SQL)}")
 def u3(spark, sf):
     cases = load(spark, sf, CASE_SQL)
-    return feedback.all_cases(cases, cases).groupBy("intent").agg(F.count("*").alias("n"))
+    return feedback.all_cases(cases, cases).select("item_id", "intent")
+
 
+REPLACED = "CASE WHEN doc_id % 5 = 0 THEN concat('new ', content) ELSE content END"
 
-@query("s5_replace_documents", f"SELECT doc_id, count(*) AS n FROM {t.PLAIN} WHERE doc_id % 5 <> 0 OR chunk_index % 2 = 0 GROUP BY doc_id")
+
+@query("s5_replace_documents", f"SELECT doc_id, chunk_index, md5({REPLACED}) AS digest FROM {t.PLAIN} WHERE doc_id % 5 <> 0 OR chunk_index % 2 = 0")
 def s5(spark, sf):
     chunks = t.chunks(spark, sf)
-    return catalog.replace_documents(chunks, chunks.filter("doc_id % 5 = 0 and chunk_index % 2 = 0")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    new = chunks.filter("doc_id % 5 = 0 and chunk_index % 2 = 0").withColumn("content", F.concat(F.lit("new "), "content"))
+    return catalog.replace_documents(chunks, new).select("doc_id", "chunk_index", F.md5("content").alias("digest"))
+
+
+def folder(spark, name):
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s5_chunk_store", f"SELECT doc_id, chunk_index, md5({REPLACED}) AS digest FROM {t.PLAIN} WHERE doc_id % 5 <> 0 OR chunk_index % 2 = 0")
+def s5_store(spark, sf):
+    """The store itself: written, part of it replaced, read."""
+    chunks, store = t.chunks(spark, sf), folder(spark, "chunks")
+    files.replace_in_store(spark, store, chunks)
+    files.replace_in_store(spark, store, chunks.filter("doc_id % 5 = 0 and chunk_index % 2 = 0").withColumn("content", F.concat(F.lit("new "), "content")))
+    return files.read_store(spark, store).select("doc_id", "chunk_index", F.md5("content").alias("digest"))
+
+
+@query("s4_appended_cases", "SELECT text AS question, CASE item_id % 3 WHEN 0 THEN 'qa' ELSE 'summary' END AS intent, 'b' || item_id AS source, count(*) AS n FROM benchmark, range(2) GROUP BY ALL")
+def s4(spark, sf):
+    """Cases written to a folder twice and read again, with their defaults."""
+    cases = load(spark, sf, "{benchmark}").selectExpr("text AS question", "CASE item_id % 3 WHEN 0 THEN '' ELSE 'summary' END AS intent", "concat('b', item_id) AS source")
+    path = folder(spark, "cases")
+    files.append_cases(cases, path)
+    files.append_cases(cases, path)
+    return files.load_cases(spark, path).groupBy("question", "intent", "source").agg(F.count("*").alias("n"))
+
+
+@query("s1_load_directory", "SELECT 'd' || doc_id AS doc_id, length(text) AS n, md5(text) AS digest FROM documents WHERE text IS NOT NULL")
+def s1(spark, sf):
+    """Every document as a file of a folder, listed and read again."""
+    path = folder(spark, "docs")
+    # one row a partition folder; Spark names the files in it
+    load(spark, sf, "{documents}").filter("text is not null").selectExpr("concat('d', doc_id) AS name", "text").write.option("compression", "none").option("lineSep", "\u0000").partitionBy("name").text(path)
+    read = files.load_documents(spark, path).select(F.regexp_extract("path", r"name=([^/]+)", 1).alias("doc_id"), F.regexp_replace("text", "\u0000$", "").alias("text"))
+    return read.select("doc_id", F.length("text").alias("n"), F.md5("text").alias("digest"))
+
+
+@query("p5_upload_gate", """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'unsupported_type' WHEN n_chars > 10000 THEN 'too_large' WHEN doc_id % 5 = 0 THEN 'wrong_content' WHEN doc_id % 3 = 0 THEN 'bad_department' WHEN doc_id % 2 = 0 THEN 'bad_doc_id' END AS reason FROM documents""")
+def p5(spark, sf):
+    """Uploads of every sort: a type, a size, first bytes, a department or an id that isn't taken."""
+    path = F.expr("concat('/x/', doc_id, CASE WHEN doc_id % 7 = 0 THEN '.exe' WHEN doc_id % 5 = 0 THEN '.pdf' ELSE '.md' END)")
+    size = F.when(F.col("n_chars") > 10000, files.MOST_BYTES + 1).otherwise(F.col("n_chars"))
+    reason = files.upload_rejection(path, F.encode(F.col("text"), "UTF-8"), size, F.expr("CASE WHEN doc_id % 3 = 0 THEN 'a/b' ELSE 'dept' END"), F.expr("CASE WHEN doc_id % 2 = 0 THEN concat(doc_id, '!') ELSE CAST(doc_id AS STRING) END"))
+    return load(spark, sf, "{documents}").select("doc_id", reason.alias("reason"))
+
+
+@query("x1_embed", "SELECT item_id, length(text)::DOUBLE AS n, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS e FROM benchmark")
+def x1(spark, sf):
+    """A caller's embedding function."""
+    v = retrieve.embed(load(spark, sf, "{benchmark}"), "text", lambda texts: [[len(x), x.count("e")] for x in texts])
+    return v.select("item_id", F.get("vector", F.lit(0)).alias("n"), F.get("vector", F.lit(1)).alias("e"))
+
+
+@query("x2_rerank_by_function", f"""WITH f AS {FUSED}, s AS (SELECT *, ((chunk_id * 7 + query_id) % 11) / 11 AS rel FROM f)
+SELECT query_id, chunk_id, CASE WHEN query_id % 5 = 0 THEN score ELSE round(rel, 6) END AS score, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN query_id % 5 = 0 THEN 0 ELSE -rel END, rank) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN query_id % 5 = 0 THEN 0 ELSE -rel END, rank) <= 5""")
+def x2(spark, sf):
+    """A caller's scorer that fails for a fifth of the queries."""
+    f = fused(spark, sf)
+    chunks = load(spark, sf, "{customer}").selectExpr("c_custkey AS chunk_id", "CAST(c_custkey AS STRING) AS content")
+    queries = f.selectExpr("query_id", "CAST(query_id AS STRING) AS text").distinct()
+
+    def scorer(query, texts):
+        if int(query) % 5 == 0:
+            raise RuntimeError("no model")
+        return [(int(x) * 7 + int(query)) % 11 / 11 for x in texts]
+
+    return retrieve.rerank(f, retrieve.scored(f, queries, chunks, scorer), 5)
+
+
+@query("x3_cases_by_functions", f"""WITH d AS (SELECT * FROM {MESSAGES} WHERE role = 'assistant' AND feedback = 'down' ORDER BY said_at DESC, id DESC LIMIT 160),
+p AS (SELECT d.id, d.said_at, (SELECT arg_max(content, said_at) FROM {MESSAGES} q WHERE q.session_id = d.session_id AND q.role = 'user' AND q.said_at < d.said_at) AS question FROM d),
+l AS (SELECT * FROM p WHERE question IS NOT NULL ORDER BY said_at DESC, id DESC LIMIT 40),
+n AS (SELECT *, row_number() OVER (PARTITION BY trim(question) ORDER BY said_at DESC, id DESC) AS n FROM l WHERE trim(question) NOT IN (SELECT trim(content) FROM {MESSAGES} WHERE role = 'user' AND session_id % 5 = 0))
+SELECT trim(question) AS question, '' AS doc_id, '' AS section_prefix, CASE length(trim(question)) % 3 WHEN 0 THEN 'qa' ELSE 'summary' END AS intent, 'about ' || left(trim(question), 9) AS reference, 'feedback:' || id AS source FROM n WHERE n = 1 AND length(trim(question)) % 3 < 2""")
+def x3(spark, sf):
+    m = messages(spark, sf)
+    known = m.filter("role = 'user' and session_id % 5 = 0").select(text.strip(F.col("content")).alias("question"))
+    classify = lambda qs: [("qa", "summary", "chat")[len(q) % 3] for q in qs]
+    return feedback.new_cases(m, known, limit=40, classify=classify, make_reference=lambda qs: [f"about {q[:9]}" for q in qs]).drop("answer_id")
+
+
+@query("x4_cleaned_by_function", f"""WITH g AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN concat(substr(text, 1, 30), chr(65533)) ELSE text END AS content FROM documents),
+b AS (SELECT *, length(content) >= 20 AND (contains(content, chr(65533)) OR regexp_matches(content, '[\x00-\x08\x0e-\x1f]')) AS bad FROM g)
+SELECT doc_id, CASE WHEN bad AND length(content) % 2 = 0 THEN replace(content, chr(65533), '?') ELSE content END AS content, CASE WHEN bad AND length(content) % 2 = 0 THEN 'cleaned' WHEN bad THEN 'fallback' END AS llm_status FROM b""")
+def x4(spark, sf):
+    garbled = load(spark, sf, "{documents}").select("doc_id", F.expr("CASE doc_id % 5 WHEN 0 THEN concat(substr(text, 1, 30), '\ufffd') ELSE text END").alias("content"))
+    return clean.cleaned_by(garbled, lambda texts: [(x.replace("\ufffd", "?"), 0.9 if len(x) % 2 == 0 else 0.1) for x in texts], keys=("doc_id",)).select("doc_id", "content", "llm_status")
+
+
+@query("ingest_documents")
+def ingested(spark, sf):
+    """All documents as files, from parsing to masked chunks."""
+    rows = load(spark, sf, "{documents}").selectExpr("doc_id", "concat('/x/', doc_id, CASE doc_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' ELSE '.html' END) AS path", "text")
+    return ingest.ingest(rows).chunks
 
 
 @query("s6_audit_export", f"SELECT id, action, resource FROM {AUDIT} ORDER BY id DESC LIMIT 5000")
@@ -645,11 +747,18 @@ def g3(spark, sf):
     return parse.exploded(load(spark, sf, "{pages}").select("page_id", parse.html_blocks(F.col("html")).alias("blocks")))
 
 
-@query("g4_route", "SELECT CASE doc_id % 3 WHEN 0 THEN 'markdown' WHEN 1 THEN 'text' ELSE 'rejected' END AS parser, count(*) AS n FROM documents GROUP BY 1")
+FLAT = "regexp_replace(text, '[|#<>&]', '', 'g')"
+
+
+@query("g4_route", f"""SELECT CASE doc_id % 3 WHEN 0 THEN 'markdown' WHEN 1 THEN 'text' ELSE 'rejected' END AS parser, doc_id, CASE WHEN doc_id % 3 < 2 THEN md5(array_to_string(list_filter(list_transform(string_split({FLAT}, chr(10)), lambda x: trim(x)), lambda x: x <> ''), '|')) END AS digest FROM documents""")
 def g4(spark, sf):
-    rows = load(spark, sf, "{documents}").selectExpr("concat('/x/', doc_id, CASE doc_id % 3 WHEN 0 THEN '.MD' WHEN 1 THEN '.txt' ELSE '.pdf' END) AS path", "text")
+    """Files of three types, and the texts of the blocks that their parsers give; every line is a block here."""
+    spaced = F.regexp_replace(F.regexp_replace("text", "[|#<>&]", ""), "\n", "\n\n")
+    rows = load(spark, sf, "{documents}").select(F.expr("concat('/x/', doc_id, CASE doc_id % 3 WHEN 0 THEN '.MD' WHEN 1 THEN '.txt' ELSE '.pdf' END)").alias("path"), spaced.alias("text"))
     parsed, rejected = parse.route(rows)
-    return parsed.select("parser").unionByName(rejected.select(F.lit("rejected").alias("parser"))).groupBy("parser").agg(F.count("*").alias("n"))
+    number = F.regexp_extract("path", r"/x/([0-9]+)", 1).cast("long").alias("doc_id")
+    joined = F.md5(F.array_join(F.transform("blocks", lambda x: x["text"]), "|")).alias("digest")
+    return parsed.select("parser", number, joined).unionByName(rejected.select(F.lit("rejected").alias("parser"), number, F.lit(None).cast("string").alias("digest")))
 
 
 def line_blocks(spark, sf):
@@ -686,7 +795,17 @@ def attempts(spark, sf):
     return rows.select(F.col("user_id").cast("string").alias("username"), ((F.unix_timestamp("ts") - ORIGIN) / 60).alias("ts"), (F.col("event_type") == "view").alias("success"))
 
 
-@query("t3_login_lockout")
+LOCKOUT = f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY username ORDER BY ts, success) AS i FROM
+  (SELECT CAST(user_id AS VARCHAR) AS username, (floor(epoch(ts)) - {ORIGIN}) / 60 AS ts, event_type = 'view' AS success FROM events WHERE event_type IN ('error', 'view'))),
+r AS (SELECT username, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS ts, '' AS outcome, 0 AS c, CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS u FROM (SELECT DISTINCT username FROM n)
+  UNION ALL SELECT username, i, ts, CASE WHEN locked THEN 'locked' WHEN success THEN 'ok' ELSE 'failed' END,
+    CASE WHEN locked THEN c WHEN success OR nc >= 5 THEN 0 ELSE nc END, CASE WHEN locked THEN w WHEN success OR nc >= 5 THEN 0 ELSE nw END, CASE WHEN locked THEN u WHEN NOT success AND nc >= 5 THEN ts + 300 ELSE 0 END
+  FROM (SELECT n.username, n.i, n.ts, n.success, c, w, u, n.ts < u AS locked, CASE WHEN c = 0 OR n.ts >= w THEN 1 ELSE c + 1 END AS nc, CASE WHEN c = 0 OR n.ts >= w THEN n.ts + 300 ELSE w END AS nw
+        FROM r JOIN n ON n.username = r.username AND n.i = r.i + 1))
+SELECT username, ts, outcome FROM r WHERE i > 0"""
+
+
+@query("t3_login_lockout", LOCKOUT)
 def t3(spark, sf):
     return jobs.login_lockout(attempts(spark, sf))
 

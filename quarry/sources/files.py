@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from quarry.operators.parse import PARSERS, suffix
 MOST_BYTES, EXPORTED = 50 * 1024 * 1024, 5000
 AUDIT_COLUMNS = ("id", "user", "action", "resource", "detail", "ip", "created_at")
 CASE = "question string, doc_id string, section_prefix string, intent string, reference string, source string"
+CASE_COLUMNS = tuple(c.split()[0] for c in CASE.split(", "))
 # First bytes that files of a type must have.
 MAGIC = {"pdf": "25504446", "docx": "504B", "pptx": "504B"}
 
@@ -44,47 +48,100 @@ def watched_dirs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation cases with defaults: intent qa, source feedback, empty strings."""
-    rows = spark.read.schema(CASE).option("multiLine", True).json(path)
+    """Evaluation cases with defaults: intent qa, source feedback, empty strings. A file is a JSON array, or one case a line."""
+    whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v")).filter("v != ''")
+    lines = F.transform(F.filter(F.split("v", "\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, CASE))
+    rows = whole.select(F.explode(F.when(F.col("v").startswith("["), F.from_json("v", f"array<struct<{CASE.replace(' string', ':string')}>>")).otherwise(lines)).alias("c")).select("c.*")
     blank = {c: F.coalesce(c, F.lit("")) for c in ("question", "doc_id", "section_prefix", "reference")}
     return rows.withColumns(blank | {"intent": F.coalesce(F.nullif("intent", F.lit("")), F.lit("qa")), "source": F.coalesce(F.nullif("source", F.lit("")), F.lit("feedback"))})
 
 
 def append_cases(cases: DataFrame, path: str) -> int:
-    """Append, without de-duplication; the number of cases now there."""
-    cases.write.mode("append").json(path)
-    return cases.sparkSession.read.schema(CASE).json(path).count()
-
-
-def replace_in_store(spark: SparkSession, store: str, incoming: DataFrame) -> str:
-    """A new version of the chunk store with the incoming documents' chunks replaced; its folder.
-
-    Versions are whole folders and the newest complete one is read, so a lost writer leaves no half state.
+    """Append to a folder, without de-duplication; the number of cases now there."""
+    cases.select(*[F.col(c) if c in cases.columns else F.lit("").alias(c) for c in CASE_COLUMNS]).write.mode("append").json(path)
+    return load_cases(cases.sparkSession, path).count()
+
+
+#: Buckets of a new chunk store, by document; an update writes those anew that it touches.
+BUCKETS = 64
+
+
+class _Store:
+    """Files of a store: parts, each a folder of a bucket's chunks, and numbered manifests that name the part of each bucket."""
+
+    def __init__(self, spark: SparkSession, store: str):
+        self.jvm, self.root = spark.sparkContext._jvm, store.rstrip("/")
+        self.fs = self.path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def manifests(self) -> list[int]:
+        if not self.fs.exists(self.path("manifests")):
+            return []
+        return sorted(int(s.getPath().getName().split(".")[0]) for s in self.fs.listStatus(self.path("manifests")) if s.getPath().getName().endswith(".json"))
+
+    def read(self, number: int) -> dict | None:
+        """None while its writer is at work on it."""
+        stream = self.fs.open(self.path(f"manifests/{number:09d}.json"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        except ValueError:
+            return None
+        finally:
+            stream.close()
+
+    def newest(self, patience: int = 10) -> tuple[int, dict | None]:
+        """(number, manifest). One that stays broken is of a writer that was lost, and counts as its number only."""
+        numbers = self.manifests()
+        for number in reversed(numbers):
+            for _ in range(patience):
+                if (found := self.read(number)) is not None:
+                    return numbers[-1], found
+                time.sleep(0.5)
+        return (numbers[-1] if numbers else -1), None
+
+    def commit(self, number: int, manifest: dict) -> bool:
+        """Whether the number was free: a file can be made once."""
+        try:
+            stream = self.fs.create(self.path(f"manifests/{number:09d}.json"), False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        try:
+            stream.write(json.dumps(manifest).encode())
+        finally:
+            stream.close()
+        return True
+
+
+def replace_in_store(spark: SparkSession, store: str, incoming: DataFrame, buckets: int = BUCKETS) -> int:
+    """The chunk store with the incoming documents' chunks replaced; the number of its version.
+
+    Only buckets of incoming documents are written anew, as parts of their own; then a manifest names the parts that
+    hold. A writer that finds its number taken begins again, so of two at once neither is lost; one that fails leaves the
+    store as it was. Readers hold to the manifest that they read.
     """
-    before = read_store(spark, store)
-    after = incoming if before is None else replace_documents(before, incoming)
-    version = f"{store.rstrip('/')}/version={_versions(spark, store)[-1] + 1 if _versions(spark, store) else 0:06d}-{uuid.uuid4().hex[:8]}"
-    after.write.parquet(version)
-    return version
-
-
-def _folders(spark: SparkSession, store: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(store)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    return sorted(n for n in names if n.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{store}/{n}/_SUCCESS")))
-
-
-def _versions(spark: SparkSession, store: str) -> list[int]:
-    return [int(n.split("=")[1].split("-")[0]) for n in _folders(spark, store)]
+    files = _Store(spark, store)
+    while True:
+        number, manifest = files.newest()
+        parts, n = (manifest["parts"], manifest["buckets"]) if manifest else ({}, buckets)
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
+        touched = [str(r[0]) for r in incoming.select(bucket.alias("b")).distinct().collect()]  # at most n rows
+        old = [parts[b] for b in touched if b in parts]
+        after = replace_documents(spark.read.parquet(*[f"{files.root}/{p}" for p in old]), incoming) if old else incoming
+        part = f"parts/{uuid.uuid4().hex}"
+        after.withColumn("__bucket", bucket).repartition("__bucket").write.partitionBy("__bucket").parquet(f"{files.root}/{part}")
+        if files.commit(number + 1, {"buckets": n, "parts": parts | {b: f"{part}/__bucket={b}" for b in touched}}):
+            return number + 1
 
 
 def read_store(spark: SparkSession, store: str) -> DataFrame | None:
-    names = _folders(spark, store)
-    return spark.read.parquet(f"{store.rstrip('/')}/{names[-1]}") if names else None
+    """The chunks of the newest version; None where there is none."""
+    files = _Store(spark, store)
+    _, manifest = files.newest()
+    return spark.read.parquet(*[f"{files.root}/{p}" for p in manifest["parts"].values()]) if manifest and manifest["parts"] else None
 
 
 def audit_export(rows: DataFrame, most: int = EXPORTED) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quarry.functions.redaction import redacted
+from quarry.functions.redaction import DEFAULT_RULES, Pattern, Words, redacted
+from quarry.operators import connector
 
 LATE, STEP, RATE_WINDOW = "10 minutes", "30 seconds", "5 minutes"
 RATE_SECONDS = 300
@@ -132,34 +134,62 @@ def redact_stream(deltas: DataFrame) -> DataFrame:
     return redacted(whole).select("answer_id", "masked", "hits")
 
 
-def redact_deltas(deltas: DataFrame) -> DataFrame:
-    """answer_id, masked: a stream of deltas with `last` on an answer's end; the text is held until then and masked whole."""
+def safe_cut(text: str) -> int:
+    """How much of a text can be masked by the built-in rules before the rest is there: up to its last character that no
+    match can hold and that is no part of a word, as a match then ends before it or begins after it."""
+    for i in range(len(text), 0, -1):
+        c = text[i - 1]
+        if not (c.isalnum() or unicodedata.category(c)[0] == "M" or c in "._%+-@"):
+            return i
+    return 0
 
-    def hold(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("seq")
-        text = (held.get[0] if held.exists else "") + "".join(rows["delta"])
-        if rows["last"].any():
+
+def redact_deltas(deltas: DataFrame, rules: tuple[Pattern | Words, ...] = DEFAULT_RULES, idle: str = "10 minutes") -> DataFrame:
+    """answer_id, part, masked, hits: a stream of deltas (answer_id, seq, delta, last) masked part by part as it comes in.
+
+    A part ends where no match can be cut (safe_cut); the rest is held until more comes, `last` is set, or no delta has come
+    for `idle`. With other rules than the built-in ones an answer is held until its end, as any text may be a match.
+    """
+    whole, most = rules != DEFAULT_RULES, int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        text, part = held.get if held.exists else ("", 0)
+        ended = held.hasTimedOut
+        if not ended:
+            rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+            text, ended = text + "".join(rows["delta"]), bool(rows["last"].any())
+        cut = len(text) if ended else 0 if whole else safe_cut(text)
+        if ended:
             if held.exists:
                 held.remove()
-            yield pd.DataFrame({"answer_id": [key[0]], "text": [text]})
         else:
-            held.update((text,))
+            held.update((text[cut:], part + (cut > 0)))
+            held.setTimeoutDuration(most)
+        if cut:
+            yield pd.DataFrame({"answer_id": [key[0]], "part": [part], "text": [text[:cut]]})
 
     kind = deltas.schema["answer_id"].dataType.simpleString()
-    whole = deltas.groupBy("answer_id").applyInPandasWithState(hold, f"answer_id {kind}, text string", "text string", "append", GroupStateTimeout.NoTimeout)
-    return redacted(whole).select("answer_id", "masked", "hits")
+    parts = deltas.groupBy("answer_id").applyInPandasWithState(step, f"answer_id {kind}, part int, text string", "text string, part int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return redacted(parts, rules=rules).select("answer_id", "part", "masked", "hits")
 
 
 def consume_tasks(tasks: DataFrame, work: Callable[[DataFrame], DataFrame], disabled: Callable[[], DataFrame], done: Callable[[DataFrame], None], retry: Callable[[DataFrame], None], dead: Callable[[DataFrame], None], checkpoint: str, **trigger) -> StreamingQuery:
-    """Run ingest tasks (doc_id, ..., retry): disabled documents are dropped; work returns doc_id, ok, error.
+    """Run ingest tasks (doc_id, ..., retry): disabled documents are dropped; work returns the key, ok and error.
 
+    The key is task_id where tasks have one; else doc_id, and tasks of one document in a batch are one, with the most
+    retries. A task for which work returns nothing, or ok that is null, has failed; of several results the worst counts.
     Failures below MOST_RETRIES go to retry with one more, others to dead. At least once; sinks must be idempotent.
     """
+    key = "task_id" if "task_id" in tasks.columns else "doc_id"
 
     def batch(rows: DataFrame, _: int) -> None:
+        if key == "doc_id":
+            rest = [c for c in rows.columns if c != key]
+            rows = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.col("retry").cast("int")).alias("r")).select(key, "r.*").select(*rows.columns)
         live = rows.join(disabled().select("doc_id"), "doc_id", "left_anti").persist()
         try:
-            result = live.join(work(live), "doc_id").persist()
+            found = work(live).groupBy(key).agg(F.min(F.coalesce("ok", F.lit(False))).alias("ok"), F.max("error").alias("error"))
+            result = live.join(found, key, "left").withColumns({"error": F.when(F.col("ok").isNull(), "no result").otherwise(F.col("error")), "ok": F.coalesce("ok", F.lit(False))}).persist()
             done(result.filter("ok"))
             failed = result.filter("not ok").drop("ok")
             retry(failed.filter(F.col("retry").cast("int") < MOST_RETRIES).withColumn("retry", (F.col("retry").cast("int") + 1).cast("string")))
@@ -171,6 +201,38 @@ def consume_tasks(tasks: DataFrame, work: Callable[[DataFrame], DataFrame], disa
     return tasks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def scan_once(listing: DataFrame, read_state: Callable[[], DataFrame], write_state: Callable[[DataFrame], None], ingest: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One turn of the watcher: changes of a listing against the recorded state are ingested, and what was done is recorded.
+
+    ingest takes new and updated files (path, path_key, fingerprint, status, department, doc_id) and returns path_key and
+    ok; files without a result have failed and come again. Returns the changes with ok.
+    """
+    state = read_state()
+    changes = connector.scan_changes(listing, state)
+    if "department" not in changes.columns:
+        changes = changes.withColumn("department", F.lit(""))
+    changes = changes.filter("status != 'skipped'").persist()
+    try:
+        found = ingest(changes).groupBy("path_key").agg(F.min(F.coalesce("ok", F.lit(False))).alias("ok"))
+        done = changes.join(found, "path_key", "left").withColumn("ok", F.coalesce("ok", F.lit(False))).persist()
+        done.count()  # ingested before it is recorded
+        write_state(connector.next_state(state, done))
+    finally:
+        changes.unpersist()
+    return done
+
+
+def watch_directory(spark: SparkSession, folder: str, read_state: Callable[[], DataFrame], write_state: Callable[[DataFrame], None], ingest: Callable[[DataFrame], DataFrame], checkpoint: str, every: str = "60 seconds") -> StreamingQuery:
+    """scan_once of a folder again and again, at a stream's ticks. Changed files are found as well, unlike by a stream of files."""
+    from quarry.sources.files import listing
+
+    def turn(_: DataFrame, __: int) -> None:
+        scan_once(listing(spark, folder), read_state, write_state, ingest).unpersist()
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(turn).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def watch_folder(spark: SparkSession, folder: str, most_files: int = 2000) -> DataFrame:
     """A stream of new files of an append-only folder; changed files need connector.scan_changes, run as a batch."""
     schema = "path string, modificationTime timestamp, length long, content binary"

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import redaction, text
-from quarry.operators import chunk, clean, connector, parse
+from quarry.operators import chunk, clean, connector, ingest, parse
 from quarry.sources import files
 
 
@@ -152,6 +152,9 @@ def test_sources(spark, tmp_path):
     rows = files.load_cases(spark, str(cases))
     assert [(r.question, r.intent, r.source, r.section_prefix) for r in rows.collect()] == [("q", "qa", "feedback", ""), ("r", "chat", "golden", "")]
     assert [files.append_cases(rows, str(tmp_path / "out")) for _ in range(2)] == [2, 4]
+    five = spark.createDataFrame([(f"q{i}", "[x]\n") for i in range(5)], "question string, reference string")
+    assert files.append_cases(five, str(tmp_path / "five")) == 5
+    assert {(r.question, r.reference, r.intent) for r in files.load_cases(spark, str(tmp_path / "five")).collect()} == {(f"q{i}", "[x]\n", "qa") for i in range(5)}
 
 
 def test_store_replaces_documents(spark, tmp_path):
@@ -162,6 +165,82 @@ def test_store_replaces_documents(spark, tmp_path):
     assert sorted(tuple(r) for r in files.read_store(spark, store).collect()) == [("a", 0, "new"), ("b", 0, "z")]
 
 
+def test_store_of_buckets(spark, tmp_path):
+    """Other buckets' files stay; a number that is taken, or a manifest cut short, loses nothing."""
+    schema, store = "doc_id string, chunk_index int, content string", str(tmp_path / "store")
+    rows = lambda docs, c: spark.createDataFrame([(d, k, c) for d in docs for k in range(2)], schema)
+    assert files.replace_in_store(spark, store, rows([f"d{i}" for i in range(40)], "old"), buckets=8) == 0
+    before = files._Store(spark, store).newest()[1]["parts"]
+    assert files.replace_in_store(spark, store, rows(["d1"], "new")) == 1
+    after = files._Store(spark, store).newest()[1]["parts"]
+    assert sum(before[b] != after[b] for b in before) == 1 and len(after) == len(before) <= 8
+
+    class Rival(files._Store):
+        turns = 0
+
+        def commit(self, number, manifest):
+            Rival.turns += 1
+            if Rival.turns == 1:  # another writer takes the number first
+                real(spark, store, rows(["d2"], "rival"))
+            return super().commit(number, manifest)
+
+    real, kept = files.replace_in_store, files._Store
+
+    def plain(*args):
+        files._Store = kept
+        try:
+            return function(*args)
+        finally:
+            files._Store = Rival
+
+    function, real = real, plain
+    files._Store = Rival
+    try:
+        assert function(spark, store, rows(["d3"], "mine")) == 3
+    finally:
+        files._Store = kept
+    got = {r.doc_id: r.content for r in files.read_store(spark, store).collect()}
+    assert (got["d1"], got["d2"], got["d3"], got["d4"], len(got)) == ("new", "rival", "mine", "old", 40)
+    (tmp_path / "store" / "manifests" / "000000004.json").write_text('{"buckets": 8, "pa')
+    number, manifest = files._Store(spark, store).newest(patience=1)
+    assert number == 4 and manifest["parts"] == files._Store(spark, store).read(3)["parts"]
+
+
+def test_ingest(spark, tmp_path):
+    prose = "This is a sentence about the town and its people. " * 3
+    rows = [("a", "/x/a.md", f"# Title\n{prose}\n\nPage 1 of 2\n\ncall 13812345678 now please, it is urgent"), ("b", "/x/b.txt", prose), ("c", "/x/c.txt", f" {prose}"), ("d", "/x/d.exe", "no"), ("e", "/x/e.html", f"<h1>Head</h1><p>{prose} 10.0.0.1</p>"), ("f", "/x/f.txt", f"{prose} other")]
+    known = spark.createDataFrame([("old", hashlib.sha1(f"{prose} other".strip().encode()).hexdigest())], "doc_id string, content_hash string")
+    done = ingest.ingest(spark.createDataFrame(rows, "doc_id string, path string, text string"), known, keep=lambda df: df.persist())
+    chunks = {}
+    for r in done.chunks.orderBy("doc_id", "chunk_index").collect():
+        chunks[r.doc_id] = chunks.get(r.doc_id, "") + r.content
+    assert set(chunks) == {"a", "b", "e"}
+    assert "138****5678" in chunks["a"] and "********" in chunks["e"]
+    assert {r.doc_id: r.duplicate_of for r in done.reports.collect()} == {"a": None, "b": None, "c": "b", "e": None, "f": "old"}
+    assert {r.doc_id: r.rules for r in done.audit.collect()} == {"a": "phone", "e": "ipv4"}
+    assert done.rejected.count() == 1
+
+
+def test_model_cleaning_by_a_function(spark):
+    rows = [("d", 0, "clean text that is long enough to be kept"), ("d", 1, "br\ufffdken text that is long enough here"), ("d", 2, "\ufffd" * 30), ("d", 3, None)]
+    df = spark.createDataFrame(rows, "doc_id string, chunk_index int, content string")
+    fn = lambda texts: [(t.replace("\ufffd", "o"), 0.9 if "br" in t else 0.1) for t in texts]
+    got = {r.chunk_index: (r.content, r.llm_status) for r in clean.cleaned_by(df, fn).collect()}
+    assert got == {0: (rows[0][2], None), 1: ("broken text that is long enough here", "cleaned"), 2: ("\ufffd" * 30, "fallback"), 3: (None, None)}
+
+    def fails(texts):
+        raise RuntimeError("no model")
+
+    assert {r.content for r in clean.cleaned_by(df, fails).collect()} == {r[2] for r in rows}
+
+
+def test_rules_of_a_config_run_patterns_first(spark):
+    rules, mark = redaction.compile_rules({"rules": [{"type": "word", "name": "w", "words": ["N12"]}, {"type": "pattern", "name": "n", "pattern": r"N\d+", "keep_left": 1}, {"type": "pattern", "name": "py", "pattern": r"(?P<n>x)"}]})
+    assert [r.name for r in rules][-2:] == ["n", "w"]
+    row = redaction.redacted(spark.createDataFrame([("N123 13８１２３４５６７８",)], "text string"), rules=rules, replace_with=mark).first()
+    assert (row.masked, row.hits) == ("N*** 13８****５６７８", ["n", "phone"])
+
+
 def test_upload_gate(spark):
     rows = [("a.md", b"x", 1, "dept", "d"), ("a.exe", b"x", 1, "dept", "d"), ("a.pdf", b"%PDF-1", 1, "dept", "d"), ("a.pdf", b"nope", 1, "dept", "d"), ("a.md", b"x", 60 << 20, "dept", "d"), ("a.md", b"x", 1, "a/b", "d"), ("a.md", b"x", 1, "研发部", "a b"), ("a.docx", b"PK\x03", 1, "研发部", "文档_1")]
     df = spark.createDataFrame(rows, "path string, content binary, size long, department string, doc_id string")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import redaction
 from quarry.operators import access, answer, catalog, evaluate, feedback, retrieve, stats
 from quarry.streaming import jobs
 
@@ -38,6 +40,84 @@ def test_dense_scope_and_embedding_hook(spark):
     assert retrieve.allowed(chunks, None).count() == 3 and retrieve.allowed(chunks, []).count() == 0 and retrieve.allowed(chunks, ["y"]).count() == 2
 
 
+@pytest.mark.parametrize(("block", "scan"), [(256, 20_000), (2, 20_000), (2, 3)])
+def test_bm25_matches_brute_force(spark, monkeypatch, block, scan):
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", block)
+    monkeypatch.setattr(retrieve, "QUERY_SCAN", scan)
+    rng = random.Random(block)
+    words = ["the", "a", "cat", "dog", "知识库", "x1", "Über"]
+    texts = {f"c{i:02}": " ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) for i in range(60)} | {"c90": None}
+    asked = {i: " ".join(rng.choice([*words, "unknown"]) for _ in range(rng.randint(0, 4))) for i in range(7)}
+    departments = {c: rng.choice(["x", "y", None]) for c in texts}
+    chunks = spark.createDataFrame([(c, t, departments[c]) for c, t in texts.items()], "chunk_id string, content string, department string").repartition(3)
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, text string")
+    scope = spark.createDataFrame([(i, i % 3 == 0, "x" if i % 3 == 1 else "y") for i in range(6)], "query_id long, unrestricted boolean, department string")
+
+    def split(text):
+        out = []
+        for w in (text or "").lower().split():
+            out += [w[i : i + 2] for i in range(len(w) - 1)] if w == "知识库" else [w]
+        return out
+
+    held = {c: split(t) for c, t in texts.items()}
+    full = {c: t for c, t in held.items() if t}
+    average = sum(map(len, full.values())) / len(full)
+    for within in (None, scope):
+        wanted = set()
+        for q, text in asked.items():
+            if within is not None and q == 6:
+                continue
+            found = []
+            for c, t in full.items():
+                if within is not None and not (q % 3 == 0 or departments[c] == ("x" if q % 3 == 1 else "y")):
+                    continue
+                score = 0.0
+                for w in set(split(text)):
+                    df = sum(w in x for x in full.values())
+                    tf = t.count(w)
+                    score += math.log(1 + (len(full) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / average))
+                if score:
+                    found.append((-round(score, 6), c))
+            wanted |= {(q, c, n, -s) for n, (s, c) in enumerate(sorted(found)[:4], 1)}
+        got = {(r.query_id, r.chunk_id, r["rank"], r.score) for r in retrieve.bm25_topk(chunks, queries, 4, scope=within).collect()}
+        assert {x[:3] for x in got} == {x[:3] for x in wanted}
+        assert sorted(x[3] for x in got) == pytest.approx(sorted(x[3] for x in wanted), abs=2e-6)
+    stats = {r.term: (r.df, r.n_chunks, r.avg_length) for r in retrieve.term_stats(chunks).collect()}
+    assert stats == {w: (sum(w in x for x in full.values()), len(full), pytest.approx(average)) for w in {w for t in full.values() for w in t}}
+    assert retrieve.bm25_topk(chunks.limit(0), queries).count() == 0 and retrieve.bm25_topk(chunks, queries.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("block", "scan"), [(256, 20_000), (2, 3)])
+def test_dense_matches_brute_force(spark, monkeypatch, block, scan):
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", block)
+    monkeypatch.setattr(retrieve, "QUERY_SCAN", scan)
+    rng = random.Random(2)
+    vectors = {i: [float(rng.randint(-2, 2)) for _ in range(3)] for i in range(50)}
+    rows = spark.createDataFrame(list(vectors.items()), "chunk_id long, vector array<double>").repartition(3)
+    cosine = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / max(1e-300, math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))), 6)
+    got = {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in retrieve.dense_topk(rows, rows.filter("chunk_id < 7").withColumnRenamed("chunk_id", "query_id"), 5, itself=False).collect()}
+    for q in range(7):
+        best = sorted((-cosine(vectors[q], v), i) for i, v in vectors.items() if i != q)[:5]
+        assert [got[q, n][0] for n in range(1, 6)] == [i for _, i in best]
+
+
+def test_rerank_by_a_function(spark):
+    hits = spark.createDataFrame([(q, c, n, 0.5) for q in (1, 2, 3) for n, c in enumerate((10, 11, 12), 1)], HITS + ", score double")
+    chunks = spark.createDataFrame([(10, "a"), (11, "aaa"), (12, "aa")], "chunk_id int, content string")
+    queries = spark.createDataFrame([(1, "long"), (2, "fail"), (3, "few")], "query_id int, text string")
+
+    def scorer(query, texts):
+        if query == "fail":
+            raise RuntimeError("no model")
+        return [len(t) / 10 for t in texts][: 1 if query == "few" else None]
+
+    scores = retrieve.scored(hits, queries, chunks, scorer)
+    got = {}
+    for r in retrieve.rerank(hits, scores, 2).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.score))
+    assert got == {1: [(11, 0.3), (12, 0.2)], 2: [(10, 0.5), (11, 0.5)], 3: [(10, 0.5), (11, 0.5)]}
+
+
 def test_rerank_falls_back(spark):
     hits = spark.createDataFrame([(1, 10, 1, 0.3), (1, 11, 2, 0.2), (2, 12, 1, 0.1)], HITS + ", score double")
     scores = spark.createDataFrame([(1, 11, 0.9), (1, 10, 0.1)], "query_id int, chunk_id int, relevance double")
@@ -95,17 +175,26 @@ def test_visibility(spark):
     assert {(r.user_id, r.doc_id) for r in access.scoped(docs, scope).collect()} == {(1, "x"), (1, "y"), (2, "y"), (4, "y")}
 
 
-@pytest.mark.parametrize("sql", ["DELETE FROM documents", "SELECT 1; SELECT 2", "SELECT * FROM users", "SELECT * FROM documents, users", "", "-- x", "select * from documents d join users on 1=1"])
-def test_guard_rejects(sql):
+@pytest.mark.parametrize(
+    "sql",
+    ["DELETE FROM documents", "SELECT 1; SELECT 2", "SELECT * FROM documents;", "SELECT * FROM users", "SELECT * FROM documents, users", "", "-- x", "select * from documents d join users on 1=1",
+     "SELECT * FROM `users`", "SELECT * FROM documents d, users u", "SELECT * FROM documents JOIN (SELECT * FROM `secret`) s ON 1 = 1", "SELECT * FROM documents WHERE doc_id IN (SELECT id FROM users)",
+     "SELECT (SELECT max(x) FROM users) FROM documents", "SELECT * FROM spark_catalog.default.documents", "SELECT * FROM parquet.`/etc`", "SELECT * FROM range(5)", "SELECT reflect('java.lang.System', 'exit', 0) FROM documents",
+     "SELECT * FROM (WITH c AS (SELECT * FROM users) SELECT * FROM c)", "SELECT * FROM documents UNION SELECT * FROM /* x */ users", "/* SELECT */ DROP TABLE documents", "SELEC x"],
+)
+def test_guard_rejects(spark, sql):
     with pytest.raises(ValueError, match=r"."):
-        catalog.guarded(sql)
+        catalog.guarded(spark, sql)
 
 
 def test_guard_adds_limit(spark):
-    assert catalog.guarded("SELECT * FROM documents /* c */") == "SELECT * FROM documents LIMIT 50"
-    assert catalog.guarded("SELECT * FROM documents LIMIT 3").endswith("LIMIT 3")
-    docs = spark.createDataFrame([("x" * 300,)], "title string")
-    assert catalog.query_documents(spark, docs, "SELECT title FROM documents").first().title == "x" * 200 + "…"
+    assert catalog.guarded(spark, "SELECT * FROM documents -- c") == "SELECT * FROM documents -- c\nLIMIT 50"
+    assert catalog.guarded(spark, "/* a */ SELECT * FROM documents LIMIT 3").endswith("LIMIT 3")
+    assert catalog.guarded(spark, "SELECT * FROM documents WHERE title = 'limit'").endswith("LIMIT 50")
+    assert catalog.guarded(spark, "SELECT * FROM (SELECT * FROM documents LIMIT 900) d").endswith("LIMIT 50")
+    docs = spark.createDataFrame([("x" * 300,)] * 60, "title string")
+    found = catalog.query_documents(spark, docs, "SELECT title FROM documents WHERE title <> ';limit' -- all")
+    assert found.count() == 50 and found.first().title == "x" * 200 + "…"
 
 
 def test_search_documents_escapes_keywords(spark):
@@ -185,11 +274,34 @@ def test_streamed_redaction_across_frames(spark, tmp_path):
     write(spark, [(1, 0, "联系 1381", False), (1, 1, "234567", False)], schema, folder, 1)
     write(spark, [(1, 2, "8，请惠存", True)], schema, folder, 2)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    got = run(spark, jobs.redact_deltas(stream), "redacted", tmp_path)
-    assert [r.masked for r in got] == ["联系 138****5678，请惠存"]
+    got = sorted((r.part, r.masked) for r in run(spark, jobs.redact_deltas(stream), "redacted", tmp_path))
+    assert got == [(0, "联系 "), (1, "138****5678，请惠存")]  # the first part comes before the end
+    held = run(spark, jobs.redact_deltas(stream, (*jobs.DEFAULT_RULES, redaction.Words("w", ("，请",)))), "held", tmp_path)
+    assert [(r.part, r.masked) for r in held] == [(0, "联系 138****5678****惠存")]
     assert jobs.redact_stream(spark.read.schema(schema).parquet(folder)).first().masked == "联系 138****5678，请惠存"
 
 
+def test_parts_of_streamed_answers_are_masked_like_the_whole(spark):
+    rng = random.Random(6)
+    bits = ["13812345678", "110101199003074512", "a.b@c-d.org", "sk-abcdefgh12", "10.0.0.1", " ", "，", "联系", "x", "-", "\n", "\"", "１３８１２３４５６７８", "é", "6222020200112233445"]
+    rows, wholes = [], []
+    for i in range(150):
+        whole = "".join(rng.choice(bits) for _ in range(rng.randint(1, 12)))
+        held, part, at = "", 0, 0
+        while at < len(whole):
+            n = rng.randint(1, 7)
+            held, at = held + whole[at : at + n], at + n
+            cut = len(held) if at >= len(whole) else jobs.safe_cut(held)
+            if cut:
+                rows.append((i, part, held[:cut]))
+            held, part = held[cut:], part + 1
+        wholes.append((i, whole))
+    masked = {}
+    for r in redaction.redacted(spark.createDataFrame(rows, "i int, part int, text string")).orderBy("i", "part").collect():
+        masked[r.i] = masked.get(r.i, "") + r.masked
+    assert masked == {r.i: r.masked for r in redaction.redacted(spark.createDataFrame(wholes, "i int, text string")).collect()}
+
+
 def test_streamed_rate_equals_batch(spark, tmp_path):
     schema, folder = "ts timestamp, method string, path string, status int, latency double", str(tmp_path / "req")
     rows = [(dt.datetime(2024, 1, 1, 0, m, s), "GET", "/x", 200, 0.2) for m in range(6) for s in (0, 31)] + [(dt.datetime(2024, 1, 2), "GET", "/x", 200, 0.2)]
@@ -218,6 +330,66 @@ def test_task_consumer(spark, tmp_path):
     assert seen == {"done": [("good", "0")], "retry": [("bad", "3")], "dead": [("worse", "3")]}
 
 
+def test_task_consumer_loses_no_task(spark, tmp_path):
+    """Tasks without a result fail, several results of a task are one, and a document's tasks are told apart by their ids."""
+    seen = {"done": [], "retry": [], "dead": []}
+    sink = lambda name, key: lambda df: seen[name].extend((r[key], r.retry, r.error) for r in df.collect())
+    off = spark.createDataFrame([], "doc_id string")
+    schema, folder = "task_id int, doc_id string, retry string", str(tmp_path / "tasks")
+    write(spark, [(1, "d", "0"), (2, "d", "1"), (3, "e", "0"), (4, "f", "3")], schema, folder, 1)
+    work = lambda df: df.filter("task_id < 3").select("task_id", (F.col("task_id") == 1).alias("ok"), F.lit("x").alias("error")).unionByName(df.filter("task_id = 1").selectExpr("task_id", "true as ok", "'y' as error"))
+    q = jobs.consume_tasks(spark.readStream.schema(schema).parquet(folder), work, lambda: off, sink("done", "task_id"), sink("retry", "task_id"), sink("dead", "task_id"), str(tmp_path / "ck"))
+    q.awaitTermination(120)
+    assert sorted(seen["retry"]) == [(2, "2", "x"), (3, "1", "no result")]
+    assert (seen["done"], seen["dead"]) == ([(1, "0", "y")], [(4, "3", "no result")])
+    schema, folder = "doc_id string, retry string", str(tmp_path / "twice")
+    write(spark, [("d", "0"), ("d", "2")], schema, folder, 1)
+    seen["retry"].clear()
+    q = jobs.consume_tasks(spark.readStream.schema(schema).parquet(folder), lambda df: df.selectExpr("doc_id", "false as ok", "'z' as error"), lambda: off, sink("done", "doc_id"), sink("retry", "doc_id"), sink("dead", "doc_id"), str(tmp_path / "ck2"))
+    q.awaitTermination(120)
+    assert seen["retry"] == [("d", "3", "z")]
+
+
+def test_watcher_turns(spark, tmp_path):
+    """New and changed files are ingested once each; failed ones come again."""
+    from quarry.sources import files
+
+    folder, state = tmp_path / "watched", {"df": spark.createDataFrame([], "path_key string, path string, fingerprint string, department string, doc_id string")}
+    folder.mkdir()
+    (folder / "a.md").write_text("one")
+    (folder / "b.txt").write_text("two")
+    (folder / "c.exe").write_text("no")
+
+    def save(df):
+        rows = df.collect()
+        state["df"] = spark.createDataFrame(rows, df.schema)
+
+    def turn(fail=()):
+        work = lambda df: df.filter(~F.col("doc_id").isin(*fail, "")).selectExpr("path_key", "true as ok")
+        done = jobs.scan_once(files.listing(spark, str(folder)), lambda: state["df"], save, work)
+        return sorted((r.path.rsplit("/", 1)[1], r.status, r.ok) for r in done.collect())
+
+    fail = [r.doc_id for r in jobs.connector.scan_changes(files.listing(spark, str(folder)), state["df"]).collect() if r.path.endswith("b.txt")]
+    assert turn(fail) == [("a.md", "new", True), ("b.txt", "new", False)]
+    assert turn() == [("b.txt", "new", True)]
+    (folder / "a.md").write_text("one more")
+    assert turn() == [("a.md", "updated", True)]
+    assert turn() == []
+
+
+def test_feedback_cases_by_functions(spark, tmp_path):
+    from quarry.sources import files
+
+    rows = [(i, i // 2, "user" if i % 2 == 0 else "assistant", f"q{i // 2}", "down" if i % 2 else "", at(i)) for i in range(12)]
+    m = spark.createDataFrame(rows, MESSAGE)
+    known = spark.createDataFrame([("q0",)], "question string")
+    found = feedback.new_cases(m, known, classify=lambda qs: ["chat" if q == "q1" else "summary" if q == "q2" else "qa" for q in qs], make_reference=lambda qs: [f"ref {q}" for q in qs])
+    got = {(r.question, r.intent, r.reference, r.source, r.doc_id, r.section_prefix) for r in found.collect()}
+    assert got == {(f"q{i}", "summary" if i == 2 else "qa", f"ref q{i}", f"feedback:{2 * i + 1}", "", "") for i in (2, 3, 4, 5)}
+    assert files.append_cases(found, str(tmp_path / "cases")) == 4
+    assert {(r.question, r.reference) for r in files.load_cases(spark, str(tmp_path / "cases")).collect()} == {(q, ref) for q, _, ref, *_ in got}
+
+
 def test_registered_queries_have_sql_and_tables():
     import __spark_entry__ as entry
 
