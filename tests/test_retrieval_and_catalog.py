@@ -253,9 +253,11 @@ def write(spark, rows, schema, folder, n):
 
 
 def run(spark, df, name, tmp_path, mode="append"):
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else state with a timeout asks for batches without end
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
     q.awaitTermination(120)
     q.stop()
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     return spark.table(name).collect()
 
 
