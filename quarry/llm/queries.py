@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, chat, langid, mixing, pii, quality, secretscan, simhash, spiece, urls
+from quarry.llm import ann, audit, blockmax, chat, langid, mixing, pii, quality, secretscan, simhash, spelling, spiece, urls
 from quarry.llm.common import table
 
 
@@ -85,7 +85,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_quality, op3_chat, op4_sentencepiece, op5_language, op6_urls, op7_pii, op8_secrets, op9_simhash, op10_mixing, url_rules)}
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest scores of every embedding whose id is divisible by 100."""
+    return blockmax.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with what they are spelling variants of."""
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove, in all orders, by part and label."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ann, op2_quality, op3_chat, op4_sentencepiece, op5_language, op6_urls, op7_pii, op8_secrets, op9_simhash, op10_mixing, op11_topk, op12_spelling, op13_filter_audit, url_rules)}
 
 _RULES = " AND ".join(
     f"{r.name} {sign} {bound!r}" for r in quality.RULES for sign, bound in ((">=", r.least), ("<=", r.most)) if bound is not None
@@ -94,6 +109,10 @@ _STOPS = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS.split())))
 
 _FITS = " UNION ALL ".join(f"SELECT '{r.verdict}' AS ruling, '{r.host}' AS h, '{r.path}' AS p" for r in urls.RULES)
 
+#: Each of the letters beyond ASCII by one ASCII character, for an engine whose edit distance counts bytes.
+_ACCENTED = "".join(map(chr, range(0xC0, 0x100)))
+_PLAIN = "".join(c for c in map(chr, range(33, 127)) if not c.islower() and c != "'")[:64]
+
 ORACLES = {
     "url_rules": rf"""
 WITH u AS (SELECT row_number() OVER () AS rid, page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1) AS raw, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
@@ -156,4 +175,46 @@ n AS (SELECT source, doc_id, count(*) AS n FROM g WHERE run <= (SELECT b FROM b)
 SELECT s.doc_id, s.size, t.source_size, t.target, (s.size * coalesce(n.n, 0))::BIGINT AS taken
 FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source
 LEFT JOIN n ON s.source IS NOT DISTINCT FROM n.source AND s.doc_id IS NOT DISTINCT FROM n.doc_id""",
+    "op13_filter_audit": r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT part, doc_id, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+        regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails FROM w),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(range(1, 6)) AS i),
+p AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS p FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT array_to_string(list_transform(p, lambda i: 'ABCDE'[i]), '') AS filter_order, i AS step, p[i] AS own, p[:i - 1] AS before FROM p, x),
+m AS (SELECT part, filter_order, step, own, n, good, toxic, fails[own] AS bad, len(list_filter(before, lambda j: fails[j])) > 0 AS gone,
+        len(list_filter(fails, lambda v: v)) = 1 AS only_one FROM c, s),
+r AS (SELECT part, filter_order, step, own,
+        coalesce(sum(n) FILTER (NOT gone AND NOT bad), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND bad), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (gone AND bad), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (bad AND only_one), 0)::BIGINT AS unique_fails,
+        coalesce(sum(n) FILTER (NOT gone AND bad AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (NOT gone AND bad AND toxic), 0)::BIGINT AS toxic_lost
+      FROM m GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r""",
+    "op11_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.v::DOUBLE[], b.v::DOUBLE[])::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op12_spelling": rf"""
+WITH RECURSIVE step AS (SELECT n, n AS c, 0 AS i FROM range(256) t(n)
+  UNION ALL SELECT n, CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i + 1 FROM step WHERE i < 8),
+crc AS (SELECT list(c ORDER BY n) AS t FROM step WHERE i = 8),
+o AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z{_ACCENTED[0]}-{_ACCENTED[-1]}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+d AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS s, run, count(*) AS n FROM o WHERE length(run) >= 7 GROUP BY ALL),
+b AS (SELECT run, n, flatten(list_transform(string_split(s, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS b FROM d),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, b::BIGINT[]), lambda a, x: xor(t[(xor(a, x) & 255) + 1], a >> 8))) AS h FROM b, crc),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN run[:(h % length(run))] || run[(h % length(run)) + 2:] ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n, translate(word, '{_ACCENTED}', '{_PLAIN}') AS p FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+k AS (SELECT word, n, p, unnest([length(p) || ':1:' || p[:length(p) // 2], length(p) || ':2:' || p[length(p) // 2 + 1:]]) AS k FROM v),
+g AS (SELECT word, n, p, unnest(flatten(list_transform([length(p) - 1, length(p), length(p) + 1], lambda l: [l || ':1:' || p[:l // 2], l || ':2:' || p[length(p) - (l - l // 2) + 1:]]))) AS k FROM v),
+near AS (SELECT DISTINCT k.word, g.word AS near, g.n FROM k JOIN g USING (k) WHERE k.word <> g.word AND levenshtein(k.p, g.p) = 1),
+best AS (SELECT word, count(*) AS n_near, arg_max(near, (n, [-ord(c) for c in string_split(near, '')])) AS near, max(n) AS near_n FROM near GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * v.n THEN near END AS form, CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n FROM v LEFT JOIN best USING (word)),
+r AS (SELECT word, word AS root FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL),
+last AS (SELECT r.word, r.root FROM r JOIN f ON f.word = r.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN last USING (word)""",
 }
