@@ -109,8 +109,21 @@ def replace_documents(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return existing.join(incoming.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(incoming)
 
 
-#: Functions by which a query could call any code.
-BARRED = frozenset(("reflect", "java_method", "try_reflect"))
+# What an ad-hoc query may be made of, by the names of the parser's classes. Whatever is not listed here is refused.
+PLANS = frozenset("Project Filter Aggregate UnresolvedHaving Sort GlobalLimit LocalLimit Offset Distinct SubqueryAlias UnresolvedRelation OneRowRelation Join Union Except Intersect".split())
+EXPRESSIONS = frozenset(
+    """Literal UnresolvedAttribute UnresolvedStar UnresolvedAlias Alias SortOrder UnresolvedFunction Cast CaseWhen And Or Not EqualTo EqualNullSafe
+    LessThan LessThanOrEqual GreaterThan GreaterThanOrEqual In InSubquery ListQuery Exists ScalarSubquery IsNull IsNotNull Like ILike RLike Concat Substring
+    Add Subtract Multiply Divide Remainder UnaryMinus UnaryPositive WindowExpression WindowSpecDefinition UnspecifiedFrame$ SpecifiedWindowFrame
+    UnboundedPreceding$ UnboundedFollowing$ CurrentRow$ RowFrame$ RangeFrame$""".split()
+)
+#: Functions whose result and work are bounded by what they are given.
+FUNCTIONS = frozenset(
+    """abs avg between bool_and bool_or ceil char_length coalesce concat concat_ws contains count count_if current_date date date_add date_diff date_format date_sub date_trunc
+    datediff day dayofmonth dense_rank endswith first first_value floor greatest hour if ifnull instr lag last last_value lead least left length like lower ltrim max max_by mean
+    median min min_by minute month nullif nvl percentile_approx quarter rank regexp_like replace right round row_number rtrim sign split_part startswith stddev string substr substring
+    sum to_date to_timestamp trim trunc upper variance weekday when year""".split()
+)
 
 
 def _nodes(tree) -> Iterator[dict]:
@@ -125,8 +138,38 @@ def _nodes(tree) -> Iterator[dict]:
         yield from _nodes(part)
 
 
+def _kind(node: dict) -> str:
+    return node["class"].rsplit(".", 1)[-1]
+
+
+def _parts(name: str | None) -> list[str]:
+    return (name or "").strip("[]").split(", ")
+
+
+def _joins_by_key(condition: list[dict] | None) -> bool:
+    """Whether rows meet by an equality of two columns, which stands alone or in a chain of ANDs. Nodes come parents first."""
+    todo = list(condition or [])
+
+    def take() -> tuple[dict, list]:
+        node = todo.pop(0)
+        return node, [take() for _ in range(node["num-children"])]
+
+    def holds(tree: tuple[dict, list]) -> bool:
+        node, below = tree
+        if _kind(node) == "And":
+            return any(map(holds, below))
+        columns = [_parts(b["nameParts"]) for b, _ in below if _kind(b) == "UnresolvedAttribute"]
+        return _kind(node) == "EqualTo" and len(columns) == 2 and columns[0] != columns[1]
+
+    return bool(todo) and holds(take())
+
+
 def guarded(spark: SparkSession, sql: str, tables: frozenset[str] = frozenset(("documents",)), most: int = 50) -> str:
-    """The query with a limit; ValueError unless it is one SELECT that reads allowed tables only, by the engine's own parser."""
+    """The query with a limit; ValueError unless it is one SELECT that reads allowed tables only, by the engine's own parser.
+
+    Every node of the parsed query must be of an allowed kind, every function of an allowed name; tables are joined by
+    equal columns, and limits are plain numbers.
+    """
     plain = re.sub(r"^(?:\s|--[^\n]*(?:\n|$)|/\*.*?\*/)*", "", sql, flags=re.DOTALL)
     if not plain:
         raise ValueError("empty query")
@@ -138,18 +181,27 @@ def guarded(spark: SparkSession, sql: str, tables: frozenset[str] = frozenset(("
         raise ValueError(f"not one query: {str(e).strip().splitlines()[0]}") from e
     if plain.rstrip().endswith(";"):
         raise ValueError("more than one statement")
-    kind = lambda node: node["class"].rsplit(".", 1)[-1]
     for node in _nodes(tree):
-        name = str(node.get("multipartIdentifier" if kind(node) == "UnresolvedRelation" else "nameParts" if "nameParts" in node else "name")).strip("[]")
-        if kind(node) == "UnresolvedRelation" and name not in tables or kind(node) == "UnresolvedTableValuedFunction":
-            raise ValueError(f"table {name} is not allowed")
-        if kind(node) == "UnresolvedFunction" and name.rsplit(", ", 1)[-1].lower() in BARRED:
-            raise ValueError(f"function {name} is not allowed")
-    return plain if kind(tree[0]) == "GlobalLimit" else f"{plain}\nLIMIT {most}"
-
-
-def query_documents(spark: SparkSession, docs: DataFrame, sql: str, most: int = 50) -> DataFrame:
-    """A guarded ad-hoc query over one view; long strings are cut."""
+        kind = _kind(node)
+        if kind not in PLANS and kind not in EXPRESSIONS:
+            raise ValueError(f"{kind} is not allowed")
+        if kind == "UnresolvedRelation":
+            name = _parts(node.get("multipartIdentifier"))
+            if len(name) != 1 or name[0] not in tables or node.get("isStreaming") or node.get("options"):
+                raise ValueError(f"table {'.'.join(name)} is not allowed")
+        if kind == "UnresolvedFunction":
+            name = _parts(node.get("nameParts"))
+            if len(name) != 1 or name[0].lower() not in FUNCTIONS:
+                raise ValueError(f"function {'.'.join(name)} is not allowed")
+        if kind == "Join" and not _joins_by_key(node.get("condition")):
+            raise ValueError("tables must be joined by equal columns")
+        if kind in ("GlobalLimit", "LocalLimit", "Offset") and [_kind(n) for n in node.get("limitExpr") or node.get("offsetExpr")] != ["Literal"]:
+            raise ValueError("a limit must be a number")
+    return plain if _kind(tree[0]) == "GlobalLimit" else f"{plain}\nLIMIT {most}"
+
+
+def query_documents(spark: SparkSession, docs: DataFrame, sql: str, most: int = 50, ceiling: int = 1000) -> DataFrame:
+    """A guarded ad-hoc query over one view; long strings are cut, and no limit of the query's own goes beyond the ceiling."""
     docs.createOrReplaceTempView("documents")
-    out = spark.sql(guarded(spark, sql, most=most))
+    out = spark.sql(guarded(spark, sql, most=most)).limit(ceiling)
     return out.select(*[cut(F.col(f"`{n}`"), 200, "…").alias(n) if t == "string" else F.col(f"`{n}`") for n, t in out.dtypes])

@@ -187,6 +187,98 @@ def test_guard_rejects(spark, sql):
         catalog.guarded(spark, sql)
 
 
+HOSTILE = """SELECT TRANSFORM(doc_id) USING 'echo ran-a-command' AS (x string) FROM documents
+SELECT MAP(doc_id) USING 'cat' AS (x string) FROM documents
+FROM documents SELECT TRANSFORM(doc_id) USING 'cat'
+SELECT * FROM IDENTIFIER('us'||'ers')
+SELECT * FROM IDENTIFIER('documents')
+SELECT IDENTIFIER('reflect')('java.lang.System', 'exit', '0') FROM documents
+SELECT IDENTIFIER('ti' || 'tle') FROM documents
+SELECT java_method('java.lang.System', 'exit', 0) FROM documents
+SELECT try_reflect('java.lang.System', 'getenv') FROM documents
+SELECT spark_catalog.default.f(doc_id) FROM documents
+SELECT input_file_name() FROM documents
+SELECT current_user(), session_user() FROM documents
+SELECT current_catalog() FROM documents
+SELECT version() FROM documents
+SELECT sleep(9) FROM documents
+SELECT rand() FROM documents
+SELECT explode(sequence(1, 1000000000)) FROM documents
+SELECT sequence(1, 1000000000) FROM documents
+SELECT repeat(title, 1000000000) FROM documents
+SELECT array_repeat(title, 1000000000) FROM documents
+SELECT lpad(title, 1000000000, 'x') FROM documents
+SELECT collect_list(title) FROM documents
+SELECT aggregate(array(1), 0, (a, x) -> a + x) FROM documents
+SELECT aes_decrypt(title, 'k') FROM documents
+SELECT raise_error('x') FROM documents
+SELECT * FROM documents a, documents b
+SELECT * FROM documents a CROSS JOIN documents b
+SELECT * FROM documents a JOIN documents b
+SELECT * FROM documents a JOIN documents b ON 1 = 1
+SELECT * FROM documents a JOIN documents b ON a.doc_id = a.doc_id
+SELECT * FROM documents a JOIN documents b ON a.doc_id < b.doc_id
+SELECT * FROM documents a JOIN documents b ON a.doc_id = b.doc_id OR 1 = 1
+SELECT * FROM documents a JOIN documents b ON NOT a.doc_id = b.doc_id
+SELECT * FROM documents NATURAL JOIN users
+SELECT * FROM documents LATERAL VIEW explode(array(1, 2)) t AS x
+SELECT * FROM documents, LATERAL (SELECT * FROM documents)
+SELECT * FROM documents, LATERAL explode(array(1)) t
+SELECT * FROM documents TABLESAMPLE (10 PERCENT)
+SELECT * FROM documents VERSION AS OF 1
+SELECT * FROM documents TIMESTAMP AS OF '2020-01-01'
+SELECT * FROM STREAM documents
+SELECT * FROM STREAM(documents)
+SELECT /*+ BROADCAST(d) */ * FROM documents d
+SELECT * FROM documents LIMIT ALL
+SELECT * FROM documents LIMIT 10 * 10
+SELECT * FROM documents LIMIT (SELECT max(doc_id) FROM documents)
+SELECT * FROM documents |> WHERE doc_id = 1
+SELECT * FROM documents PIVOT (count(*) FOR department IN ('a'))
+SELECT * FROM VALUES (1), (2) AS t(a)
+SELECT * FROM csv.`/etc/passwd`
+SELECT * FROM text.`/etc/passwd`
+SELECT * FROM global_temp.documents
+SELECT * FROM read_files('/etc/passwd')
+SELECT :p FROM documents
+SELECT (WITH c AS (SELECT * FROM users) SELECT max(x) FROM c) FROM documents
+SELECT * FROM documents WHERE EXISTS (SELECT * FROM users)
+SELECT * FROM documents WHERE doc_id = (SELECT max(id) FROM users)
+SELECT * FROM documents EXCEPT SELECT * FROM users
+SELECT title FROM documents GROUP BY title HAVING max(doc_id) > (SELECT count(*) FROM users)
+SELECT title FROM documents ORDER BY (SELECT 1 FROM users)
+SELECT sum(doc_id) OVER (PARTITION BY (SELECT 1 FROM users)) FROM documents
+SELECT CASE WHEN EXISTS (SELECT 1 FROM users) THEN 1 END FROM documents
+INSERT INTO documents SELECT * FROM documents
+CREATE TABLE x AS SELECT * FROM documents
+SET spark.sql.ansi.enabled = false
+EXPLAIN SELECT * FROM documents
+ADD JAR '/x.jar'""".split("\n")
+
+
+@pytest.mark.parametrize("sql", HOSTILE)
+def test_guard_refuses_what_is_not_listed(spark, sql):
+    spark.createDataFrame([(1, "secret")], "id int, x string").createOrReplaceTempView("users")
+    with pytest.raises(ValueError, match=r"."):
+        catalog.guarded(spark, sql)
+
+
+@pytest.mark.parametrize(
+    "sql",
+    ["SELECT DISTINCT department FROM documents ORDER BY department", "SELECT department, count(*) AS n FROM documents WHERE title ILIKE '%a%' AND doc_id BETWEEN 1 AND 5 GROUP BY department HAVING count(*) > 1 ORDER BY n DESC LIMIT 5",
+     "SELECT a.doc_id FROM documents a JOIN documents b ON a.doc_id = b.doc_id AND b.title LIKE 'x%'", "SELECT * FROM documents WHERE doc_id IN (SELECT max(doc_id) FROM documents GROUP BY department) OR title IS NULL",
+     "SELECT title, row_number() OVER (PARTITION BY department ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM documents", "SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE CAST(-doc_id AS STRING) || '!' END AS x FROM documents LIMIT 3 OFFSET 2",
+     "SELECT title FROM documents UNION ALL SELECT department FROM documents", "SELECT (SELECT max(doc_id) FROM documents) AS m, 1 + 2 * 3 AS x FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id = d.doc_id)"],
+)
+def test_guard_allows(spark, sql):
+    assert catalog.guarded(spark, sql).startswith(sql)
+
+
+def test_no_limit_goes_beyond_the_ceiling(spark):
+    docs = spark.range(2000).selectExpr("id AS doc_id")
+    assert catalog.query_documents(spark, docs, "SELECT doc_id FROM documents LIMIT 100000000").count() == 1000
+
+
 def test_guard_adds_limit(spark):
     assert catalog.guarded(spark, "SELECT * FROM documents -- c") == "SELECT * FROM documents -- c\nLIMIT 50"
     assert catalog.guarded(spark, "/* a */ SELECT * FROM documents LIMIT 3").endswith("LIMIT 3")
