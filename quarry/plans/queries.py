@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import redaction, text
-from quarry.operators import access, answer, catalog, chunk, clean, connector, evaluate, feedback, ingest, parse, retrieve, stats
+from quarry.operators import access, answer, catalog, chunk, clean, connector, evaluate, feedback, ingest, parse, retrieve, segment, sparse_index, stats
 from quarry.plans import inputs as t
 from quarry.plans.inputs import load, named
 from quarry.plans.registry import ORACLES, QUERIES
@@ -451,6 +451,60 @@ def w7(spark, sf):
     return retrieve.bm25_topk(t.chunks(spark, sf), benchmark(spark, sf)).withColumn("score", F.round("score", 4)).select("query_id", "chunk_id", "score", "rank")
 
 
+def updated_index(spark, sf) -> DataFrame:
+    """An index written of other texts, then updated: a third of the documents come new, a third change, some go."""
+    path = folder(spark, "postings")
+    after = t.chunks(spark, sf)
+    kept = after.filter("doc_id % 3 <> 0")
+    before = kept.withColumn("content", F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("former text "), "content")).otherwise(F.col("content"))).unionByName(kept.filter("doc_id % 5 = 0").selectExpr("doc_id + 1000000000 AS doc_id", "department", "chunk_index", "page", "content", "chunk_id + 100000000000000 AS chunk_id"))
+    shards = sparse_index.write_index(before, path, 16)
+    changed = before.unionByName(after).select("doc_id").filter("doc_id % 3 <> 2 or doc_id >= 1000000000")
+    sparse_index.update_index(path, before, after, changed, shards)
+    return sparse_index.read_index(spark, path)
+
+
+@query("w7_stored_index", f"SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM {BM25}")
+def w7_index(spark, sf):
+    return sparse_index.search_index(updated_index(spark, sf), benchmark(spark, sf)).withColumn("score", F.round("score", 4)).select("query_id", "chunk_id", "score", "rank")
+
+
+@query("a12_index_stats", f"SELECT term, df, n_chunks, round(avg_length, 6) AS avg_length FROM {STATS}")
+def a12_index(spark, sf):
+    return sparse_index.term_stats(updated_index(spark, sf)).withColumn("avg_length", F.round("avg_length", 6))
+
+
+#: Letters in the place of which Chinese characters stand, so that each word of the given texts is a run.
+SCRIPT = "".join(map(chr, range(0x4E00, 0x4E00 + 26)))
+RUN_SQL = "(SELECT {0}, unnest(regexp_extract_all(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', '" + SCRIPT + "'), '[一-鿿]+')) AS run FROM {1})"
+DICTIONARY = f"""(WITH r AS (SELECT run, count(*) AS c FROM {RUN_SQL.format('doc_id', 'documents')} GROUP BY run),
+p AS (SELECT run, c, unnest(range(1, length(run) + 1)) AS i FROM r), s AS (SELECT run, c, i, unnest(range(1, least(4, length(run) - i + 1) + 1)) AS k FROM p),
+g AS (SELECT substr(run, i, k) AS word, sum(c)::BIGINT AS n FROM s GROUP BY 1), h AS (SELECT * FROM g WHERE length(word) = 1 OR n >= 2),
+t AS (SELECT sum(n) AS letters FROM h WHERE length(word) = 1), c AS (SELECT word, n, unnest(range(1, length(word))) AS i FROM h WHERE length(word) > 1),
+l AS (SELECT DISTINCT c.word FROM c JOIN h a ON a.word = c.word[:i] JOIN h b ON b.word = c.word[i + 1:], t WHERE c.n * letters < 4 * a.n * b.n)
+SELECT word, n FROM h WHERE word NOT IN (SELECT word FROM l))"""
+
+
+@query("w7_dictionary", f"SELECT word, n FROM {DICTIONARY}")
+def w7_dictionary(spark, sf):
+    return segment.dictionary(in_script(load(spark, sf, "{documents}")), "text")
+
+
+def in_script(df):
+    return df.withColumn("text", F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", SCRIPT))
+
+
+@query("w7_segmented_runs", f"""WITH RECURSIVE d AS MATERIALIZED {DICTIONARY}, k AS MATERIALIZED (SELECT word, round(1000000 * ln((SELECT sum(n) FROM d) / n))::BIGINT AS cost FROM d),
+r AS MATERIALIZED (SELECT DISTINCT run FROM {RUN_SQL.format('item_id', 'benchmark')}), u AS (SELECT round(1000000 * ln(2 * sum(n)))::BIGINT AS unknown FROM d),
+e AS MATERIALIZED (SELECT run, i, n, coalesce(cost, unknown) AS cost FROM (SELECT run, i, unnest(range(1, least(4, length(run) - i + 1) + 1)) AS n FROM (SELECT run, unnest(range(1, length(run) + 1)) AS i FROM r)) LEFT JOIN k ON word = substr(run, i, n), u WHERE cost IS NOT NULL OR n = 1),
+w AS (SELECT run, 1::BIGINT AS place, 0::BIGINT AS cost, []::BIGINT[] AS cuts FROM r UNION ALL SELECT w.run, w.place + e.n, w.cost + e.cost, list_append(cuts, e.n) FROM w JOIN e ON e.run = w.run AND e.i = w.place),
+b AS (SELECT run, arg_min(cuts, (cost, list_transform(cuts, lambda c: -c))) AS cuts FROM w WHERE place > length(run) GROUP BY run)
+SELECT run, array_to_string(list_transform(range(1, len(cuts) + 1), lambda i: substr(run, list_sum([0] || cuts[:i - 1])::BIGINT + 1, cuts[i])), ' ') AS words FROM b""")
+def w7_segments(spark, sf):
+    words = w7_dictionary(spark, sf)
+    runs = in_script(load(spark, sf, "{benchmark}")).select(F.explode(segment.runs_of(F.col("text"))).alias("run"))
+    return segment.words_of_runs(runs, words).select("run", F.array_join("words", " ").alias("words"))
+
+
 VECTORS = "(SELECT vec_id, embedding AS vector, concat('dept', CAST(label % 5 AS STRING)) AS department FROM {embeddings})"
 
 
