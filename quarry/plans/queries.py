@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import redaction, text
-from quarry.operators import access, answer, catalog, chunk, clean, connector, evaluate, feedback, ingest, parse, retrieve, segment, sparse_index, stats
+from quarry.operators import access, answer, catalog, chunk, clean, connector, evaluate, feedback, ingest, parse, retrieve, segment, sparse_index, stats, vector_index
 from quarry.plans import inputs as t
 from quarry.plans.inputs import load, named
 from quarry.plans.registry import ORACLES, QUERIES
@@ -530,6 +530,29 @@ def j2_dense(spark, sf):
     return retrieve.dense_topk(chunks, queries, scope=scope, itself=False).withColumn("score", F.round("score", 4))
 
 
+def updated_vectors(spark, sf):
+    """An index written of other vectors, then updated to the given ones: some come, some change, some go."""
+    chunks, queries = vectors(spark, sf)
+    path = folder(spark, "vectors")
+    kept = chunks.filter("chunk_id % 4 <> 0")
+    before = kept.withColumn("vector", F.when(F.col("chunk_id") % 4 == 1, F.reverse("vector")).otherwise(F.col("vector"))).unionByName(kept.filter("chunk_id % 5 = 0").withColumn("chunk_id", F.col("chunk_id") + 1_000_000_000))
+    vector_index.write_index(before, path)
+    vector_index.update_index(spark, path, before.filter("chunk_id >= 1000000000"), chunks.filter("chunk_id % 4 < 2"))
+    return *vector_index.read_index(spark, path), queries
+
+
+@query("w6_stored_index", f"SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM {cosine('TRUE')}")
+def w6_index(spark, sf):
+    return vector_index.search_index(*updated_vectors(spark, sf), itself=False, exact=True).withColumn("score", F.round("score", 4))
+
+
+@query("j2_stored_index_in_scope", f"SELECT query_id, chunk_id, round(score, 4) AS score, rank FROM {cosine('q.department = c.department')}")
+def j2_index(spark, sf):
+    index, model, queries = updated_vectors(spark, sf)
+    scope = queries.select("query_id", F.lit(False).alias("unrestricted"), F.col("own").alias("department"))
+    return vector_index.search_index(index, model, queries, scope=scope, itself=False, exact=True).withColumn("score", F.round("score", 4))
+
+
 LISTS = "(SELECT c_custkey % 50 AS query_id, c_custkey AS chunk_id, row_number() OVER (PARTITION BY c_custkey % 50 ORDER BY {0}, c_custkey) AS rank FROM {{customer}})"
 LEFT, RIGHT = LISTS.format("c_acctbal"), LISTS.format("c_name DESC")
 FUSED = f"""(WITH b AS (SELECT *, 0 AS side FROM {named(LEFT)} WHERE rank <= 15 UNION ALL SELECT *, 1 FROM {named(RIGHT)} WHERE rank <= 15),
