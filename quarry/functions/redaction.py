@@ -6,6 +6,7 @@ Patterns are Java's, with Unicode classes: digits of any script are digits.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import groupby
 from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
@@ -14,6 +15,9 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.automaton import masked_by_lists
+from quarry.functions.text import NATIVE_WORDS
+
 MASK, MOST_KEPT_RIGHT, UNICODE = "*", 8, "(?U)"
 
 
@@ -85,7 +89,11 @@ def _apply(text: Column, rule: Pattern) -> Column:
 
 
 def redacted(df: DataFrame, text_col: str = "text", masked_col: str = "masked", hits_col: str = "hits", rules: tuple[Pattern | Words, ...] = DEFAULT_RULES, replace_with: str = "****") -> DataFrame:
-    """df with the masked text and the sorted names of the rules that hit. Each rule sees what those before it left."""
+    """df with the masked text and the sorted names of the rules that hit. Each rule sees what those before it left.
+
+    Long word lists are met by an automaton, in one pass over a text.
+    """
+
     def step(rule: Pattern | Words, state: Column) -> Column:
         now, names = state["text"], F.array_append(state["hits"], F.lit(rule.name))
         if isinstance(rule, Words):
@@ -96,10 +104,17 @@ def redacted(df: DataFrame, text_col: str = "text", masked_col: str = "masked",
             hit, new = now.rlike(UNICODE + rule.pattern), _apply(now, rule)
         return F.when(hit, F.struct(new.alias("text"), names.alias("hits"))).otherwise(state)
 
-    state = F.struct(F.col(text_col).alias("text"), F.array().cast("array<string>").alias("hits"))
-    for rule in rules:  # each state is bound to a variable, so it is worked out once a row
-        state = _bound(state, rule, step)
-    out = df.withColumn("__state", state)
+    out, state = df, F.struct(F.col(text_col).alias("text"), F.array().cast("array<string>").alias("hits"))
+    for alike, some in groupby(rules, key=lambda r: isinstance(r, Words)):
+        own = list(some)
+        if alike and sum(len(r.words) for r in own) > NATIVE_WORDS:
+            out = out.withColumn("__state", state)
+            out = out.withColumn("__state", masked_by_lists(F.col("__state.text"), F.col("__state.hits"), own, replace_with))
+            state = F.col("__state")
+        else:
+            for rule in own:  # each state is bound to a variable, so it is worked out once a row
+                state = _bound(state, rule, step)
+    out = out.withColumn("__state", state)
     return out.withColumns({masked_col: F.col("__state.text"), hits_col: F.array_sort(F.array_distinct("__state.hits"))}).drop("__state")
 
 

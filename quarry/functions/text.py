@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.functions.automaton import expanded_by_map
+
 # White space, line breaks and the patterns of noise.
 SPACE = r"[\s\x1c-\x1f]"
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\x{2028}\x{2029}]"
@@ -17,6 +19,8 @@ LEAST_CHARS, GARBLED_LEAST = 10, 20
 SAFE_ID = r"(?U)^[\w\-]{1,64}$"
 SAFE_DEPARTMENT = r"(?U)^[\w一-鿿 \-]{1,64}$"
 INTENTS = ("qa", "summary", "chat")
+#: Words of a list up to which it is a native expression (which doubles with each); more are searched for by an automaton.
+NATIVE_WORDS = 8
 
 
 def strip(text: Column) -> Column:
@@ -144,8 +148,10 @@ def hash_embedding(text: Column, dim: int = 1024) -> Column:
 
 def expand_terms(query: Column, terms: dict[str, str]) -> Column:
     """The query with the aliases it holds replaced, longest first, as a list of one; empty if nothing changes."""
-    out = query
-    for alias, standard in sorted(((a.strip(), s.strip()) for a, s in terms.items() if a and s), key=lambda x: -len(x[0])):
+    out, pairs = query, sorted(((a.strip(), s.strip()) for a, s in terms.items() if a and s), key=lambda x: -len(x[0]))
+    if len(pairs) > NATIVE_WORDS:
+        return expanded_by_map(query, pairs)
+    for alias, standard in pairs:
         out = F.when(query.contains(alias), F.replace(out, F.lit(alias), F.lit(standard))).otherwise(out)
     return F.when((query != "") & (out != query), F.array(out)).otherwise(F.array().cast("array<string>"))
 

@@ -171,6 +171,38 @@ def f2(spark, sf):
     return redaction.redacted(plain, rules=rules, replace_with=mark).select("doc_id", "masked")
 
 
+#: Words of the benchmark's texts, in their order: some hold others.
+LISTED = "(SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{3,}')) AS w FROM benchmark)"
+LISTS_SQL = f"""WITH l AS (SELECT list(w ORDER BY w) FILTER (w < 'm') AS a, list(w ORDER BY w) FILTER (w >= 'm') AS b FROM {LISTED}),
+x AS (SELECT doc_id, text, list_reduce(a, lambda t, w: replace(t, w, '##'), text) AS t1, b FROM ({TEXT_SQL}), l), y AS (SELECT *, list_reduce(b, lambda t, w: replace(t, w, '##'), t1) AS t2 FROM x)
+SELECT doc_id, length(t2) AS n, md5(t2) AS digest, t1 <> text AS first, t2 <> t1 AS second FROM y"""
+
+
+def listed_words(spark, sf) -> list[str]:
+    """A configuration: the benchmark's words."""
+    words = load(spark, sf, "{benchmark}").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("w")).distinct()
+    return sorted(r[0] for r in words.collect())
+
+
+@query("f2_word_lists", LISTS_SQL)
+def f2_lists(spark, sf):
+    """Built-in rules on whole texts, then two long word lists."""
+    words = listed_words(spark, sf)
+    lists = [{"type": "word", "name": n, "words": own} for n, own in (("first", [w for w in words if w < "m"]), ("second", [w for w in words if w >= "m"]))]
+    rules, mark = redaction.compile_rules({"replace_with": "##", "rules": lists})
+    masked = redaction.redacted(load(spark, sf, SENSITIVE), rules=rules, replace_with=mark)
+    return masked.select("doc_id", F.length("masked").alias("n"), F.md5("masked").alias("digest"), *[F.array_contains("hits", n).alias(n) for n in ("first", "second")])
+
+
+@query("f3_term_map", f"""WITH l AS (SELECT list(w ORDER BY length(w) DESC, w) AS w FROM {LISTED}),
+x AS (SELECT conv_id, turn, text, list_reduce(list_filter(w, lambda a: contains(text, a)), lambda t, a: replace(t, a, upper(a)), text) AS v FROM conversations, l WHERE role = 'user')
+SELECT conv_id, turn, md5(CASE WHEN v <> text THEN v ELSE '' END) AS digest FROM x""")
+def f3_map(spark, sf):
+    terms = {w: w.upper() for w in listed_words(spark, sf)}
+    asked = load(spark, sf, "{conversations}").filter("role = 'user'")
+    return asked.select("conv_id", "turn", F.md5(F.coalesce(F.get(text.expand_terms(F.col("text"), terms), F.lit(0)), F.lit(""))).alias("digest"))
+
+
 @query("a7_redaction_audit", f"SELECT doc_id, array_to_string(hits, ',') AS rules FROM ({RULES_SQL}) WHERE len(hits) > 0")
 def a7(spark, sf):
     return redaction.audit(redaction.redacted(load(spark, sf, SENSITIVE)))
