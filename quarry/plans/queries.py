@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import redaction, text
-from quarry.operators import access, answer, catalog, chunk, clean, connector, evaluate, feedback, ingest, parse, retrieve, segment, sparse_index, stats, vector_index
+from quarry.operators import access, answer, catalog, chunk, clean, connector, evaluate, feedback, ingest, keyword_index, parse, retrieve, segment, sparse_index, stats, vector_index
 from quarry.plans import inputs as t
 from quarry.plans.inputs import load, named
 from quarry.plans.registry import ORACLES, QUERIES
@@ -317,6 +317,26 @@ def p11(spark, sf):
     return catalog.query_documents(spark, load(spark, sf, t.DOCS), "SELECT department, count(*) AS n FROM documents GROUP BY department -- all")
 
 
+def keyword_cards(spark, sf) -> str:
+    """An index written of other titles, then updated to the given documents: some come, some change, some go."""
+    path, docs = folder(spark, "keywords"), load(spark, sf, t.DOCS).drop("text")
+    kept = docs.filter("doc_id % 3 <> 0")
+    before = kept.withColumn("title", F.when(F.col("doc_id") % 3 == 1, F.lit("former Title 11")).otherwise(F.col("title"))).unionByName(kept.filter("doc_id % 5 = 0").withColumn("doc_id", F.col("doc_id") + 1_000_000_000))
+    keyword_index.write_index(before, path)
+    keyword_index.update_index(spark, path, before.filter("doc_id >= 1000000000"), docs.filter("doc_id % 3 < 2"))
+    return path
+
+
+@query("p7_stored_index", f"SELECT doc_id, department, status FROM {DOCS} WHERE department IN ('dept1', 'dept2') AND status = 'indexed' AND (title ILIKE '%1%' OR doc_id::VARCHAR ILIKE '%1%' OR department ILIKE '%1%' OR uploaded_by ILIKE '%1%') ORDER BY doc_id DESC LIMIT 100 OFFSET 5")
+def p7_index(spark, sf):
+    return keyword_index.search(spark, keyword_cards(spark, sf), "1", departments=["dept1", "dept2"], status="indexed", limit=500, offset=5, order=[F.desc("doc_id")]).select("doc_id", "department", "status")
+
+
+@query("p7_stored_titles", f"SELECT doc_id, title FROM {DOCS} WHERE title ILIKE '%tle 11%' ORDER BY doc_id LIMIT 100")
+def p7_titles(spark, sf):
+    return keyword_index.search(spark, keyword_cards(spark, sf), "TLE 11", "title", limit=100, order=[F.col("doc_id")]).select("doc_id", "title")
+
+
 LARGEST = """SELECT d.department, d.status, count(*) AS n, max(d.n_chars) AS most, sum(CASE WHEN d.kb_id IS NULL THEN 1 ELSE 0 END) AS free FROM {0} d
 JOIN {0} e ON d.doc_id = e.doc_id AND e.title LIKE '%1%' WHERE d.doc_id IN (SELECT max(doc_id) FROM {0} GROUP BY uploaded_by, status) OR NOT d.status IN ('failed') GROUP BY d.department, d.status HAVING count(*) > 2 ORDER BY d.department, d.status LIMIT 12"""
 
