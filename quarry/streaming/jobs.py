@@ -173,6 +173,17 @@ def redact_deltas(deltas: DataFrame, rules: tuple[Pattern | Words, ...] = DEFAUL
     return redacted(parts, rules=rules).select("answer_id", "part", "masked", "hits")
 
 
+def task_results(rows: DataFrame, work: Callable[[DataFrame], DataFrame], disabled: DataFrame) -> DataFrame:
+    """The tasks of a batch with ok and error, one row each; those of disabled documents go. See consume_tasks."""
+    key = "task_id" if "task_id" in rows.columns else "doc_id"
+    if key == "doc_id":
+        rest = [c for c in rows.columns if c != key]
+        rows = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.col("retry").cast("int")).alias("r")).select(key, "r.*").select(*rows.columns)
+    live = rows.join(disabled.select("doc_id"), "doc_id", "left_anti")
+    found = work(live).groupBy(key).agg(F.min(F.coalesce("ok", F.lit(False))).alias("ok"), F.max("error").alias("error"))
+    return live.join(found, key, "left").withColumns({"error": F.when(F.col("ok").isNull(), "no result").otherwise(F.col("error")), "ok": F.coalesce("ok", F.lit(False))})
+
+
 def consume_tasks(tasks: DataFrame, work: Callable[[DataFrame], DataFrame], disabled: Callable[[], DataFrame], done: Callable[[DataFrame], None], retry: Callable[[DataFrame], None], dead: Callable[[DataFrame], None], checkpoint: str, **trigger) -> StreamingQuery:
     """Run ingest tasks (doc_id, ..., retry): disabled documents are dropped; work returns the key, ok and error.
 
@@ -180,23 +191,16 @@ def consume_tasks(tasks: DataFrame, work: Callable[[DataFrame], DataFrame], disa
     retries. A task for which work returns nothing, or ok that is null, has failed; of several results the worst counts.
     Failures below MOST_RETRIES go to retry with one more, others to dead. At least once; sinks must be idempotent.
     """
-    key = "task_id" if "task_id" in tasks.columns else "doc_id"
 
     def batch(rows: DataFrame, _: int) -> None:
-        if key == "doc_id":
-            rest = [c for c in rows.columns if c != key]
-            rows = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.col("retry").cast("int")).alias("r")).select(key, "r.*").select(*rows.columns)
-        live = rows.join(disabled().select("doc_id"), "doc_id", "left_anti").persist()
+        result = task_results(rows, work, disabled()).persist()
         try:
-            found = work(live).groupBy(key).agg(F.min(F.coalesce("ok", F.lit(False))).alias("ok"), F.max("error").alias("error"))
-            result = live.join(found, key, "left").withColumns({"error": F.when(F.col("ok").isNull(), "no result").otherwise(F.col("error")), "ok": F.coalesce("ok", F.lit(False))}).persist()
             done(result.filter("ok"))
             failed = result.filter("not ok").drop("ok")
             retry(failed.filter(F.col("retry").cast("int") < MOST_RETRIES).withColumn("retry", (F.col("retry").cast("int") + 1).cast("string")))
             dead(failed.filter(F.col("retry").cast("int") >= MOST_RETRIES))
-            result.unpersist()
         finally:
-            live.unpersist()
+            result.unpersist()
 
     return tasks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
