@@ -839,6 +839,13 @@ def ingested(spark, sf):
     return ingest.ingest(rows).chunks
 
 
+@query("ingest_outcomes")
+def ingest_outcomes(spark, sf):
+    """What came of each document, copies and documents without content among them."""
+    rows = load(spark, sf, "{documents}").selectExpr("doc_id", "concat('/x/', doc_id, CASE WHEN doc_id % 2 = 0 THEN '.md' ELSE '.txt' END) AS path", "CASE WHEN doc_id % 50 = 0 THEN ' ' WHEN doc_id % 50 = 1 THEN 'Page 3 of 9' ELSE text END AS text")
+    return ingest.ingest(rows).outcomes
+
+
 @query("s6_audit_export", f"SELECT id, action, resource FROM {AUDIT} ORDER BY id DESC LIMIT 5000")
 def s6(spark, sf):
     return files.audit_export(load(spark, sf, t.AUDIT)).select("id", "action", "resource")

@@ -221,6 +221,19 @@ def test_ingest(spark, tmp_path):
     assert done.rejected.count() == 1
 
 
+def test_ingest_tells_what_came_of_each_file(spark):
+    prose = "\n\n".join(" ".join(f"This is sentence {i} of part {n} about the town." for i in range(15)) for n in range(4))
+    rows = [("a", "/x/a.txt", prose), ("b", "/x/b.txt", prose), ("c", "/x/c.txt", "  \n "), ("d", "/x/d.md", None), ("e", "/x/e.txt", "Page 1 of 2"), ("f", "/x/f.md", f"# T\n{prose} again"), ("g", "/x/g.exe", "no")]
+    done = ingest.ingest(spark.createDataFrame(rows, "doc_id string, path string, text string"))
+    got = {r.doc_id: (r.status, r.error, r.chunk_count, r.duplicate_of) for r in done.outcomes.collect()}
+    n = {r.doc_id: r.n for r in done.chunks.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert set(n) == {"a", "f"} and n["a"] > 1
+    assert got["b"] == ("duplicate", None, 0, "a") and got["c"] == got["d"] == ("failed", "no chunks", 0, None) and got["e"] == ("failed", "no content", 0, None)
+    assert got["a"] == ("indexed", None, n["a"], None) and got["f"][0] == "indexed" and set(got) == set("abcdef")
+    told = {r.doc_id: r for r in done.reports.collect()}
+    assert set(told) == {"a", "b", "f"} and told["b"].dedup_skipped == told["b"].kept_blocks == n["a"] and told["a"].dedup_skipped == 0
+
+
 def test_model_cleaning_by_a_function(spark):
     rows = [("d", 0, "clean text that is long enough to be kept"), ("d", 1, "br\ufffdken text that is long enough here"), ("d", 2, "\ufffd" * 30), ("d", 3, None)]
     df = spark.createDataFrame(rows, "doc_id string, chunk_index int, content string")
