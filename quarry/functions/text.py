@@ -52,14 +52,20 @@ def is_toc(line: Column) -> Column:
 def noise_reason(text: Column) -> Column:
     """too_short, header_footer, toc, no_language or null. Line patterns must hold for every line."""
     text = F.coalesce(text, F.lit(""))
-    bare, lines = squeezed(text), stripped_lines(text)
-    return (
-        F.when(bare == "", "too_short")
-        .when(F.forall(lines, is_header_footer), "header_footer")
-        .when(F.forall(lines, is_toc), "toc")
-        .when(~bare.rlike(LANGUAGE), "no_language")
-        .when(F.length(bare) < LEAST_CHARS, "too_short")
-    )
+    lines = stripped_lines(text)
+    # all patterns of lines ask for a digit, which most texts don't have
+    digits = text.rlike(r"(?U)\d")
+
+    def reason(n: Column) -> Column:
+        return (
+            F.when(n == 0, "too_short")
+            .when(digits & F.forall(lines, is_header_footer), "header_footer")
+            .when(digits & F.forall(lines, is_toc), "toc")
+            .when(~text.rlike(LANGUAGE), "no_language")
+            .when(n < LEAST_CHARS, "too_short")
+        )
+
+    return F.transform(F.array(F.length(squeezed(text))), reason)[0]  # squeezed once
 
 
 def is_garbled(text: Column) -> Column:

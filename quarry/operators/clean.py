@@ -50,8 +50,11 @@ def cleaned_by(chunks: DataFrame, fn: Callable[[list[str]], list[tuple[str, floa
 
 
 def marked(chunks: DataFrame) -> DataFrame:
-    """chunks with reason (of noise), hash and duplicate: a later chunk of the document with the content of an earlier kept one."""
-    noted = chunks.withColumns({"reason": noise_reason(F.col("content")), "hash": content_hash(F.col("content"))})
+    """chunks with reason (of noise), hash, length and duplicate: a later chunk of the document with the content of an earlier kept one.
+
+    Who needs no contents of the result doesn't shuffle them: reports go by the length.
+    """
+    noted = chunks.withColumns({"reason": noise_reason(F.col("content")), "hash": content_hash(F.col("content")), "length": F.length("content")})
     order = Window.partitionBy("doc_id", "hash", F.col("reason").isNull()).orderBy("chunk_index")
     return noted.withColumn("duplicate", F.col("reason").isNull() & (F.row_number().over(order) > 1))
 
@@ -91,11 +94,12 @@ def reports(noted: DataFrame) -> DataFrame:
     """The quality report of each document over marked chunks; counters of model cleaning where llm_status is there."""
     dropped = F.col("reason").isNotNull() | F.col("duplicate")
     status = F.col("llm_status") if "llm_status" in noted.columns else F.lit(None).cast("string")
+    length = F.col("length") if "length" in noted.columns else F.length("content")
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     # one pass: counts by (document, page, reason), then by document
     fine = noted.groupBy("doc_id", "page", "reason").agg(
         F.count("*").alias("n"), count(dropped).alias("dropped"), count(F.col("duplicate")).alias("duplicates"),
-        F.sum(F.when(~dropped, F.length("content")).otherwise(0)).cast("long").alias("chars"), count(status == "cleaned").alias("cleaned"), count(status == "fallback").alias("fallback"),
+        F.sum(F.when(~dropped, length).otherwise(0)).cast("long").alias("chars"), count(status == "cleaned").alias("cleaned"), count(status == "fallback").alias("fallback"),
     )
     reasons = fine.filter("reason is not null").groupBy("doc_id", "reason").agg(F.sum("n").cast("long").alias("n"))
     reasons = reasons.groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n"))))).alias("noise_reasons"))
