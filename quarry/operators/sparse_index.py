@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quarry.operators.retrieve import _in_scope, ranked, tokens
 
 #: Chunks of a block; neighbouring chunks of a document that stay in one shard; chunks of a shard, about.
-BLOCK, RUN, SHARD = 64, 256, 50_000
+BLOCK, RUN, SHARD = 64, 256, 20_000
 #: Queries that meet a shard at once; asked terms up to which they are part of the scan's filter.
 TURN, LISTED = 2_048, 1_000
 #: What a bound may be off by: scores are rounded to six places.
