@@ -489,4 +489,4 @@ def test_registered_queries_have_sql_and_tables():
 
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries)
-    assert {n for n in queries if n not in sql and not n.startswith(("op", "pipeline"))} == {"g3_html_blocks", "g5_chunk_documents", "ingest_documents"}
+    assert {n for n in queries if n not in sql and not n.startswith(("op", "pipeline"))} == {"g3_html_blocks", "g5_chunk_documents", "ingest_documents", "ingest_outcomes"}
