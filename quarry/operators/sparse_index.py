@@ -51,10 +51,10 @@ def index_rows(chunks: DataFrame, shards: int, analyse: Analyser = plain) -> Dat
     """The index's rows (ROW) of chunks (chunk_id, doc_id, chunk_index, content, department)."""
     department = (F.col("department") if "department" in chunks.columns else F.lit(None)).cast("string")
     split = analyse(chunks.select("chunk_id", shard_of(F.col("doc_id"), F.col("chunk_index"), shards).alias("shard"), department.alias("department"), "content"), "chunk_id", "content")
-    placed = split.select("shard", F.col("chunk_id").cast("long").alias("chunk_id"), "department", F.coalesce("t", F.array().cast("array<string>")).alias("t"))
-    # a shard's rows meet in one task, of a bounded number of chunks, and stay there
+    placed = split.select("shard", F.col("chunk_id").cast("long").alias("chunk_id"), "department", F.coalesce("t", F.array().cast("array<string>")).alias("t")).withColumn("length", F.size("t"))
+    # a shard's rows meet in one task, of a bounded number of chunks, and stay there; tokens are shuffled once, lengths once more
     order = Window.partitionBy("shard").orderBy("chunk_id")
-    numbered = placed.repartition("shard").withColumns({"n": F.row_number().over(order) - 1, "length": F.size("t")})
+    numbered = placed.repartition("shard").withColumn("n", F.row_number().over(order) - 1)
     posted = numbered.select("shard", "n", "length", F.explode("t").alias("term")).groupBy("shard", "term", "n", "length").agg(F.count("*").cast("int").alias("tf"))
     terms = posted.groupBy("shard", "term").agg(F.sort_array(F.collect_list(F.struct("n", "tf", "length"))).alias("p"))
     whole = numbered.groupBy("shard").agg(
@@ -93,8 +93,8 @@ def write_index(chunks: DataFrame, path: str, shards: int | None = None, analyse
 
 
 def _save(rows: DataFrame, path: str, mode: str) -> None:
-    """Partitions in the rows take the place of their like; terms are in order, so that a scan skips to those it asks for."""
-    rows.repartition("shard").sortWithinPartitions("shard", "term").write.mode(mode).option("partitionOverwriteMode", "dynamic" if mode == "overwrite" else "static").partitionBy("shard").parquet(path)
+    """Partitions in the rows take the place of their like; terms are in order, so that a scan skips to those it asks for. Rows come by shard."""
+    rows.sortWithinPartitions("shard", "term").write.mode(mode).option("partitionOverwriteMode", "dynamic" if mode == "overwrite" else "static").partitionBy("shard").parquet(path)
 
 
 def update_index(path: str, before: DataFrame, after: DataFrame, changed: DataFrame, shards: int, analyse: Analyser = plain) -> list[int]:
