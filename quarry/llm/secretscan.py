@@ -4,13 +4,14 @@ A token's encoding is inferred from its characters (decimal, hexadecimal, base 3
 ask whether it looks drawn evenly from that alphabet: chi-squared on its characters' counts, runs above
 and below the alphabet's middle, and serial correlation. A token that fails one is not a secret.
 
-For the others each test says how much likelier its result is for an even draw than for an ordinary token of that
-encoding and length, whose characters come with the shares that they have in the corpus's own long words. Of chi-squared
-there are two such ratios, of the counts themselves and of the statistic; they and the two of order (runs and serial
-correlation) depend on each other, so they are averaged, and the two averages multiplied. One over the product bounds
-the p-value. The means and variances of ordinary tokens depend on the length, and so does the bound: a short token can't
-look as unlike text as a long one. Benjamini and Hochberg's step-up over all tested tokens of the corpus, by a
-histogram, holds the share of false discoveries; with bounds of this kind it holds under any dependence.
+For the others each test gives an e-value against an ordinary token of that encoding and length, whose characters are
+drawn with the shares that they have in the corpus's own long words: a number that is never negative and whose mean over
+such tokens is one. Those of the counts are the ratio of the even draw's likelihood to the ordinary one's; those of
+chi-squared, runs and serial correlation are exponential tilts of the statistic, over their exact means, which are worked
+out for each encoding and length up to EXACT (longer tokens get no more than what the counts give). Their weighted mean is
+an e-value however they depend on each other, and its largest possible value grows with the length, so a short token can't
+look as unlike text as a long one. Step-up on e-values over all distinct tested tokens of the corpus, by a histogram,
+holds the share of false discoveries under any dependence. A token that comes again is no further evidence.
 
 Tokens have LEAST characters or more. Those below PLAIN characters that are all letters of one case (the first apart)
 have the form of words and are not tested. Purely decimal tokens are never discovered unless their order is odd, as an
@@ -23,8 +24,10 @@ code points; one row per input row. Other columns don't matter.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +45,11 @@ COUNTED = r"(?<![A-Za-z])[a-z]{8,}+(?![A-Za-z])"
 FALSE_DISCOVERIES = 0.01
 #: Each test's two-sided limit, in standard deviations: a probability of 0.001.
 LIMIT = 3.29
-#: Bins of the histogram of -ln p: width and number.
+#: The longest token whose statistics' means are worked out, and the weights of counts, chi-squared, runs and serial correlation.
+EXACT, WEIGHTS = 128, (0.7, 0.1, 0.1, 0.1)
+#: Matches whose places are summed up together.
+GROUP = 256
+#: Bins of the histogram of ln e: width and number.
 BIN, BINS = 0.25, 400
 
 # Alphabets in order, and letter frequencies of text in per mille, a to z, which count as so many letters of the corpus.
@@ -61,19 +68,22 @@ SHARES = {"lower": 0.75, "upper": 0.10, "digit": 0.08, "sign": 0.07}
 
 
 class Ordinary(NamedTuple):
-    """What an ordinary token's characters are like, by place in the alphabet; m of them."""
+    """What an ordinary token's characters are like, by place in the alphabet, and for each length from LEAST to EXACT each
+    statistic's tilt and ln of its mean: the e-value of a statistic is exp(tilt * statistic - ln mean)."""
 
     logs: list[float]  # ln of each one's share over 1 / m
-    second: float  # sums of the shares' squares and cubes
-    third: float
-    upper: float  # the share of the upper half
-    mean: float  # of the centred place, and of its square
-    square: float
+    chi: list[float]
+    chi_mean: list[float]
+    runs: list[float]
+    runs_mean: list[float]
+    serial: list[float]
+    serial_mean: list[float]
 
 
-def ordinary(name: str, letters: list[float]) -> Ordinary:
+def shares(name: str, letters: list[float]) -> np.ndarray:
+    """The shares of an alphabet's characters in ordinary tokens."""
     alphabet, small = ALPHABETS[name], str.isupper if name == "BASE64" else str.islower
-    total, m = sum(letters), len(alphabet)
+    total = sum(letters)
 
     def weight(c: str) -> float:
         if c.isdigit():
@@ -82,31 +92,90 @@ def ordinary(name: str, letters: list[float]) -> Ordinary:
             return SHARES["sign"] / 4
         return SHARES["lower" if small(c) else "upper"] * letters[ord(c.lower()) - 97] / total
 
-    weights = [weight(c) for c in alphabet]
-    q = [w / sum(weights) for w in weights]
-    y = [i - (m - 1) / 2 for i in range(m)]
-    return Ordinary(
-        [math.log(x * m) for x in q], sum(x**2 for x in q), sum(x**3 for x in q), sum(x for x, at in zip(q, y, strict=True) if at > 0),
-        sum(x * at for x, at in zip(q, y, strict=True)), sum(x * at * at for x, at in zip(q, y, strict=True)),
-    )
+    weights = np.array([weight(c) for c in alphabet])
+    return weights / weights.sum()
+
+
+def _squares_mean(q: np.ndarray, n: int, tilt: float) -> float:
+    """ln of the mean of exp(tilt * sum of squared counts) of n characters: Poisson counts, given that they add up to n."""
+    c = np.arange(n + 1)
+    factorial = np.concatenate([[0.0], np.cumsum(np.log(c[1:]))])
+    scale, whole = 0.0, np.eye(1, n + 1)[0]
+    for share in q:
+        whole = np.convolve(whole, np.exp(c * math.log(n * share) - factorial - n * share + tilt * c * c))[: n + 1]
+        scale += math.log(whole.max())
+        whole /= whole.max()
+    return scale + math.log(whole[n]) - (n * math.log(n) - n - factorial[n])
+
+
+def _chain_mean(step: np.ndarray, start: np.ndarray, n: int) -> float:
+    """ln of the sum over all paths of n characters: what a step weighs, from what they start with."""
+    scale, row = 0.0, start
+    for _ in range(n - 1):
+        row = row @ step
+        scale += math.log(row.sum())
+        row = row / row.sum()
+    return scale + math.log(row.sum())
+
+
+@lru_cache(maxsize=64)
+def ordinary(name: str, letters: tuple[float, ...]) -> Ordinary:
+    q = shares(name, list(letters))
+    m = len(q)
+    y = np.arange(m) - (m - 1) / 2
+    s2, s3, p, mean, v = (q**2).sum(), (q**3).sum(), q[y > 0].sum(), (q * y).sum(), (q * y * y).sum()
+    up, r, even = np.array([1 - p, p]), 2 * p * (1 - p), (m * m - 1) / 12
+    out = Ordinary(np.log(q * m).tolist(), [], [], [], [], [], [])
+    for n in range(LEAST, EXACT + 1):
+        # a tilt is the difference of the means of an even draw and of ordinary text over the larger variance
+        pairs = 2 * n * (n - 1) * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2 * s2)
+        tilt = float(n * (n - 1) * (1 / m - s2) / max(pairs, 2 * n * (n - 1) / m * (1 - 1 / m)))
+        out.chi.append(tilt)
+        out.chi_mean.append(_squares_mean(q, n, tilt))
+        turns = (n - 1) * r * (1 - r) + 2 * (n - 2) * (p * (1 - p) - r * r)
+        tilt = float((n - 1) * (0.5 - r) / max(turns, (n - 1) / 4))
+        out.runs.append(tilt)
+        out.runs_mean.append(tilt + _chain_mean(np.exp(tilt * (1 - np.eye(2))) * up, up, n))
+        products = (n - 1) * (v * v - mean**4) + 2 * (n - 2) * (mean * mean * v - mean**4)
+        tilt = float(-(n - 1) * mean * mean / max(products, (n - 1) * even * even))
+        out.serial.append(tilt)
+        out.serial_mean.append(_chain_mean(np.exp(tilt * np.outer(y, y)) * q, q, n))
+    return out
+
+
+def _array(values: list[float]) -> Column:
+    """A literal array, as one expression."""
+    return F.expr("array(" + ",".join(f"{float(v)!r}D" for v in values) + ")")
 
 
 def _spans(text: Column, pattern: str) -> Column:
     """(start, end, found) of each leftmost non-overlapping match: what lies between matches is split out, and lengths are summed."""
 
-    def placed(found: Column, between: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
+    span = "array<struct<start:int,end:int,found:string>>"
+
+    def length(found: Column, between: Column, i: Column) -> Column:
+        return F.length(F.get(between, i)) + F.length(F.get(found, i))
+
+    def within(found: Column, between: Column, first: Column, offset: Column) -> Column:
+        """The spans of one group, which begins at `offset`."""
 
         def step(acc: Column, i: Column) -> Column:
             low = acc["at"] + F.length(F.get(between, i))
             high = low + F.length(F.get(found, i))
             return F.struct(high.alias("at"), F.concat(acc["out"], F.array(F.struct(low.alias("start"), high.alias("end"), F.get(found, i).alias("found")))).alias("out"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["out"])
+        last = F.least(first + GROUP, F.size(found)) - 1
+        return F.aggregate(F.sequence(first, last), F.struct(offset.alias("at"), F.array().cast(span).alias("out")), step, lambda acc: acc["out"])
+
+    def placed(found: Column, between: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.size(found) - 1, F.lit(GROUP))
+        total = lambda first: F.aggregate(F.sequence(first, F.least(first + GROUP, F.size(found)) - 1), F.lit(0), lambda acc, i: acc + length(found, between, i))
+        # where each group begins; a group is copied GROUP times at most, however many matches there are
+        offsets = F.aggregate(firsts, F.array(F.lit(0)), lambda acc, first: F.concat(acc, F.array(F.element_at(acc, -1) + total(first))))
+        return bind(offsets, lambda o: F.flatten(F.transform(firsts, lambda first, g: within(found, between, first, F.get(o, g)))))
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
-    return F.when(~text.rlike(pattern), none).otherwise(bind(found, lambda f: bind(F.split(text, pattern, -1), lambda g: placed(f, g))))
+    return F.when(~text.rlike(pattern), F.array().cast(span)).otherwise(bind(found, lambda f: bind(F.split(text, pattern, -1), lambda g: placed(f, g))))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -133,15 +202,15 @@ def letter_counts(docs: DataFrame, text_col: str = "text") -> list[float]:
 
 
 def battery(token: Column, letters: list[float]) -> Column:
-    """struct(encoding, chi, runs, serial, evidence): the three tests in standard deviations, and -ln of the bound of p."""
-    of = {name: ordinary(name, letters) for name in ALPHABETS}
+    """struct(encoding, chi, runs, serial, evidence): the three tests in standard deviations, and ln of the e-value."""
+    of = {name: ordinary(name, tuple(letters)) for name in ALPHABETS}
 
     def measured(encoding: Column) -> Column:
         def pick(value) -> Column:
             out = F.lit(None)
             for name in ALPHABETS:
                 v = value(name)
-                out = F.when(encoding == name, F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)).otherwise(out)
+                out = F.when(encoding == name, F.lit(v) if isinstance(v, str) else _array(v)).otherwise(out)
             return out
 
         known = F.struct(pick(ALPHABETS.get).alias("a"), *[pick(lambda n, k=k: getattr(of[n], k)).alias(k) for k in Ordinary._fields])
@@ -156,43 +225,25 @@ def battery(token: Column, letters: list[float]) -> Column:
         centred = lambda i: (F.get(x, i).cast("double") - (m - 1) / 2)
         product = F.aggregate(inner, F.lit(0.0), lambda acc, i: acc + centred(i) * centred(i - 1))
         logs = F.aggregate(x, F.lit(0.0), lambda acc, i: acc - F.get(o["logs"], i))
-        return bind(F.struct(squares.alias("squares"), runs.alias("runs"), product.alias("product"), logs.alias("counts")), lambda t: judged(encoding, o, n, m, t))
+        found = F.struct(squares.alias("chi"), runs.alias("runs"), product.alias("serial"), logs.alias("counts"), F.size(x).alias("size"))
+        return bind(found, lambda t: judged(encoding, o, n, m, t))
 
     def judged(encoding: Column, o: Column, n: Column, m: Column, t: Column) -> Column:
         df = m - 1
-        chi = (F.pow((t["squares"] * m / n - n) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+        chi = (F.pow((t["chi"] * m / n - n) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
         runs = (t["runs"] - (n + 1) / 2) / F.sqrt((n - 1) / 4)
-        serial = t["product"] / ((m * m - 1) / 12) / F.sqrt(n - 1)
-        # the same statistics of ordinary tokens: mean and variance
-        s2, s3, p, mean, v = o["second"], o["third"], o["upper"], o["mean"], o["square"]
-        pairs = 2 * n * (n - 1) * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2 * s2)
-        r = 2 * p * (1 - p)
-        turns = (n - 1) * r * (1 - r) + 2 * (n - 2) * (p * (1 - p) - r * r)
-        products = (n - 1) * (v * v - F.pow(mean, F.lit(4.0))) + 2 * (n - 2) * (mean * mean * v - F.pow(mean, F.lit(4.0)))
-        collisions = likelier(t["squares"], n + n * (n - 1) / m, 2 * n * (n - 1) * (1 / m) * (1 - 1 / m), n + n * (n - 1) * s2, pairs)
-        order = _mean(
-            likelier(t["runs"], (n + 1) / 2, (n - 1) / 4, 1 + (n - 1) * r, turns),
-            likelier(t["product"], F.lit(0.0), (n - 1) * F.pow((m * m - 1) / 12, F.lit(2.0)), (n - 1) * mean * mean, products),
-        )
-        evidence = _mean(t["counts"], collisions) + order
+        serial = t["serial"] / ((m * m - 1) / 12) / F.sqrt(n - 1)
+        at = t["size"] - LEAST
+        tilted = [F.get(o[k], at) * t[k] - F.get(o[f"{k}_mean"], at) for k in ("chi", "runs", "serial")]  # null beyond EXACT
+        parts = [t["counts"] + math.log(WEIGHTS[0]), *[F.coalesce(e, F.lit(-math.inf)) + math.log(w) for e, w in zip(tilted, WEIGHTS[1:], strict=True)]]
+        evidence = bind(F.array(*parts), lambda e: F.array_max(e) + F.ln(F.aggregate(e, F.lit(0.0), lambda acc, v: acc + F.exp(v - F.array_max(e)))))
         return F.struct(encoding.alias("encoding"), chi.alias("chi"), runs.alias("runs"), serial.alias("serial"), evidence.alias("evidence"))
 
     return bind(encoding_of(token), measured)
 
 
-def likelier(value: Column, mean: Column, variance: Column, text_mean: Column, text_variance: Column) -> Column:
-    """ln of the ratio of two normal densities: of an even draw, and of ordinary text."""
-    text_variance = F.greatest(text_variance, F.lit(1e-3))
-    return (F.ln(text_variance / variance) + F.pow(value - text_mean, F.lit(2.0)) / text_variance - F.pow(value - mean, F.lit(2.0)) / variance) / 2
-
-
-def _mean(a: Column, b: Column) -> Column:
-    """ln of the mean of two ratios, given their logarithms."""
-    return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b))) - math.log(2)
-
-
 def scan(docs: DataFrame, letters: list[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base (kind, start, end by start, then kind), tested (start, end, chi, runs, serial, evidence): one row per input row."""
+    """doc_id, base (kind, start, end by start, then kind), tested (start, end, key, chi, runs, serial, evidence; key is a hash of the token): one row per input row."""
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     tried = lambda s: (F.length(s["found"]) >= PLAIN) | ~s["found"].rlike(WORDLIKE)
@@ -201,7 +252,7 @@ def scan(docs: DataFrame, letters: list[float], id_col: str = "doc_id", text_col
     def marked(number: int, kind: str) -> Column:
         return F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), F.lit(number).alias("order"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
-    tested = F.transform("tokens", lambda s: bind(battery(s["found"], letters), lambda t: F.struct(s["start"].alias("start"), s["end"].alias("end"), t["chi"].alias("chi"), t["runs"].alias("runs"), t["serial"].alias("serial"), t["evidence"].alias("evidence"))))
+    tested = F.transform("tokens", lambda s: bind(battery(s["found"], letters), lambda t: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["found"]).alias("key"), t["chi"].alias("chi"), t["runs"].alias("runs"), t["serial"].alias("serial"), t["evidence"].alias("evidence"))))
     return found.select("doc_id", F.array_sort(F.concat(*[marked(n, k) for n, k in enumerate(KINDS[:3])])).alias("base"), tested.alias("tested"))
 
 
@@ -211,9 +262,10 @@ def passes(t: Column) -> Column:
 
 
 def threshold(scanned: DataFrame, rate: float = FALSE_DISCOVERIES) -> float:
-    """The least evidence of a discovery: step-up over all tested tokens, on a histogram of BINS + 1 rows."""
-    tokens = scanned.select(F.explode("tested").alias("t")).select(F.when(passes(F.col("t")), F.greatest(F.col("t.evidence"), F.lit(0.0))).otherwise(0.0).alias("e"))
-    bins = tokens.groupBy(F.least(F.floor(F.col("e") / BIN), F.lit(BINS)).alias("bin")).agg(F.count("*").alias("n"))
+    """The least evidence of a discovery: step-up over all distinct tested tokens, on a histogram of BINS + 1 rows."""
+    bin_of = F.when(passes(F.col("t")), F.least(F.floor(F.greatest(F.col("t.evidence"), F.lit(0.0)) / BIN), F.lit(BINS))).otherwise(0).cast("int")
+    tokens = scanned.select(F.explode("tested").alias("t")).select(F.col("t.key").alias("key"), bin_of.alias("bin")).distinct()
+    bins = tokens.groupBy("bin").agg(F.count("*").alias("n"))
     above = F.sum("n").over(Window.orderBy(F.desc("bin")))
     ranked = bins.select("bin", above.alias("found"), F.sum("n").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("m"))
     ok = ranked.filter((F.col("bin") > 0) & (F.exp(-F.col("bin") * BIN) * F.col("m") <= rate * F.col("found"))).agg(F.min("bin")).first()[0]

@@ -424,19 +424,48 @@ def brute_battery(token, letters):
     up = [i >= m / 2 for i in x]
     runs = 1 + sum(a != b for a, b in zip(up, up[1:], strict=False))
     product = sum(y[a] * y[b] for a, b in zip(x, x[1:], strict=False))
-    p, mean, v = q[y > 0].sum(), (q * y).sum(), (q * y * y).sum()
-    r = 2 * p * (1 - p)
-
-    def ratio(value, even, text):
-        density = lambda mu, var: -np.log(var) / 2 - (value - mu) ** 2 / var / 2
-        return density(*even) - density(text[0], max(text[1], 1e-3))
-
-    counts = sum(np.log(1 / m / q[i]) for i in x)
-    collisions = ratio(squares, (n + n * (n - 1) / m, 2 * n * (n - 1) / m * (1 - 1 / m)), (n + n * (n - 1) * (q**2).sum(), 2 * n * (n - 1) * ((q**2).sum() + 2 * (n - 2) * (q**3).sum() - (2 * n - 3) * (q**2).sum() ** 2)))
-    by_runs = ratio(runs, ((n + 1) / 2, (n - 1) / 4), (1 + (n - 1) * r, (n - 1) * r * (1 - r) + 2 * (n - 2) * (p * (1 - p) - r * r)))
-    by_serial = ratio(product, (0, (n - 1) * ((m * m - 1) / 12) ** 2), ((n - 1) * mean**2, (n - 1) * (v * v - mean**4) + 2 * (n - 2) * (mean**2 * v - mean**4)))
-    evidence = np.logaddexp(counts, collisions) + np.logaddexp(by_runs, by_serial) - 2 * np.log(2)
-    return name, chi, (runs - (n + 1) / 2) / np.sqrt((n - 1) / 4), product / ((m * m - 1) / 12) / np.sqrt(n - 1), evidence
+    known = secretscan.ordinary(name, tuple(letters))
+    parts = [np.log(secretscan.WEIGHTS[0]) + sum(np.log(1 / m / q[i]) for i in x)]
+    if n <= secretscan.EXACT:
+        at = n - secretscan.LEAST
+        values = [(known.chi, known.chi_mean, squares), (known.runs, known.runs_mean, runs), (known.serial, known.serial_mean, product)]
+        parts += [np.log(w) + tilt[at] * value - mean[at] for w, (tilt, mean, value) in zip(secretscan.WEIGHTS[1:], values, strict=True)]
+    return name, chi, (runs - (n + 1) / 2) / np.sqrt((n - 1) / 4), product / ((m * m - 1) / 12) / np.sqrt(n - 1), np.logaddexp.reduce(parts)
+
+
+def test_means_of_the_statistics_match_brute_force():
+    """The exact means, against all words of a small alphabet."""
+    q, n = np.array([0.5, 0.2, 0.2, 0.1]), 6
+    y, words = np.arange(4) - 1.5, np.array(np.meshgrid(*[range(4)] * n)).reshape(n, -1).T
+    chance = q[words].prod(axis=1)
+    squares = sum((words == i).sum(axis=1) ** 2 for i in range(4))
+    assert secretscan._squares_mean(q, n, -0.3) == pytest.approx(np.log((chance * np.exp(-0.3 * squares)).sum()))
+    products = (y[words][:, 1:] * y[words][:, :-1]).sum(axis=1)
+    assert secretscan._chain_mean(np.exp(-0.1 * np.outer(y, y)) * q, q, n) == pytest.approx(np.log((chance * np.exp(-0.1 * products)).sum()))
+    turns = ((words[:, 1:] > 1) != (words[:, :-1] > 1)).sum(axis=1)
+    p = np.array([0.7, 0.3])
+    assert secretscan._chain_mean(np.exp(0.4 * (1 - np.eye(2))) * p, p, n) == pytest.approx(np.log((chance * np.exp(0.4 * turns)).sum()))
+
+
+@pytest.mark.parametrize("name", list(secretscan.ALPHABETS))
+@pytest.mark.parametrize("n", [12, 20, 64])
+def test_evidence_of_ordinary_tokens_has_a_mean_of_one_at_most(name, n):
+    """Its share above any bar is at most one over the bar, in a simulation of ordinary tokens."""
+    rng, letters = np.random.default_rng(n), [float(x) for x in secretscan.LETTERS]
+    q, known, at, m = secretscan.shares(name, letters), secretscan.ordinary(name, tuple(letters)), n - secretscan.LEAST, len(secretscan.ALPHABETS[name])
+    x = rng.choice(m, (40_000, n), p=q)
+    y = np.arange(m) - (m - 1) / 2
+    counts = np.stack([(x == i).sum(axis=1) for i in range(m)])
+    up = x >= m / 2
+    values = [(counts**2).sum(axis=0), 1 + (up[:, 1:] != up[:, :-1]).sum(axis=1), (y[x][:, 1:] * y[x][:, :-1]).sum(axis=1)]
+    tilts = [(known.chi, known.chi_mean), (known.runs, known.runs_mean), (known.serial, known.serial_mean)]
+    parts = [-np.array(known.logs)[x].sum(axis=1), *[t[at] * v - mean[at] for v, (t, mean) in zip(values, tilts, strict=True)]]
+    e = sum(w * np.exp(p) for w, p in zip(secretscan.WEIGHTS, parts, strict=True))
+    assert np.minimum(e, 1e4).mean() < 1.05
+    for bar in (2, 10, 100):
+        assert (e >= bar).mean() <= 1 / bar
+    for p in parts[1:]:
+        assert np.exp(p).mean() == pytest.approx(1, abs=0.1)
 
 
 def test_battery_matches_brute_force(spark):
@@ -453,12 +482,34 @@ def test_battery_matches_brute_force(spark):
 
 def test_step_up_matches_brute_force(spark):
     rng = random.Random(7)
-    rows = [(i, [(0, 20, rng.choice([0.0, 0.0, 5.0]), 0.0, 0.0, rng.choice([rng.uniform(-9, 4), rng.uniform(3, 30)])) for _ in range(rng.randint(0, 4))]) for i in range(200)]
-    scanned = spark.createDataFrame(rows, "doc_id long, tested array<struct<start:int,end:int,chi:double,runs:double,serial:double,evidence:double>>")
-    tested = [max(0.0, t[5]) if abs(t[2]) <= secretscan.LIMIT else 0.0 for _, ts in rows for t in ts]
+    distinct = [(key, rng.choice([0.0, 0.0, 5.0]), 0.0, 0.0, rng.choice([rng.uniform(-9, 4), rng.uniform(3, 30)])) for key in range(150)]
+    rows = [(i, [(0, 20, *rng.choice(distinct)) for _ in range(rng.randint(0, 4))]) for i in range(200)]
+    scanned = spark.createDataFrame(rows, "doc_id long, tested array<struct<start:int,end:int,key:long,chi:double,runs:double,serial:double,evidence:double>>")
+    tested = [max(0.0, t[6]) if abs(t[3]) <= secretscan.LIMIT else 0.0 for t in {t for _, ts in rows for t in ts}]
     bins = sorted(int(e / secretscan.BIN) for e in tested)
     ok = [b for b in set(bins) if b > 0 and np.exp(-b * secretscan.BIN) * len(bins) <= 0.01 * sum(x >= b for x in bins)]
     assert secretscan.threshold(scanned) == min(ok) * secretscan.BIN
+    assert secretscan.threshold(scanned.union(scanned).union(scanned)) == min(ok) * secretscan.BIN
+
+
+def test_repeats_of_a_token_are_no_evidence(spark):
+    """Ordinary tokens that come hundreds of times are left alone, and a secret is found once or often alike."""
+    names = ["TheQuickBrownFox", "MacBookPro2019Model", "getUserAccountByName", "README-INSTALL-LICENSE", "snake_case_identifier_v2", "src/main/java/org/example/App"]
+    secret = "q7ZkX0vJ9wTfB3mYgQhR5xUeK1pL8sWd"
+    for times in (1, 300):
+        texts = [f"see {names[0]} here"] * times + [f"see {names[1]} here"] * times + [f"see {t} here" for t in names[2:]] + [f"key {secret} here"] * times
+        found = secretscan.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        assert {texts[r.doc_id] for r in found if any(s.kind == "random" for s in r.spans)} == {f"key {secret} here"}
+        assert sum(any(s.kind == "random" for s in r.spans) for r in found) == times
+
+
+def test_secrets_of_a_long_listing(spark):
+    """Places stay right over many groups of matches."""
+    rng = random.Random(9)
+    lines = [f"é {i} token={'abcdefgh' + str(i)}; {''.join(rng.choice('0123456789abcdef') for _ in range(32))} AKIA{i:016}" for i in range(700)]
+    text = "\n".join(lines)
+    got = secretscan.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [tuple(s) for s in got.base] == brute_secrets(text)
 
 
 def test_letter_counts(spark):
