@@ -4,15 +4,16 @@ The base spans (email, ip, card, phone) always stand. High-recall generators pro
 spans; trees see their format and context; those above the threshold of their kind, which is calibrated on
 held-out cases for precision, are added where they meet no base span.
 
-The trees learn from the corpus itself, from at most SAMPLE distinct cases: base spans are positive; the same
-values written in looser forms are positive; the same values spoilt (a changed check digit, an octet above 255)
-and candidates that a rule proves wrong are negative. All other candidates of the corpus may be personal data in
-a form that the base patterns don't know, and are neither learned nor calibrated from.
-Equal cases are one, with a count; distinct ones are taken in the order of a hash, as many of each kind and label.
-Those taken weigh as often as they occur, and for those of their kind and label that aren't.
-
-Null texts count as empty. Each row is judged alone and whole, repeated ones too; offsets are code points. Without
-cases of both labels nothing is added. Other columns don't matter.
+The trees learn from the labelled table of piicases, where a value's label follows from what it is (a phone number, an
+ISBN, an invoice, ...), and from the corpus, from at most SAMPLE distinct cases: the values of base spans in looser forms,
+after words that announce them (positive), or spoilt or after words that announce something else (negative). Candidates of
+the corpus themselves may be personal data in a form that the base patterns don't know, and are not labelled.
+No label is worked out of features. Equal cases are one, with a count; distinct ones are taken in the order of a hash, as
+many of each kind and label. Those taken weigh as often as they occur, and for those of their kind and label that aren't;
+the corpus's cases of a kind and label weigh together as much as the table's, whatever their number.
+
+Null texts count as empty. Each row is judged alone and whole, repeated ones too; offsets are code points. An empty corpus
+leaves the table to learn from. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import piicases
 from quarry.llm.boost import Boosted
 from quarry.llm.common import checkpointed, slices
+from quarry.llm.piicases import luhn
 
 KINDS = ("email", "ip", "card", "phone")
 #: The bound of the labelled sample (of distinct cases), and the precision that thresholds are calibrated for.
@@ -44,26 +47,26 @@ ANY = re.compile(r"[0-9@]|[(\[ ]at[)\] ]")
 DIGITS = re.compile(r"[+(]?[0-9](?:[ ().\-/]{0,2}[0-9]){6,24}")
 DOTTED = re.compile(r"(?<![0-9.])[0-9]{1,4}+(?: ?\. ?[0-9]{1,4}+){3}(?![0-9])")
 SPELT = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,64}+ ?[(\[ ]at[)\] ] ?[A-Za-z0-9-]{2,63}+ ?[(\[ ]dot[)\] ] ?[A-Za-z]{2,10}\b")
-# What proves a candidate wrong, beside being part of a token: dates, versions, everyday words about a spelt-out sign, numbers that no issuer gives out.
+# Formats that trees may look at: dates, and numbers that issuers of cards give out.
 DATE = re.compile(r"(?:1[0-9]|20)[0-9]{2}(?P<a>[ .\-/])[01]?[0-9](?P=a)[0-3]?[0-9](?: [0-2]?[0-9](?:[.\-][0-9]{2})*)?|[0-3]?[0-9](?P<b>[ .\-/])[0-3]?[0-9](?P=b)(?:1[0-9]|20)[0-9]{2}|(?:1[0-9]|20)[0-9]{2}(?: ?[ \-/] ?(?:1[0-9]|20)[0-9]{2})+")
-VERSION = re.compile(r"(?:\b(?:version|release|build|ver|rev)\.?|\bv\.?)[ :=]?$", re.IGNORECASE)
-PROSE = re.compile(r"[(\[ ]at[)\] ] ?(?:an?|the|this|that|these|those|each|every|any|some|one|its|his|her|their|our|my|your)\b|[(\[ ]dot[)\] ] ?(?:on|of|and|or|at|as|was|were|with|from|that|which|over|above|below|between)$", re.IGNORECASE)
 ISSUED = re.compile(r"[0-9]{16,19}|3[47][0-9]{13}|3[0689][0-9]{12}|4[0-9]{12}")
-# Words that announce a value of a kind.
+# Words that announce a value of a kind, and those that announce another number: their beginnings, or all of them up to three letters.
 HINTS = {
-    "email": ("mail", "contact", "correo", "schreib", "écri"),
+    "email": ("mail", "contact", "correo", "schreib", "écri", "write"),
     "ip": ("ip", "host", "server", "address", "addr"),
-    "card": ("card", "visa", "carte", "karte", "tarjeta", "credit"),
-    "phone": ("tel", "phone", "call", "fax", "mobile", "ruf", "appel"),
+    "card": ("card", "visa", "carte", "karte", "tarjeta", "credit", "master", "amex"),
+    "phone": ("tel", "telefon", "teleph", "téléph", "teléf", "phone", "call", "fax", "mobile", "ring", "ruf", "anruf", "appel", "handy"),
 }
-
-
-def luhn(digits: str) -> bool:
-    total = 0
-    for i, d in enumerate(reversed(digits)):
-        n = int(d) * (1 + i % 2)
-        total += n - 9 * (n > 9)
-    return total % 10 == 0
+OTHER = (
+    "isbn", "book", "imei", "device", "handset", "parcel", "track", "shipment", "package", "invoice", "rechnung", "factur", "bill", "order", "bestell", "command", "pedido", "coordin", "position", "lat", "lon",
+    "ratio", "score", "id", "ref", "case", "ticket", "serial", "number", "cost", "total", "price", "population", "version", "release", "build", "page", "between", "from", "since", "until", "dated", "year",
+    "account", "contract", "policy", "kunde", "chapter", "section", "paragraph", "item", "timestamp", "epoch", "log", "tick", "article", "part", "model", "code",
+)
+FUNCTION = frozenset("a an the this that these those each every any some one its his her their our my your on of and or at as was were with from which over above below between in to is".split())
+UNIT = re.compile(r" ?(?:[€$£%]|(?:km|kg|m|cm|mm|euros?|dollars?|people|times|years|percent)\b)")
+WORDS = re.compile(r"[^\W\d_]+")
+#: Characters before a candidate that are looked at, and the distance of a word that isn't there.
+CONTEXT, FAR = 40, 9.0
 
 
 def only_digits(text: str) -> str:
@@ -110,39 +113,35 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def wrong(text: str, kind: str, start: int, end: int) -> bool:
-    """Whether a rule proves that a candidate isn't of its kind."""
-    span, before = text[start:end], text[max(0, start - 24) : start]
-    if kind == "email":
-        return PROSE.search(span) is not None
-    if span == only_digits(span) and (before[-1:].isalpha() or text[end : end + 1].isalpha()):
-        return True  # digits inside a token
-    if kind == "card":
-        digits = only_digits(span)
-        return not luhn(digits) or not ISSUED.fullmatch(digits)
-    if VERSION.search(before):
-        return True
-    return any(int(p) > 255 for p in re.findall("[0-9]+", span)) if kind == "ip" else DATE.fullmatch(span) is not None
+def _distance(words: list[str], cues: tuple[str, ...]) -> float:
+    """How many words lie between the nearest cue and the candidate."""
+    return next((float(i) for i, w in enumerate(words) if any(w == c or (len(c) > 3 and w.startswith(c)) for c in cues)), FAR)
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
-    """Format and context of a candidate."""
+    """Format and, in the last five, context of a candidate."""
     span, digits = text[start:end], only_digits(text[start:end])
-    before, after = text[max(0, start - 24) : start], text[end : end + 1]
+    before, after = text[max(0, start - CONTEXT) : start], text[end : end + 16]
     parts = re.findall(r"[0-9]+", span)
-    low = before.lower()
+    first = int(parts[0][:9]) if parts else 0
+    said = WORDS.findall(span) if kind == "email" else []
+    line = before.rpartition("\n")[2]
+    if start > CONTEXT and len(line) == CONTEXT:
+        line = re.sub(r"^[^\W\d_]+", "", line)  # a word that the window may cut
+    words = [w.lower() for w in WORDS.findall(line)][::-1]  # the nearest first
     return [
         float(KINDS.index(kind)), len(span), len(digits), len(digits) / max(1, len(span)), len(parts), max(map(len, parts), default=0), min(map(len, parts), default=0),
-        float(span.startswith("+")), float("(" in span and ")" in span), span.count("-"), span.count(" "), span.count("."), float("@" in span),
+        float(span.startswith("+")), float("(" in span and ")" in span), span.count("-"), span.count(" "), span.count("."), span.count("/"), float("@" in span),
         float(bool(digits) and luhn(digits)), float(max((int(p[-9:]) for p in parts), default=0) <= 255), len(set(digits)), float(digits.startswith("0")),
-        float(before[-1:].isalnum()), float(after.isalnum()), float(any(h in low for h in HINTS[kind])), float(re.search(r"\.[A-Za-z]{2,}$", span) is not None), float(re.search(r" ?[(\[ ]at[)\] ] ?", span) is not None),
-        float(wrong(text, kind, start, end)),
+        len(parts[0]) if parts else 0, len(parts[-1]) if parts else 0, float(1000 <= first < 2100), float(DATE.fullmatch(span) is not None), float(ISSUED.fullmatch(digits) is not None),
+        float(re.search(r"[(\[]", span) is not None), float(any(w.lower() in FUNCTION for w in said[-3:-2] + said[-1:])),
+        float(before[-1:].isalnum()), float(after[:1].isalnum()), _distance(words, HINTS[kind]), _distance(words, OTHER), float(UNIT.match(after) is not None),
     ]
 
 
 def _variants(text: str, kind: str, start: int, end: int) -> Iterator[tuple[str, str, int, int, int]]:
-    """(text, kind, start, end, label): a base span in looser forms, and spoilt."""
-    left, right, value = text[max(0, start - 24) : start], text[end : end + 8], text[start:end]
+    """(text, kind, start, end, label): a base span in looser forms after a word that announces it, and spoilt or after another word."""
+    left, right, value = text[max(0, start - CONTEXT) : start], text[end : end + 16], text[start:end]
 
     def at(new: str, label: int, hint: str = "") -> tuple[str, str, int, int, int]:
         head = left + hint
@@ -151,12 +150,13 @@ def _variants(text: str, kind: str, start: int, end: int) -> Iterator[tuple[str,
     if kind == "phone":
         short = re.sub(r"^\+[0-9]{1,3}[ .-]?", "", value)
         if len(only_digits(short)) >= 7:
-            yield at(short, 1, "tel ")
-            yield at(".".join(re.findall("[0-9]+", short)), 1, "tel ")
-            yield at(only_digits(short), 0)
+            for form in {short, ".".join(re.findall("[0-9]+", short))}:
+                yield at(form, 1, "tel ")
+            yield at(".".join(re.findall("[0-9]+", short)), 0, "parcel ")
+            yield at(only_digits(short), 0, "invoice ")
     elif kind == "card":
         digits = only_digits(value)
-        yield at(" ".join(digits[i : i + 4] for i in range(0, len(digits), 4)), 1)
+        yield at(".".join(digits[i : i + 4] for i in range(0, len(digits), 4)), 1)
         yield at(digits[:-1] + str((int(digits[-1]) + 1) % 10), 0)
     elif kind == "ip":
         parts = value.split(".")
@@ -194,17 +194,24 @@ class Stretches:
 
 
 def labelled(text: str) -> Iterator[tuple[list[float], int]]:
-    """Cases to learn from in a text."""
-    base = base_spans(text)
-    exact, taken = set(base), Stretches(base)
-    for c in set(candidates(text)) | exact:
-        if c in exact or (wrong(text, *c) and not taken.meet(*c[1:])):
-            yield features(text, *c), int(c in exact)
-    for span in base:
+    """Cases to learn from in a text of the corpus."""
+    for span in base_spans(text):
         for other, kind, start, end, label in _variants(text, *span):
             yield features(other, kind, start, end), label
 
 
+def taught(table: tuple[piicases.Group, ...] = piicases.TABLE) -> list[tuple[list[float], int]]:
+    """Cases of the labelled table: what the generators propose about each value, right where kind and span are the value's."""
+    out = []
+    for text, kind, start, end in piicases.cases(table):
+        for c in dict.fromkeys(candidates(text)):
+            if kind is None or c[0] != kind:
+                out.append((features(text, *c), 0))
+            elif c == (kind, start, end):
+                out.append((features(text, *c), 1))
+    return out
+
+
 class Detector:
     """Trees and the threshold of each kind."""
 
@@ -228,10 +235,10 @@ class Detector:
             mine = x[held][:, 0] == k
             order = np.argsort(-score[mine], kind="stable")
             label, weight, ranked = y[held][mine][order], (later * scale)[held][mine][order], score[mine][order]
-            seen, right, every = np.cumsum(label * later[held][mine][order]), np.cumsum(label * weight), np.cumsum(weight)
+            right, every = np.cumsum(label * weight), np.cumsum(weight)
             last = np.append(ranked[1:] < ranked[:-1], True)[: len(ranked)]  # cases of one score stand or fall together
             good = np.flatnonzero(last & (right >= PRECISION * every))
-            if len(good) and seen[good[-1]] >= 5:
+            if len(good):
                 below = np.append(ranked, 0.0)[good[-1] + 1]  # midway to the next case, as forms that nobody labelled lie between
                 self.least[kind] = max(0.5, float(ranked[good[-1]] + below) / 2)
 
@@ -276,9 +283,14 @@ def sampled(docs: DataFrame, text_col: str = "text", most: int = SAMPLE) -> list
     return [(list(r["x"]), r["y"], r["n"], groups[r["kind"], r["y"]]["n"] / of[r["kind"], r["y"]]) for r in picked]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> Detector:
-    """A detector from at most `most` distinct cases of the corpus."""
-    return Detector(sampled(docs, text_col, most))
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE, table: tuple[piicases.Group, ...] = piicases.TABLE) -> Detector:
+    """A detector from the labelled table and at most `most` distinct cases of the corpus."""
+    known = [(x, y, 1, 1.0) for x, y in taught(table)]
+    own, found = Counter((x[0], y) for x, y, _, _ in known), sampled(docs, text_col, most)
+    total: Counter = Counter()
+    for x, y, n, w in found:
+        total[x[0], y] += n * w
+    return Detector(known + [(x, y, n, w * max(1, own[x[0], y]) / total[x[0], y]) for x, y, n, w in found])
 
 
 def find(docs: DataFrame, detector: Detector, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
