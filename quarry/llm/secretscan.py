@@ -14,8 +14,8 @@ look as unlike text as a long one. Step-up on e-values over all distinct tested
 holds the share of false discoveries under any dependence. A token that comes again is no further evidence.
 
 Tokens have LEAST characters or more. Those below PLAIN characters that are all letters of one case (the first apart)
-have the form of words and are not tested. Purely decimal tokens are never discovered unless their order is odd, as an
-even draw of digits is what ordinary numbers look like.
+have the form of words and are not tested. Purely decimal tokens are
+never discovered, as an even draw of digits is what ordinary numbers look like: their evidence is nought.
 
 All of it is native expressions. Null texts count as empty. Each text is scanned whole, repeated rows each; offsets are
 code points; one row per input row. Other columns don't matter.
