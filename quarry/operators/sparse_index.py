@@ -15,18 +15,18 @@ of their bounds until these are below its k-th score, and passes on its k best.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.retrieve import _in_scope, ranked, tokens
 
-#: Chunks of a block; neighbouring chunks of a document that stay in one shard; chunks of a shard, about.
-BLOCK, RUN, SHARD = 64, 256, 20_000
+#: Chunks of a block; neighbouring chunks of a document that stay in one shard; chunks and characters of a shard, about.
+BLOCK, RUN, SHARD, SHARD_CHARS = 64, 256, 20_000, 8_000_000
 #: Queries that meet a shard at once; asked terms up to which they are part of the scan's filter.
 TURN, LISTED = 2_048, 1_000
 #: What a bound may be off by: scores are rounded to six places.
@@ -47,47 +47,57 @@ def shard_of(doc_id: Column, chunk_index: Column, shards: int) -> Column:
 ROW = "shard int, term string, df long, total long, docs array<int>, tfs array<int>, sky_blocks array<int>, sky_tfs array<int>, sky_lengths array<int>, ids array<long>, lengths array<int>, departments array<string>"
 
 
+FIELDS = pa.schema(
+    [("shard", pa.int32()), ("term", pa.string()), ("df", pa.int64()), ("total", pa.int64())]
+    + [(c, pa.list_(pa.int32())) for c in ("docs", "tfs", "sky_blocks", "sky_tfs", "sky_lengths")]
+    + [("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("departments", pa.list_(pa.string()))]
+)
+
+
 def index_rows(chunks: DataFrame, shards: int, analyse: Analyser = plain) -> DataFrame:
     """The index's rows (ROW) of chunks (chunk_id, doc_id, chunk_index, content, department)."""
     department = (F.col("department") if "department" in chunks.columns else F.lit(None)).cast("string")
     split = analyse(chunks.select("chunk_id", shard_of(F.col("doc_id"), F.col("chunk_index"), shards).alias("shard"), department.alias("department"), "content"), "chunk_id", "content")
-    placed = split.select("shard", F.col("chunk_id").cast("long").alias("chunk_id"), "department", F.coalesce("t", F.array().cast("array<string>")).alias("t")).withColumn("length", F.size("t"))
-    # a shard's rows meet in one task, of a bounded number of chunks, and stay there; tokens are shuffled once, lengths once more
-    order = Window.partitionBy("shard").orderBy("chunk_id")
-    numbered = placed.repartition("shard").withColumn("n", F.row_number().over(order) - 1)
-    posted = numbered.select("shard", "n", "length", F.explode("t").alias("term")).groupBy("shard", "term", "n", "length").agg(F.count("*").cast("int").alias("tf"))
-    terms = posted.groupBy("shard", "term").agg(F.sort_array(F.collect_list(F.struct("n", "tf", "length"))).alias("p"))
-    whole = numbered.groupBy("shard").agg(
-        F.count_if(F.col("length") > 0).alias("df"), F.sum("length").alias("total"), F.sort_array(F.collect_list(F.struct("n", "chunk_id", "length", "department"))).alias("c"),
-    )
-    nothing = [F.lit(None).cast("array<int>").alias(c) for c in ("docs", "tfs", "sky_blocks", "sky_tfs", "sky_lengths")]
-    own = whole.select("shard", F.lit("").alias("term"), "df", "total", *nothing, F.col("c.chunk_id").alias("ids"), F.col("c.length").alias("lengths"), F.col("c.department").alias("departments"))
-    return terms.mapInArrow(_bounded, ROW).unionByName(own)
-
-
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Terms' postings with the pairs that bound their blocks: from the largest frequency of a block down, those whose chunk is shorter than all before."""
-    for b in batches:
-        lists = b.column("p")
-        n, tf, length = (lists.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-        row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-        order = np.lexsort((length, -tf, n // BLOCK, row))
-        group = np.cumsum(np.r_[0, np.diff(row[order]) != 0] | np.r_[0, np.diff(n[order] // BLOCK) != 0])
-        least = np.minimum.accumulate(length[order] - group * 2**32)  # begins anew with each block
-        kept = order[np.r_[True, least[1:] < least[:-1]][: len(order)]]
-
-        def listed(values: np.ndarray, of: np.ndarray, rows: int = b.num_rows) -> pa.ListArray:
-            return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(rows + 1)).astype(np.int32)), pa.array(values.astype(np.int32)))
-
-        none = lambda kind, rows=b.num_rows: pa.nulls(rows, kind)
-        columns = [b.column("shard"), b.column("term"), pa.array(np.bincount(row, minlength=b.num_rows).astype(np.int64)), none(pa.int64()), listed(n, row), listed(tf, row)]
-        columns += [listed(v[kept], row[kept]) for v in (n // BLOCK, tf, length)] + [none(pa.list_(pa.int64())), none(pa.list_(pa.int32())), none(pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ROW.split(", ")])
+    placed = split.select("shard", F.col("chunk_id").cast("long").alias("chunk_id"), "department", F.coalesce("t", F.array().cast("array<string>")).alias("t"))
+    return placed.groupBy("shard").applyInArrow(_posted, ROW)  # the tokens' only shuffle; a shard is of a bounded size
+
+
+def _listed(values: np.ndarray, of: np.ndarray, rows: int) -> pa.ListArray:
+    """Values as a list for each row, where `of` gives their rows in ascending order."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(rows + 1)).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def _posted(shard: pa.Table) -> pa.Table:
+    """A shard's rows: by term, its postings with the pairs that bound their blocks; then the row of the chunks.
+
+    The pairs: from the largest frequency of a block down, those whose chunk is shorter than all before.
+    """
+    shard = shard.sort_by("chunk_id").combine_chunks()
+    lists, number = shard.column("t").combine_chunks(), shard.column("shard")[0].as_py()
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    words = lists.flatten().dictionary_encode()
+    chunks, rows = len(lengths), len(words.dictionary)
+    key, tf = np.unique(words.indices.to_numpy().astype(np.int64) * chunks + np.repeat(np.arange(chunks), lengths), return_counts=True)
+    row, n = key // chunks, key % chunks
+    length, block = lengths[n], n // BLOCK
+    order = np.lexsort((length, -tf, block, row))
+    group = np.cumsum(np.r_[0, (np.diff(row[order]) != 0) | (np.diff(block[order]) != 0)][: len(order)])
+    least = np.minimum.accumulate(length[order] - group * 2**32)  # begins anew with each block
+    kept = order[np.r_[True, least[1:] < least[:-1]][: len(order)]]
+    none = lambda kind, rows: pa.nulls(rows, kind)
+    terms = [pa.array(np.full(rows, number, dtype=np.int32)), words.dictionary.cast(pa.string()), pa.array(np.bincount(row, minlength=rows)), none(pa.int64(), rows), _listed(n, row, rows), _listed(tf, row, rows)]
+    terms += [_listed(v[kept], row[kept], rows) for v in (block, tf, length)] + [none(f.type, rows) for f in list(FIELDS)[9:]]
+    whole = lambda values: pa.ListArray.from_arrays(pa.array([0, chunks], pa.int32()), values)
+    own = [pa.array([number], pa.int32()), pa.array([""]), pa.array([int(np.count_nonzero(lengths))]), pa.array([int(lengths.sum())]), *[none(f.type, 1) for f in list(FIELDS)[4:9]]]
+    own += [whole(shard.column("chunk_id").combine_chunks()), whole(pa.array(lengths.astype(np.int32))), whole(shard.column("department").combine_chunks().cast(pa.string()))]
+    return pa.concat_tables([pa.Table.from_arrays(terms, schema=FIELDS), pa.Table.from_arrays(own, schema=FIELDS)])
 
 
 def write_index(chunks: DataFrame, path: str, shards: int | None = None, analyse: Analyser = plain) -> int:
     """A new index of all chunks in a folder; the number of its shards, by which updates find them."""
-    shards = shards or max(1, -(-chunks.count() // SHARD))
+    if shards is None:
+        n, size = chunks.agg(F.count("*"), F.sum(F.length("content"))).first()
+        shards = max(1, -(-n // SHARD), -(-(size or 0) // SHARD_CHARS))
     _save(index_rows(chunks, shards, analyse), path, "overwrite")
     return shards
 
