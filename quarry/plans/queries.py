@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import redaction, text
-from quarry.operators import access, answer, catalog, chunk, clean, connector, evaluate, feedback, ingest, keyword_index, parse, retrieve, segment, sparse_index, stats, vector_index
+from quarry.operators import access, answer, catalog, chunk, clean, connector, evaluate, feedback, ingest, keyword_index, known, parse, retrieve, segment, sparse_index, stats, vector_index
 from quarry.plans import inputs as t
 from quarry.plans.inputs import load, named
 from quarry.plans.registry import ORACLES, QUERIES
@@ -114,6 +114,15 @@ def j11(spark, sf):
     return clean.dedup_documents(h.filter("doc_id % 2 = 0"), h.filter("doc_id % 3 = 0")).select("doc_id", "duplicate_of")
 
 
+@query("j11_known_store", ORACLES["j11_known_documents"])
+def j11_store(spark, sf):
+    path, h = folder(spark, "known"), ingest.checkpointed(hashes(spark, sf))
+    for part in ("doc_id % 2 = 0", "doc_id % 2 = 1"):  # two batches
+        known.add(h.filter("doc_id % 3 = 0").filter(part), path)
+    came = h.filter("doc_id % 2 = 0")
+    return clean.dedup_documents(came, known.find(spark, path, came)).select("doc_id", "duplicate_of")
+
+
 SENSITIVE = """(SELECT doc_id, concat(text, CASE doc_id % 3 WHEN 0 THEN concat(' 138', lpad(CAST(doc_id AS STRING), 8, '0')) WHEN 1 THEN concat(' 11010119900307', lpad(CAST(doc_id % 10000 AS STRING), 4, '0'))
   ELSE concat(' sk-abcdefgh', CAST(doc_id AS STRING)) END) AS text FROM {documents})"""
 RULES_SQL = r"""SELECT doc_id, list_sort(list_filter([
@@ -359,6 +368,11 @@ def j2(spark, sf):
     return access.visible_counts(load(spark, sf, "{customer}"), j1(spark, sf), "c_mktsegment")
 
 
+@query("j2_scoped_rows", f"SELECT user_id, c_custkey FROM {SCOPE} JOIN customer ON unrestricted OR department = c_mktsegment")
+def j2_rows(spark, sf):
+    return access.scoped(load(spark, sf, "{customer}"), j1(spark, sf), "c_mktsegment").select("user_id", "c_custkey")
+
+
 @query("j13_users_with_departments", f"SELECT user_id, coalesce(string_agg(a.department, ',' ORDER BY a.department), '') AS departments FROM {USERS} u LEFT JOIN {ADMINS} a USING (user_id) GROUP BY user_id")
 def j13(spark, sf):
     return users(spark, sf).select("user_id", F.array_join("departments", ",").alias("departments"))
