@@ -20,6 +20,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from quarry.operators.retrieve import _in_scope, ranked, tokens
 BLOCK, RUN, SHARD, SHARD_CHARS = 64, 256, 20_000, 8_000_000
 #: Queries that meet a shard at once; asked terms up to which they are part of the scan's filter.
 TURN, LISTED = 2_048, 1_000
+#: What stands between tokens on their way to a shard; no token holds it.
+BETWEEN = "\0"
 #: What a bound may be off by: scores are rounded to six places.
 SLACK = 2e-6
 
@@ -58,7 +61,8 @@ def index_rows(chunks: DataFrame, shards: int, analyse: Analyser = plain) -> Dat
     """The index's rows (ROW) of chunks (chunk_id, doc_id, chunk_index, content, department)."""
     department = (F.col("department") if "department" in chunks.columns else F.lit(None)).cast("string")
     split = analyse(chunks.select("chunk_id", shard_of(F.col("doc_id"), F.col("chunk_index"), shards).alias("shard"), department.alias("department"), "content"), "chunk_id", "content")
-    placed = split.select("shard", F.col("chunk_id").cast("long").alias("chunk_id"), "department", F.coalesce("t", F.array().cast("array<string>")).alias("t"))
+    text = F.coalesce(F.array_join(F.filter("t", lambda w: w != ""), BETWEEN), F.lit(""))  # a text shuffles in half of an array's space
+    placed = split.select("shard", F.col("chunk_id").cast("long").alias("chunk_id"), "department", text.alias("t"))
     return placed.groupBy("shard").applyInArrow(_posted, ROW)  # the tokens' only shuffle; a shard is of a bounded size
 
 
@@ -73,8 +77,9 @@ def _posted(shard: pa.Table) -> pa.Table:
     The pairs: from the largest frequency of a block down, those whose chunk is shorter than all before.
     """
     shard = shard.sort_by("chunk_id").combine_chunks()
-    lists, number = shard.column("t").combine_chunks(), shard.column("shard")[0].as_py()
-    lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    texts, number = shard.column("t").combine_chunks(), shard.column("shard")[0].as_py()
+    lists = pc.split_pattern(pc.if_else(pc.equal(texts, ""), None, texts), BETWEEN)
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     words = lists.flatten().dictionary_encode()
     chunks, rows = len(lengths), len(words.dictionary)
     key, tf = np.unique(words.indices.to_numpy().astype(np.int64) * chunks + np.repeat(np.arange(chunks), lengths), return_counts=True)
