@@ -5,8 +5,11 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ MOST_BYTES, EXPORTED = 50 * 1024 * 1024, 5000
 AUDIT_COLUMNS = ("id", "user", "action", "resource", "detail", "ip", "created_at")
 CASE = "question string, doc_id string, section_prefix string, intent string, reference string, source string"
 CASE_COLUMNS = tuple(c.split()[0] for c in CASE.split(", "))
+#: Subfolders of written documents.
+FOLDERS = 256
 # First bytes that files of a type must have.
 MAGIC = {"pdf": "25504446", "docx": "504B", "pptx": "504B"}
 
@@ -35,6 +40,31 @@ def load_documents(spark: SparkSession, folder: str, recursive: bool = True) ->
     return picked.select(stem(F.col("path")).alias("doc_id"), "path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
+def write_documents(docs: DataFrame, folder: str) -> int:
+    """Each document (doc_id, text) as a file `<doc_id>.txt`, in FOLDERS subfolders by hash; the number of files.
+
+    Tasks write their own files, under hidden names first, so one that runs again replaces what it wrote and the driver moves none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+        made: set[str] = set()
+        for b in batches:
+            for sub, name, text in zip(*(b.column(c).to_pylist() for c in ("sub", "doc_id", "text")), strict=True):
+                if sub not in made:
+                    system.create_dir(f"{root}/{sub}", recursive=True)
+                    made.add(sub)
+                hidden = f"{root}/{sub}/_{uuid.uuid4().hex}"
+                with system.open_output_stream(hidden) as f:
+                    f.write(text.encode())
+                system.move(hidden, f"{root}/{sub}/{name}.txt")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    name = F.col("doc_id").cast("string")
+    rows = docs.filter("doc_id is not null and text is not null").select(F.hex(F.pmod(F.xxhash64(name), F.lit(FOLDERS))).alias("sub"), name.alias("doc_id"), "text")
+    return rows.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def watched_dirs(spark: SparkSession, path: str) -> DataFrame:
     """path, department of the watched folders; nothing for a missing or broken file."""
     schema = "path string, department string, _broken string"

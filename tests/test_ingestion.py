@@ -157,6 +157,18 @@ def test_sources(spark, tmp_path):
     assert {(r.question, r.reference, r.intent) for r in files.load_cases(spark, str(tmp_path / "five")).collect()} == {(f"q{i}", "[x]\n", "qa") for i in range(5)}
 
 
+def test_documents_are_written_as_files_in_few_folders(spark, tmp_path, monkeypatch):
+    """One file a document, with its text as it is; folders don't grow with documents, and writing again replaces."""
+    monkeypatch.setattr(files, "FOLDERS", 4)
+    texts = {f"d{i}": f"line {i}\r\n\u00e9\u4e00\0\n" * (1 + i % 3) for i in range(60)}
+    docs = spark.createDataFrame([*texts.items(), ("none", None)], "doc_id string, text string")
+    folder = f"file://{tmp_path}/docs"
+    assert [files.write_documents(docs, folder) for _ in range(2)] == [60, 60]
+    assert {r.doc_id: r.text for r in files.load_documents(spark, folder).collect()} == texts
+    assert len(list((tmp_path / "docs").iterdir())) <= 4 and not list((tmp_path / "docs").glob("*/_*"))
+    assert files.write_documents(docs.limit(0), folder) == 0
+
+
 def test_store_replaces_documents(spark, tmp_path):
     schema, store = "doc_id string, chunk_index int, content string", str(tmp_path / "store")
     assert files.read_store(spark, store) is None
