@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,6 +98,16 @@ def _dashed(name: Column, default: str) -> Column:
     return F.when(plain == "", default).otherwise(plain)
 
 
+def slices(x: pa.RecordBatch | pa.Array, rows: int = 256, size: int = 4_000_000) -> Iterator[pa.RecordBatch | pa.Array]:
+    """Parts of a batch, in order, of at most so many rows and bytes (or one row), so that Python objects stand for a few rows at a time."""
+    if len(x) > 1 and (len(x) > rows or x.nbytes > size):
+        half = len(x) // 2
+        yield from slices(x.slice(0, half), rows, size)
+        yield from slices(x.slice(half), rows, size)
+    elif len(x):
+        yield x
+
+
 def stem(path: Column) -> Column:
     """The file name without its last suffix."""
     name = F.regexp_extract(path, r"([^/]*)$", 1)

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.text import slices
+
 TABLE_LEAST = 8
 SEPARATOR = " > "
 CHUNK = "chunk_index int, content string, page int, section_path string"
@@ -102,14 +105,16 @@ def chunk_documents(df: DataFrame, id_col: str = "doc_id", blocks_col: str = "bl
     if overlap >= chunk_size:
         raise ValueError("overlap must be below chunk_size")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(doc, *c) for doc, blocks in zip(b["id"], b["blocks"], strict=True) for c in chunks_of([] if blocks is None else list(blocks), chunk_size, overlap)]
-            out = pd.DataFrame(rows, columns=["doc_id", "chunk_index", "content", "page", "section_path"])
-            yield out.assign(page=out["page"].astype("Int32"))
+            for part in slices(b):
+                rows = [(i, *c) for i, blocks in enumerate(part.column("blocks").to_pylist()) for c in chunks_of(blocks or [], chunk_size, overlap)]
+                at, *columns = zip(*rows, strict=True) if rows else ((),) * 5
+                made = [pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.string(), pa.int32(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(at, pa.int64())), *made], names=["doc_id", "chunk_index", "content", "page", "section_path"])
 
     id_type = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(blocks_col).alias("blocks")).mapInPandas(run, f"doc_id {id_type}, {CHUNK}")
+    return df.select(F.col(id_col).alias("id"), F.col(blocks_col).alias("blocks")).mapInArrow(run, f"doc_id {id_type}, {CHUNK}")
 
 
 def window_split(text: Column, size: int = 800, overlap: int = 100) -> Column:

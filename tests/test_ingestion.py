@@ -7,10 +7,12 @@ import json
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import redaction, text
+from quarry.functions.text import slices
 from quarry.operators import chunk, clean, connector, ingest, parse
 from quarry.sources import files
 
@@ -157,6 +159,21 @@ def test_sources(spark, tmp_path):
     assert {(r.question, r.reference, r.intent) for r in files.load_cases(spark, str(tmp_path / "five")).collect()} == {(f"q{i}", "[x]\n", "qa") for i in range(5)}
 
 
+def test_python_holds_a_few_rows_at_a_time(spark, monkeypatch):
+    """Batches of any length are taken in parts of bounded rows and bytes; their order and results stay."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * (i % 7) for i in range(2_000)]), pa.array(range(2_000))], names=["s", "i"])
+    parts = list(slices(batch, 100, 1_000))
+    assert max(len(p) for p in parts) <= 100 and max(p.nbytes for p in parts) <= 1_000 and pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert [len(p) for p in slices(pa.array(["y" * 5_000, None, ""]), 100, 1_000)] == [1, 2] and list(slices(pa.array([], pa.string()))) == []
+    pages = spark.range(700, numPartitions=1).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("<h1>a</h1><p>"), "id")).alias("html"))
+    blocks = pages.select("id", parse.html_blocks(F.col("html")).alias("blocks"))
+    assert {r.id: [b.text for b in r.blocks] for r in blocks.collect()} == {i: ["a", str(i)] if i % 3 else [] for i in range(700)}
+    chunked = chunk.chunk_documents(blocks, "id")
+    assert sorted((r.doc_id, r.chunk_index, r.content) for r in chunked.collect()) == [(i, 0, f"a\n{i}") for i in range(700) if i % 3]
+    plan = chunked._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+
+
 def test_documents_are_written_as_files_in_few_folders(spark, tmp_path, monkeypatch):
     """One file a document, with its text as it is; folders don't grow with documents, and writing again replaces."""
     monkeypatch.setattr(files, "FOLDERS", 4)
