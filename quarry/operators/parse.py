@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import LINE_BREAK, strip
+from quarry.functions.text import LINE_BREAK, slices, strip
 
 BLOCK = "struct<text:string,level:int,kind:string,page:int>"
+BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("level", pa.int32()), ("kind", pa.string()), ("page", pa.int32())]))
 #: Parser of each supported suffix.
 PARSERS = {"md": "markdown", "markdown": "markdown", "txt": "text", "html": "html", "htm": "html"}
 
@@ -102,10 +103,11 @@ def _page_blocks(html: str | None) -> list[dict]:
 def html_blocks(html: Column) -> Column:
     """Blocks of HTML pages: headings with levels 1 to 6, each table as one block, white space squeezed."""
 
-    def run(pages: pd.Series) -> pd.Series:
-        return pages.map(_page_blocks)
+    @F.arrow_udf(f"array<{BLOCK}>")
+    def run(pages: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array([], BLOCKS), *[pa.array(map(_page_blocks, part.to_pylist()), BLOCKS) for part in slices(pages)]])
 
-    return F.pandas_udf(run, f"array<{BLOCK}>")(html)
+    return run(html)
 
 
 def suffix(path: Column) -> Column:
