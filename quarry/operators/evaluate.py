@@ -14,9 +14,11 @@ REFUSALS, REFUSAL_MOST = ("知识库", "无法", "抱歉", "只能"), 200
 def hit_rank(cases: DataFrame, hits: DataFrame) -> DataFrame:
     """case_id, hit_rank: the first rank with the case's doc_id and a section path that holds its prefix; null if none."""
     h = hits.select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("__d"), F.col("section_path").alias("__s"), F.col("rank").alias("__r"))
-    good = (F.col("doc_id") == F.col("__d")) & F.coalesce(F.col("__s"), F.lit("")).contains(F.coalesce(F.col("section_prefix"), F.lit("")))
-    found = cases.select("case_id", "doc_id", "section_prefix").join(h, "case_id").filter(good).groupBy("case_id").agg(F.min("__r").alias("hit_rank"))
-    return cases.select("case_id").join(found, "case_id", "left")
+    # cases are read once, as they may be dear; one that is listed several times is met once and given as often
+    own = cases.groupBy("case_id").agg(F.collect_list(F.struct("doc_id", "section_prefix")).alias("__own"))
+    good = F.exists("__own", lambda c: (c["doc_id"] == F.col("__d")) & F.coalesce(F.col("__s"), F.lit("")).contains(F.coalesce(c["section_prefix"], F.lit(""))))
+    met = own.join(h, "case_id", "left").groupBy("case_id").agg(F.first(F.size("__own")).alias("__n"), F.min(F.when(good, F.col("__r"))).alias("hit_rank"))
+    return met.select("case_id", "hit_rank", F.explode(F.array_repeat(F.lit(0), F.col("__n"))).alias("__i")).drop("__i")
 
 
 def retrieval_metrics(ranks: DataFrame, k: int = 5) -> DataFrame:

@@ -10,6 +10,8 @@ import pytest
 from quarry.functions import automaton, redaction, text
 from pyspark.sql import functions as F
 
+from quarry.operators import evaluate, retrieve
+
 
 def in_turn(value, words, mark):
     hit = set()
@@ -73,3 +75,21 @@ def test_term_maps_of_any_size(spark):
                     new = new.replace(alias, standard)
             wanted.append([new] if q and new != q else [])
         assert [r.v for r in df.select(text.expand_terms(F.col("q"), some).alias("v")).collect()] == wanted
+
+
+def test_texts_held_by_documents_are_those_of_contains(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "QUERY_SCAN", 3)
+    docs = spark.createDataFrame([(1, "abcab \u4e00\u4e8c"), (2, "bc"), (3, ""), (4, None), (5, "ABC")], "doc_id long, text string")
+    asked = spark.createDataFrame([(10, "abc"), (11, "bc"), (12, "bc"), (13, ""), (14, None), (15, "\u4e00"), (16, "zz"), (17, "cab")], "item_id int, text string")
+    want = docs.alias("d").join(asked.alias("q"), F.expr("contains(d.text, q.text)")).select("doc_id", "item_id")
+    got = retrieve.contained(docs, asked, "doc_id", "item_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.schema == want.schema
+
+
+def test_hit_rank_reads_cases_once(spark):
+    """A case that is listed twice is met once and given twice; one without id or hits stays."""
+    cases = spark.createDataFrame([(1, "a", ""), (1, "a", ""), (1, "b", "s"), (2, "a", None), (None, "a", "")], "case_id int, doc_id string, section_prefix string")
+    hits = spark.createDataFrame([(1, "b", "x", 1), (1, "b", "s > t", 2), (1, "a", None, 3), (2, "c", "", 1)], "query_id int, doc_id string, section_path string, rank int")
+    found = evaluate.hit_rank(cases.filter("case_id is null or case_id < 9"), hits)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(["(1, 2)"] * 3 + ["(2, None)", "(None, None)"])
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
