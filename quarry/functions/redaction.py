@@ -124,4 +124,6 @@ def _bound(state: Column, rule: Pattern | Words, step: Callable[[Pattern | Words
 
 def audit(masked: DataFrame, id_col: str = "doc_id", hits_col: str = "hits") -> DataFrame:
     """doc_id, rules: for each document with a hit, the names of its rules, sorted and joined by commas."""
-    return masked.select(id_col, F.explode(hits_col).alias("rule")).groupBy(id_col).agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))
+    # not explode, before which the engine puts filters that work the masks out again
+    rules = masked.select(id_col, F.explode_outer(hits_col).alias("rule")).filter("rule is not null")
+    return rules.groupBy(id_col).agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))

@@ -93,3 +93,11 @@ def test_hit_rank_reads_cases_once(spark):
     found = evaluate.hit_rank(cases.filter("case_id is null or case_id < 9"), hits)
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(["(1, 2)"] * 3 + ["(2, None)", "(None, None)"])
     assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+
+
+def test_audit_works_masks_out_once(spark):
+    docs = spark.createDataFrame([(1, "a@b.com 13812345678"), (2, "none"), (3, None), (1, "10.0.0.1")], "doc_id long, text string")
+    rules = redaction.audit(redaction.redacted(docs))
+    assert {r.doc_id: r.rules for r in rules.collect()} == {1: "email,ipv4,phone"}
+    plan = rules._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and not [x for x in plan.split("\n") if "Filter" in x and "regexp_extract_all" in x]
