@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import NamedTuple
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,15 +15,30 @@ from quarry.operators.clean import cleaned_by, dedup_documents, document_hashes,
 from quarry.operators.parse import route
 
 
-class Ingested(NamedTuple):
+@dataclass
+class Ingested:
     """chunks to store (doc_id, chunk_index, content, page, section_path), reports and masking rules by document, files refused,
-    and outcomes: doc_id, status (indexed, duplicate or failed), error, chunk_count and duplicate_of of each file taken."""
+    and outcomes: doc_id, status (indexed, duplicate or failed), error, chunk_count and duplicate_of of each file taken.
+
+    Contents are masked when chunks or audit are first asked for, once for both; the other results don't need them.
+    """
 
-    chunks: DataFrame
     reports: DataFrame
-    audit: DataFrame
     rejected: DataFrame
     outcomes: DataFrame
+    mask: Callable[[], DataFrame]
+
+    @cached_property
+    def masked(self) -> DataFrame:
+        return self.mask()
+
+    @property
+    def chunks(self) -> DataFrame:
+        return self.masked.select("doc_id", "chunk_index", F.col("masked").alias("content"), "page", "section_path")
+
+    @property
+    def audit(self) -> DataFrame:
+        return audit(self.masked)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -50,8 +66,10 @@ def ingest(
     noted = keep(marked(cleaned_by(chunks, model) if model else chunks))
     kept = noted.filter("reason is null and not duplicate")
     hashes = keep(dedup_documents(document_hashes(kept), known).select("doc_id", "content_hash", "duplicate_of"))
-    masked = keep(redacted(kept.join(hashes.filter("duplicate_of is null"), "doc_id", "left_semi"), "content", rules=rules, replace_with=replace_with))
-    stored = masked.select("doc_id", "chunk_index", F.col("masked").alias("content"), "page", "section_path")
+
+    def mask() -> DataFrame:
+        return keep(redacted(kept.join(hashes.filter("duplicate_of is null"), "doc_id", "left_semi"), "content", rules=rules, replace_with=replace_with))
+
     skipped = F.col("dedup_skipped") + F.when(F.col("duplicate_of").isNotNull(), F.col("kept_blocks")).otherwise(0)
     told = reports(noted).join(hashes, "doc_id").withColumn("dedup_skipped", skipped)
     counted = noted.groupBy("doc_id").agg(F.count("*").alias("total"), F.count_if(F.col("reason").isNull() & ~F.col("duplicate")).alias("kept"))
@@ -60,4 +78,4 @@ def ingest(
     status = F.when(error.isNotNull(), "failed").when(F.col("duplicate_of").isNotNull(), "duplicate").otherwise("indexed")
     chunk_count = F.when(status == "indexed", F.col("total")).otherwise(F.lit(0).cast("long"))
     outcomes = known_as.select("doc_id", status.alias("status"), error.alias("error"), chunk_count.alias("chunk_count"), "duplicate_of")
-    return Ingested(stored, told, audit(masked), rejected, outcomes)
+    return Ingested(told, rejected, outcomes, mask)

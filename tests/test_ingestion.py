@@ -235,6 +235,16 @@ def test_store_of_buckets(spark, tmp_path):
     assert number == 4 and manifest["parts"] == files._Store(spark, store).read(3)["parts"]
 
 
+def test_ingest_masks_when_chunks_are_asked_for(spark):
+    kept = []
+    rows = [(1, "/a.txt", "mail a@b.com to all of them\n\nand the rest of the text"), (2, "/b.txt", " ")]
+    done = ingest.ingest(spark.createDataFrame(rows, "doc_id int, path string, text string"), keep=lambda df: kept.append(df.columns) or df)
+    assert {(r.doc_id, r.status) for r in done.outcomes.collect()} == {(1, "indexed"), (2, "failed")}
+    assert not [c for c in kept if "masked" in c]
+    assert "a****@b.com" in done.chunks.first().content and [r.rules for r in done.audit.collect()] == ["email"]
+    assert len([c for c in kept if "masked" in c]) == 1
+
+
 def test_ingest(spark, tmp_path):
     prose = "This is a sentence about the town and its people. " * 3
     rows = [("a", "/x/a.md", f"# Title\n{prose}\n\nPage 1 of 2\n\ncall 13812345678 now please, it is urgent"), ("b", "/x/b.txt", prose), ("c", "/x/c.txt", f" {prose}"), ("d", "/x/d.exe", "no"), ("e", "/x/e.html", f"<h1>Head</h1><p>{prose} 10.0.0.1</p>"), ("f", "/x/f.txt", f"{prose} other")]
