@@ -27,6 +27,8 @@ class Pattern(NamedTuple):
     keep_left: int = 0
     keep_right: int = 0
     keep_domain: bool = False
+    #: A text that every match holds, if there is one: where it isn't, no match is looked for.
+    holds: str = ""
 
 
 class Words(NamedTuple):
@@ -39,8 +41,8 @@ DEFAULT_RULES: tuple[Pattern | Words, ...] = (
     Pattern("phone", r"(?<!\d)1[3-9]\d{9}(?!\d)", 3, 4),
     Pattern("id_card", r"(?<!\d)(?:\d{17}[\dXx]|\d{15})(?!\d)", 4, 4),
     Pattern("bank_card", r"(?<!\d)\d{16,19}(?!\d)", 4, 4),
-    Pattern("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 1, 0, True),
-    Pattern("api_key", r"\b(?:sk|pk|ak)-[A-Za-z0-9_-]{8,}\b", 4, 4),
+    Pattern("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 1, 0, True, holds="@"),
+    Pattern("api_key", r"\b(?:sk|pk|ak)-[A-Za-z0-9_-]{8,}\b", 4, 4, holds="k-"),
     Pattern("ipv4", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"),
 )
 
@@ -102,6 +104,8 @@ def redacted(df: DataFrame, text_col: str = "text", masked_col: str = "masked",
                 hit, new = hit | new.contains(word), F.replace(new, F.lit(word), F.lit(replace_with))
         else:
             hit, new = now.rlike(UNICODE + rule.pattern), _apply(now, rule)
+            if rule.holds:
+                hit = now.contains(rule.holds) & hit
         return F.when(hit, F.struct(new.alias("text"), names.alias("hits"))).otherwise(state)
 
     out, state = df, F.struct(F.col(text_col).alias("text"), F.array().cast("array<string>").alias("hits"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.functions import automaton, redaction, text
@@ -33,6 +35,35 @@ def test_masker_is_the_chain_of_replacements(mark, letters):
         assert new == wanted and {words[i] for i in hit} == {words[i] for i in numbers}
 
 
+@pytest.mark.parametrize("letters", ["ab", "abé一 "])
+def test_distinct_pieces_are_masked_once(letters, monkeypatch):
+    monkeypatch.setattr(automaton, "REMEMBERED", 300)
+    rng = random.Random(len(letters))
+    words = list(dict.fromkeys("".join(rng.choice(letters) for _ in range(rng.randint(1, 4))) for _ in range(9)))
+    masker, of = automaton.Masker(words, "##"), np.arange(9) % 3
+    assert not masker.made
+    for _ in range(50):
+        texts = [None, "", "."] + ["".join(rng.choice(letters + " .,x") for _ in range(rng.randint(0, 30))) for _ in range(20)]
+        new, hits = masker.mask_all(pa.array([*texts, "cut off"], pa.string())[:-1], of[: len(words)])
+        wanted = [(None, set()) if v is None else in_turn(v, words, "##") for v in texts]
+        assert new.to_pylist() == [v for v, _ in wanted] and hits == [sorted({int(of[i]) for i in hit}) for _, hit in wanted]
+    made = []
+    masker.masks = automaton.Masks(lambda piece: made.append(piece) or (piece, set()))
+    masker.mask_all(pa.array(["abba.x" * 5_000, "abba-bbbb"]), of)
+    assert sorted(made) == sorted(set(made)) and len(made) <= 4
+
+
+def test_rules_are_looked_for_only_where_they_may_be(spark):
+    """A rule's needed text is in all its matches."""
+    rows = [(i, t) for i, t in enumerate(["a@b.com", "ak-12345678 sk-abcdefgh", "k- @ 13812345678", "none", "", None, "pk-short 1.2.3.4 x@y.zz"])]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    bare = [r._replace(holds="") for r in redaction.DEFAULT_RULES]
+    run = lambda rules: sorted(map(str, redaction.redacted(df, rules=tuple(rules)).collect()))
+    assert run(redaction.DEFAULT_RULES) == run(bare) and {r.name: r.holds for r in redaction.DEFAULT_RULES if r.holds} == {"email": "@", "api_key": "k-"}
+    plan = redaction.redacted(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" in plan and "@" in plan
+
+
 def test_twenty_thousand_words_in_one_pass():
     rng = random.Random(1)
     words = list(dict.fromkeys("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(20_000)))
