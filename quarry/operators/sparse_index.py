@@ -5,6 +5,7 @@ document together, numbered in the order of their ids; BLOCK neighbouring number
 document frequency, the chunks' numbers and term frequencies, and for each block the pairs (term frequency, length) that
 no other pair of the block beats. From these a block's largest score follows under any document frequencies and average
 length, so bounds hold after updates. A row with the empty term holds the shard's chunk ids, lengths and departments.
+Numbers of a term are whole columns of 32 bits, as Spark's rows and writers take lists element by element.
 
 An update writes those shards anew that hold chunks of changed documents, before or after the change, and no others.
 Document frequencies and the average length are sums over the rows of shards, so they always are those of the index.
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.retrieve import _in_scope, ranked, tokens
+from quarry.operators.retrieve import _in_scope, joined_tokens, ranked, tokens
 
 #: Chunks of a block; neighbouring chunks of a document that stay in one shard; chunks and characters of a shard, about.
 BLOCK, RUN, SHARD, SHARD_CHARS = 64, 256, 20_000, 8_000_000
@@ -47,12 +48,12 @@ def shard_of(doc_id: Column, chunk_index: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.floor(chunk_index / RUN).cast("long")), F.lit(shards)).cast("int")
 
 
-ROW = "shard int, term string, df long, total long, docs array<int>, tfs array<int>, sky_blocks array<int>, sky_tfs array<int>, sky_lengths array<int>, ids array<long>, lengths array<int>, departments array<string>"
+ROW = "shard int, term string, df long, total long, docs binary, tfs binary, sky_blocks binary, sky_tfs binary, sky_lengths binary, ids array<long>, lengths array<int>, departments array<string>"
 
 
 FIELDS = pa.schema(
     [("shard", pa.int32()), ("term", pa.string()), ("df", pa.int64()), ("total", pa.int64())]
-    + [(c, pa.list_(pa.int32())) for c in ("docs", "tfs", "sky_blocks", "sky_tfs", "sky_lengths")]
+    + [(c, pa.binary()) for c in ("docs", "tfs", "sky_blocks", "sky_tfs", "sky_lengths")]
     + [("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("departments", pa.list_(pa.string()))]
 )
 
@@ -60,15 +61,24 @@ FIELDS = pa.schema(
 def index_rows(chunks: DataFrame, shards: int, analyse: Analyser = plain) -> DataFrame:
     """The index's rows (ROW) of chunks (chunk_id, doc_id, chunk_index, content, department)."""
     department = (F.col("department") if "department" in chunks.columns else F.lit(None)).cast("string")
-    split = analyse(chunks.select("chunk_id", shard_of(F.col("doc_id"), F.col("chunk_index"), shards).alias("shard"), department.alias("department"), "content"), "chunk_id", "content")
-    text = F.coalesce(F.array_join(F.filter("t", lambda w: w != ""), BETWEEN), F.lit(""))  # a text shuffles in half of an array's space
-    placed = split.select("shard", F.col("chunk_id").cast("long").alias("chunk_id"), "department", text.alias("t"))
+    placed = chunks.select("chunk_id", shard_of(F.col("doc_id"), F.col("chunk_index"), shards).alias("shard"), department.alias("department"), "content")
+    if analyse is plain:  # the same tokens without a list of them
+        text = joined_tokens(F.col("content"), BETWEEN)
+    else:
+        placed, text = analyse(placed, "chunk_id", "content"), F.array_join(F.filter("t", lambda w: w != ""), BETWEEN)
+    placed = placed.select("shard", F.col("chunk_id").cast("long").alias("chunk_id"), "department", F.coalesce(text, F.lit("")).alias("t"))  # a text shuffles in half of an array's space
     return placed.groupBy("shard").applyInArrow(_posted, ROW)  # the tokens' only shuffle; a shard is of a bounded size
 
 
-def _listed(values: np.ndarray, of: np.ndarray, rows: int) -> pa.ListArray:
-    """Values as a list for each row, where `of` gives their rows in ascending order."""
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(rows + 1)).astype(np.int32)), pa.array(values.astype(np.int32)))
+def _listed(values: np.ndarray, of: np.ndarray, rows: int) -> pa.Array:
+    """Values as one binary for each row, where `of` gives their rows in ascending order."""
+    ends = 4 * np.searchsorted(of, np.arange(rows + 1))
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values.astype("<i4"))])
+
+
+def _numbers(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all rows of `_listed`, and how many each row has."""
+    return np.frombuffer(b"".join(column), dtype="<i4").astype(np.int64), np.array([len(v) // 4 for v in column], dtype=np.int64)
 
 
 def _posted(shard: pa.Table) -> pa.Table:
@@ -85,10 +95,12 @@ def _posted(shard: pa.Table) -> pa.Table:
     key, tf = np.unique(words.indices.to_numpy().astype(np.int64) * chunks + np.repeat(np.arange(chunks), lengths), return_counts=True)
     row, n = key // chunks, key % chunks
     length, block = lengths[n], n // BLOCK
-    order = np.lexsort((length, -tf, block, row))
-    group = np.cumsum(np.r_[0, (np.diff(row[order]) != 0) | (np.diff(block[order]) != 0)][: len(order)])
-    least = np.minimum.accumulate(length[order] - group * 2**32)  # begins anew with each block
-    kept = order[np.r_[True, least[1:] < least[:-1]][: len(order)]]
+    group = np.cumsum(np.r_[0, (np.diff(row) != 0) | (np.diff(block) != 0)][: len(row)])  # a term's postings of a block
+    several = np.bincount(group, minlength=1)[group] > 1 if len(group) else np.zeros(0, dtype=bool)  # most are alone
+    order = np.flatnonzero(several)
+    order = order[np.lexsort((length[order], -tf[order], group[order]))]
+    least = np.minimum.accumulate(length[order] - group[order] * 2**32)  # begins anew with each block
+    kept = np.sort(np.r_[np.flatnonzero(~several), order[np.r_[True, least[1:] < least[:-1]][: len(order)]]])
     none = lambda kind, rows: pa.nulls(rows, kind)
     terms = [pa.array(np.full(rows, number, dtype=np.int32)), words.dictionary.cast(pa.string()), pa.array(np.bincount(row, minlength=rows)), none(pa.int64(), rows), _listed(n, row, rows), _listed(tf, row, rows)]
     terms += [_listed(v[kept], row[kept], rows) for v in (block, tf, length)] + [none(f.type, rows) for f in list(FIELDS)[9:]]
@@ -115,14 +127,17 @@ def _save(rows: DataFrame, path: str, mode: str) -> None:
 def update_index(path: str, before: DataFrame, after: DataFrame, changed: DataFrame, shards: int, analyse: Analyser = plain) -> list[int]:
     """Bring the index from the chunks before to those after, which differ in the changed documents (doc_id) only; the shards written."""
     spark = before.sparkSession
-    where = lambda df: df.join(changed.select("doc_id").distinct(), "doc_id", "left_semi").select(shard_of(F.col("doc_id"), F.col("chunk_index"), shards).alias("shard"))
-    touched = sorted(r[0] for r in where(before).union(where(after)).distinct().collect())  # at most one row a shard
+    differ = changed.select("doc_id").distinct().withColumn("differs", F.lit(True))
+    # a row a document and shard, before documents are met
+    placed = lambda df: df.select("doc_id", shard_of(F.col("doc_id"), F.col("chunk_index"), shards).alias("shard")).distinct().join(differ, "doc_id", "left")
+    found = placed(before).filter("differs").select("shard", "differs", F.lit(False).alias("left")).union(placed(after).select("shard", "differs", F.lit(True)))
+    found = found.groupBy("shard").agg(F.max("differs").alias("differs"), F.max("left").alias("left")).filter("differs").collect()  # at most one row a shard
+    touched = sorted(r["shard"] for r in found)
     if touched:
-        own = after.filter(shard_of(F.col("doc_id"), F.col("chunk_index"), shards).isin(touched))
-        rows = index_rows(own, shards, analyse)
+        rows = index_rows(after.filter(shard_of(F.col("doc_id"), F.col("chunk_index"), shards).isin(touched)), shards, analyse)
         # a shard that has lost all its chunks still gets a row, which says so
-        empty = spark.createDataFrame([(s, "", 0, 0) for s in touched], "shard int, term string, df long, total long").join(own.select(shard_of(F.col("doc_id"), F.col("chunk_index"), shards).alias("shard")).distinct(), "shard", "left_anti")
-        _save(rows.unionByName(empty, allowMissingColumns=True), path, "overwrite")
+        gone = spark.createDataFrame([(r["shard"], "", 0, 0) for r in found if not r["left"]], "shard int, term string, df long, total long")
+        _save(rows.unionByName(gone, allowMissingColumns=True) if any(not r["left"] for r in found) else rows, path, "overwrite")
     return touched
 
 
@@ -145,22 +160,21 @@ class Shard:
     """A shard's postings of asked terms, side by side: per term its blocks, per block its postings and the bound of their weights."""
 
     def __init__(self, rows: pd.DataFrame, average: float, k1: float, b: float):
-        whole = lambda c, of: np.concatenate([np.zeros(0, dtype=np.int64), *[np.asarray(v, dtype=np.int64) for v in of[c]]])
         own, rows = rows[rows["term"] == ""].iloc[0], rows[(rows["term"] != "") & rows["docs"].notna()]
         self.ids, self.lengths = (np.asarray(own[c] if own[c] is not None else [], dtype=np.int64) for c in ("ids", "lengths"))
         self.departments = np.asarray(own["departments"] if own["departments"] is not None else [], dtype=object)
         self.blocks = -(-len(self.ids) // BLOCK)
         weight = lambda tf, length: tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
         self.number = {t: i for i, t in enumerate(rows["term"])}
-        self.docs = whole("docs", rows)
-        self.part = weight(whole("tfs", rows), self.lengths[self.docs])
-        term = np.repeat(np.arange(len(rows)), [len(v) for v in rows["docs"]])
+        (self.docs, n), (sky_blocks, sky_n) = _numbers(rows["docs"]), _numbers(rows["sky_blocks"])
+        self.part = weight(_numbers(rows["tfs"])[0], self.lengths[self.docs])
+        term = np.repeat(np.arange(len(rows)), n)
         run = np.flatnonzero(np.r_[True, (np.diff(term) != 0) | (np.diff(self.docs // BLOCK) != 0)][: len(self.docs)])  # where a term's block begins
         self.low, self.size, self.block = run, np.diff(np.r_[run, len(self.docs)]), self.docs[run] // BLOCK
-        sky_term = np.repeat(np.arange(len(rows)), [len(v) for v in rows["sky_blocks"]])
-        at = np.searchsorted(term[run] * (self.blocks + 1) + self.block, sky_term * (self.blocks + 1) + whole("sky_blocks", rows))
+        sky_term = np.repeat(np.arange(len(rows)), sky_n)
+        at = np.searchsorted(term[run] * (self.blocks + 1) + self.block, sky_term * (self.blocks + 1) + sky_blocks)
         self.bound = np.zeros(len(run))
-        np.maximum.at(self.bound, at, weight(whole("sky_tfs", rows), whole("sky_lengths", rows)))
+        np.maximum.at(self.bound, at, weight(_numbers(rows["sky_tfs"])[0], _numbers(rows["sky_lengths"])[0]))
         self.first = np.searchsorted(term[run], np.arange(len(rows) + 1))
 
     def best(self, asked: list[tuple[str, float]], k: int, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:

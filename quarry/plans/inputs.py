@@ -50,7 +50,8 @@ def named(sql: str) -> str:
 def chunks(spark: SparkSession, sf_dir: str, noisy: bool = False) -> DataFrame:
     """doc_id, department, chunk_index, page, content, chunk_id: one chunk per non-empty line; some made noisy by their position."""
     content = "CASE WHEN pos % 17 = 0 THEN concat('Page ', pos, ' of 90') WHEN pos % 19 = 0 THEN concat('1.', pos, ' intro .... 5') WHEN pos % 23 = 0 THEN concat('*** ', pos, ' ***') ELSE trim(line) END" if noisy else "trim(line)"
-    lines = load(spark, sf_dir, DOCS).selectExpr("doc_id", "department", "posexplode(split(text, '\n')) AS (pos, line)").filter("trim(line) <> ''")
+    # not posexplode, before which the engine puts filters that split the texts again
+    lines = load(spark, sf_dir, DOCS).selectExpr("doc_id", "department", "posexplode_outer(split(text, '\n')) AS (pos, line)").filter("trim(line) <> ''")
     return lines.selectExpr("doc_id", "department", "pos AS chunk_index", "CAST(floor(pos / 10) + 1 AS INT) AS page", f"{content} AS content", "doc_id * 100000 + pos AS chunk_id")
 
 

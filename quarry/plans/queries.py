@@ -524,7 +524,8 @@ def updated_index(spark, sf) -> DataFrame:
     kept = after.filter("doc_id % 3 <> 0")
     before = kept.withColumn("content", F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("former text "), "content")).otherwise(F.col("content"))).unionByName(kept.filter("doc_id % 5 = 0").selectExpr("doc_id + 1000000000 AS doc_id", "department", "chunk_index", "page", "content", "chunk_id + 100000000000000 AS chunk_id"))
     shards = sparse_index.write_index(before, path)
-    changed = before.unionByName(after).select("doc_id").filter("doc_id % 3 <> 2 or doc_id >= 1000000000")
+    ids = load(spark, sf, t.DOCS).select("doc_id")
+    changed = ids.filter("doc_id % 3 <> 2").union(ids.filter("doc_id % 3 <> 0 and doc_id % 5 = 0").selectExpr("doc_id + 1000000000"))
     sparse_index.update_index(path, before, after, changed, shards)
     return sparse_index.read_index(spark, path)
 

@@ -158,3 +158,24 @@ def test_empty_index(spark, tmp_path):
     queries = spark.createDataFrame([("q", "this")], "query_id string, text string")
     assert [(r.query_id, r.chunk_id) for r in sparse_index.search_index(sparse_index.read_index(spark, path), queries).collect()] == [("q", 1)]
     assert sparse_index.search_index(sparse_index.read_index(spark, path), queries.limit(0)).count() == 0
+
+
+def test_tokens_as_one_text_are_the_tokens(spark):
+    texts = ["One, two_2  THREE", " , ", "", None, "--a--", "\0a\0\0b\0", "\u00c9t\u00e9 \u0130x \u0661\u0662", "\U00010400 \U0001f600x", "\u673a\u5668 and \u4eba", "a\nb\tc"]
+    df = spark.createDataFrame([(t,) for t in texts], "content string")
+    rows = df.select(F.array_join(retrieve.tokens(F.col("content")), "\0").alias("a"), retrieve.joined_tokens(F.col("content"), "\0").alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and rows[0].b == "one\0two_2\0three"
+
+
+def test_update_reads_chunks_once_to_find_shards(spark, tmp_path):
+    """Postings are whole columns; a shard that loses all its chunks is written too, and one without changes isn't."""
+    chunks = spark.createDataFrame([(i, 0, i, None, f"w{i} w{i} all") for i in range(30)], CHUNK)
+    assert sparse_index.index_rows(chunks, 2).schema["docs"].dataType.simpleString() == "binary"
+    path = str(tmp_path / "index")
+    shards = sparse_index.write_index(chunks, path, shards=20)
+    place = {r[0]: r[1] for r in chunks.select("doc_id", sparse_index.shard_of(F.col("doc_id"), F.col("chunk_index"), shards)).collect()}
+    lost = [d for d in place if place[d] == place[0]]
+    after = chunks.filter(~F.col("doc_id").isin(lost))
+    assert sparse_index.update_index(path, chunks, after, spark.createDataFrame([(d,) for d in [*lost, *lost, 999]], "doc_id long"), shards) == [place[0]]
+    stats = {r.term: r.df for r in sparse_index.term_stats(sparse_index.read_index(spark, path)).collect()}
+    assert stats == {"all": 30 - len(lost)} | {f"w{d}": 1 for d in place if d not in lost}
