@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import errno
 import json
+import math
+import os
+import re
+import stat
 import time
 import uuid
 from collections.abc import Iterator
@@ -13,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import safe_department, safe_id, stem
+from quarry.functions.text import safe_department, safe_id, slices, stem
 from quarry.operators.catalog import replace_documents
 from quarry.operators.parse import PARSERS, suffix
 
@@ -23,20 +28,133 @@ CASE = "question string, doc_id string, section_prefix string, intent string, re
 CASE_COLUMNS = tuple(c.split()[0] for c in CASE.split(", "))
 #: Subfolders of written documents.
 FOLDERS = 256
+#: Folders that are told apart for listing, and levels of them, at most; files and bytes that a task reads, about; rows and bytes that leave Python at once.
+MOST_FOLDERS, LEVELS, TASK_FILES, TASK_BYTES, HELD_ROWS, HELD_BYTES = 10_000, 4, 1_000, 128 * 1024 * 1024, 256, 8_000_000
+#: Names that Spark's readers pass over; those that aren't UTF-8 are no texts.
+HIDDEN = re.compile(r"(?!_common_metadata|_metadata)(\.|_[^=]*\Z|.*\._COPYING_\Z)|.*[\ud800-\udfff]", re.DOTALL)
 # First bytes that files of a type must have.
 MAGIC = {"pdf": "25504446", "docx": "504B", "pptx": "504B"}
 
 
+def _system(folder: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+
+
+def _children(system: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool, int, int]]:
+    """path, whether it is a folder, size, modified (microseconds, of whole milliseconds as Spark has them) of what isn't hidden."""
+    if not isinstance(system, fs.LocalFileSystem):
+        for i in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+            if (i.is_file or i.type == fs.FileType.Directory) and not HIDDEN.match(i.base_name):
+                yield i.path, not i.is_file, i.size or 0, (i.mtime_ns or 0) // 1_000_000 * 1000
+        return
+    try:
+        with os.scandir(folder) as found:  # one by one, however many there are
+            for e in found:
+                if HIDDEN.match(e.name):
+                    continue
+                try:
+                    s = e.stat()
+                except OSError as x:
+                    if x.errno in (errno.ENOENT, errno.ELOOP):  # gone meanwhile, or a link to nothing
+                        continue
+                    raise
+                if stat.S_ISDIR(s.st_mode) or stat.S_ISREG(s.st_mode):
+                    yield e.path, stat.S_ISDIR(s.st_mode), s.st_size, s.st_mtime_ns // 1_000_000 * 1000
+    except FileNotFoundError:
+        return
+
+
+def _batches(rows: Iterator[tuple], names: list[str], held: int) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of at most `held` rows, and of about HELD_BYTES of bytes in their last column."""
+    part, size = [], 0
+    for row in rows:
+        part.append(row)
+        size += len(row[-1]) if isinstance(row[-1], bytes) else 0
+        if len(part) >= held or size >= HELD_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part, strict=True)], names=names)
+            part, size = [], 0
+    if part:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part, strict=True)], names=names)
+
+
+def _listed(spark: SparkSession, folder: str, recursive: bool) -> tuple[DataFrame, str] | None:
+    """(path, size, modified of the files, the folder's URI), listed in tasks; None if the folder isn't one that Python can list.
+
+    The driver holds some folders only, from which tasks go down further, and no file.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    try:
+        system, root = _system(uri)
+        if system.get_file_info(root).type != fs.FileType.Directory:
+            return None
+    except (OSError, ValueError, NotImplementedError):
+        return None
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _system(uri)
+        folders = (at for b in batches for at in b.column(0).to_pylist())
+        yield from _batches(((p[len(root) :],) for at in folders for p, inner, _, _ in _children(system, root + at) if inner), ["at"], 10_000)
+
+    def found(system: fs.FileSystem, at: str, deep: bool) -> Iterator[tuple[str, int, int]]:
+        waiting = [at]
+        while waiting:
+            for p, inner, size, modified in _children(system, waiting.pop()):
+                if not inner:
+                    yield p, size, modified
+                elif deep:
+                    waiting.append(p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _system(uri)
+        units = (u for b in batches for u in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        yield from _batches(((uri + p[len(root) :], size, modified) for at, deep in units for p, size, modified in found(system, root + at, deep)), ["path", "size", "modified"], 10_000)
+
+    flat, deep = [], [""]
+    for _ in range(LEVELS if recursive else 0):
+        if not deep or len(deep) >= 4 * spark.sparkContext.defaultParallelism:
+            break
+        inner = [r["at"] for r in spark.createDataFrame([(at,) for at in deep], "at string").mapInArrow(below, "at string").limit(MOST_FOLDERS + 1).collect()]
+        if len(inner) > MOST_FOLDERS:
+            break
+        flat, deep = flat + deep, inner
+    units = [(at, False) for at in flat] + [(at, recursive) for at in deep]
+    return spark.createDataFrame(units, "at string, deep boolean").mapInArrow(run, "path string, size long, modified long"), uri
+
+
 def listing(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """path, size, modified (microseconds): metadata only, contents aren't read."""
+    """path, size, modified (microseconds): metadata only, contents aren't read. Tasks list a folder that pyarrow can open, whenever the
+    table is used; of a glob or another store Spark's reader has the list in the driver, without files of no byte."""
+    if made := _listed(spark, folder, recursive):
+        return made[0]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     return files.select("path", F.col("length").alias("size"), F.unix_micros("modificationTime").alias("modified"))
 
 
+def _contents(listed: DataFrame, uri: str) -> DataFrame:
+    """path, content of listed files, which are dealt over tasks by number and bytes. No number of files is held in the driver or by a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _system(uri)
+
+        def read(path: str) -> bytes:
+            with system.open_input_stream(root + path[len(uri) :], compression=None) as f:
+                return f.read()
+
+        yield from _batches(((path, read(path)) for b in batches for path in b.column(0).to_pylist()), ["path", "content"], HELD_ROWS)
+
+    size = listed.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    tasks = max(1, math.ceil(size["n"] / TASK_FILES), math.ceil(size["size"] / TASK_BYTES))
+    return listed.select("path").repartition(tasks, "path").mapInArrow(run, "path string, content binary")
+
+
 def load_documents(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """doc_id (the file's stem), path, text of supported files; invalid bytes are replaced."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    picked = files.filter(suffix(F.col("path")).isin(*PARSERS))
+    """doc_id (the file's stem), path, text of supported files; invalid bytes are replaced. Listed as by `listing`."""
+    taken = suffix(F.col("path")).isin(*PARSERS)
+    if made := _listed(spark, folder, recursive):
+        picked = _contents(made[0].filter(taken), made[1])
+    else:
+        picked = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder).filter(taken)
     return picked.select(stem(F.col("path")).alias("doc_id"), "path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
@@ -47,17 +165,18 @@ def write_documents(docs: DataFrame, folder: str) -> int:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+        system, root = _system(folder)
         made: set[str] = set()
         for b in batches:
-            for sub, name, text in zip(*(b.column(c).to_pylist() for c in ("sub", "doc_id", "text")), strict=True):
-                if sub not in made:
-                    system.create_dir(f"{root}/{sub}", recursive=True)
-                    made.add(sub)
-                hidden = f"{root}/{sub}/_{uuid.uuid4().hex}"
-                with system.open_output_stream(hidden) as f:
-                    f.write(text.encode())
-                system.move(hidden, f"{root}/{sub}/{name}.txt")
+            for part in slices(b):
+                for sub, name, text in zip(*(part.column(c).to_pylist() for c in ("sub", "doc_id", "text")), strict=True):
+                    if sub not in made:
+                        system.create_dir(f"{root}/{sub}", recursive=True)
+                        made.add(sub)
+                    hidden = f"{root}/{sub}/_{uuid.uuid4().hex}"
+                    with system.open_output_stream(hidden) as f:
+                        f.write(text.encode())
+                    system.move(hidden, f"{root}/{sub}/{name}.txt")
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
 
     name = F.col("doc_id").cast("string")

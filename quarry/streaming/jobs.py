@@ -231,7 +231,11 @@ def watch_directory(spark: SparkSession, folder: str, read_state: Callable[[], D
     from quarry.sources.files import listing
 
     def turn(_: DataFrame, __: int) -> None:
-        scan_once(listing(spark, folder), read_state, write_state, ingest).unpersist()
+        found = listing(spark, folder).persist()  # one look at the folder a turn
+        try:
+            scan_once(found, read_state, write_state, ingest).unpersist()
+        finally:
+            found.unpersist()
 
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     return ticks.writeStream.foreachBatch(turn).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

@@ -9,6 +9,7 @@ import re
 
 import pyarrow as pa
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from quarry.functions import redaction, text
@@ -186,6 +187,50 @@ def test_documents_are_written_as_files_in_few_folders(spark, tmp_path, monkeypa
     assert files.write_documents(docs.limit(0), folder) == 0
 
 
+def test_folders_are_listed_and_read_in_tasks(spark, tmp_path, monkeypatch):
+    """The driver has no list of the files; all levels are found, files without a byte too, and names that Spark passes over are not."""
+    monkeypatch.setattr(files, "LEVELS", 2)
+    monkeypatch.setattr(files, "TASK_FILES", 3)
+    top, texts = tmp_path / "a b%20c", {}
+    for depth, inner in enumerate(("", "s", "s/t", "s/t/u", "s/t/u/v", "s/t2", "_no", ".no", "_k=v")):
+        (top / inner).mkdir(parents=True, exist_ok=True)
+        for name in ("x.md", "Y.TXT", "empty.md", "_skipped.md", "_a=b.md", ".dot.md", "z.md._COPYING_", "no.exe", "\u4e00 {1}.md"):
+            body = "" if name == "empty.md" else f"{inner}/{name} " * (depth + 1)
+            (top / inner / name).write_text(body)
+            if name in ("x.md", "Y.TXT", "empty.md", "_a=b.md", "\u4e00 {1}.md") and inner not in ("_no", ".no"):
+                texts[f"file:{top / inner / name}"] = body
+    (top / "gone.md").symlink_to(top / "nothing")
+    (top / "s/linked.md").symlink_to(top / "x.md")
+    texts[f"file:{top}/s/linked.md"] = (top / "x.md").read_text()
+    with open(bytes(top) + b"/\xff.md", "w") as f:
+        f.write("no")
+    read = files.load_documents(spark, str(top))
+    assert {r.path: r.text for r in read.collect()} == texts and read.count() == len(texts)
+    assert read.inputFiles() == [] and files.listing(spark, str(top)).inputFiles() == []
+    flat = files.load_documents(spark, str(top), recursive=False)
+    assert {r.path for r in flat.collect()} == {p for p in texts if p.rsplit("/", 1)[0] == f"file:{top}"}
+    by_spark = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(top)).select("path", "length", F.unix_micros("modificationTime"))
+    assert sorted(map(tuple, files.listing(spark, str(top)).filter("size > 0").collect())) == sorted(map(tuple, by_spark.collect()))
+    # what isn't a folder is left to Spark's reader
+    assert {r.path for r in files.load_documents(spark, f"{tmp_path}/a*/s").collect()} == {p for p in texts if p.startswith(f"file:{top}/s/") and not p.endswith("/empty.md")}
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.load_documents(spark, f"{tmp_path}/none")
+    # other file systems are asked folder by folder
+    seen = lambda system, at: sorted((p.rsplit("/", 1)[1], inner, None if inner else size, modified) for p, inner, size, modified in files._children(system, at))
+    here = seen(fs.LocalFileSystem(), str(top / "s"))
+    assert len(here) == 9 and seen(fs.SubTreeFileSystem(str(top), fs.LocalFileSystem()), "s") == here
+
+
+def test_every_document_comes_back_from_its_file(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    texts = {1: "", 2: "\0", 3: "a\0\n", 4: "\u00e9\r\n", 5: None}
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["s1_load_directory"](spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == {(f"d{i}", len(x), hashlib.md5(x.encode()).hexdigest()) for i, x in texts.items() if x is not None}
+    assert got.inputFiles() == []
+
+
 def test_store_replaces_documents(spark, tmp_path):
     schema, store = "doc_id string, chunk_index int, content string", str(tmp_path / "store")
     assert files.read_store(spark, store) is None
